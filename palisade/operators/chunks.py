@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import constants as K, paths as P
-from ..functions.ordering import with_position
 
 
 def line_chunks(text: str, size: int = K.CHUNK_CHARS, overlap: int = K.CHUNK_OVERLAP) -> list[str]:
@@ -46,23 +45,25 @@ def window_chunks(text: str, size: int = K.LARGE_CHUNK_CHARS, overlap: int = K.L
     return out
 
 
-def _split(text: str | None) -> list[str]:
-    if text is None:
-        return []
-    return window_chunks(text) if len(text) > K.LARGE_TEXT_CHARS else line_chunks(text)
+def split_chunks(content: Column | str, large_from: int = K.LARGE_TEXT_CHARS) -> Column:
+    """Chunk texts of each row; texts longer than ``large_from`` use fixed windows.
 
+    The start of a chunk depends on the end of the one before it, so this runs
+    in Arrow batches; rows only meet their own text.
+    """
+
+    @pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else window_chunks(t) if len(t) > large_from else line_chunks(t))
 
-@pandas_udf("array<string>")
-def split_chunks(content: pd.Series) -> pd.Series:
-    """The start of a chunk depends on the end of the one before, hence Arrow batches."""
-    return content.map(_split)
+    return run(content)
 
 
-def chunks(files: DataFrame, text: str = "content") -> DataFrame:
+def chunks(files: DataFrame, text: str = "content", large_from: int = K.LARGE_TEXT_CHARS) -> DataFrame:
     """One row per chunk with its per-file ordinal; other columns pass through in the JVM."""
     keep = [c for c in files.columns if c != text]
     return files.filter(F.col(text) != "").select(
-        *keep, F.posexplode(split_chunks(text)).alias("chunk_idx", text)
+        *keep, F.posexplode(split_chunks(text, large_from)).alias("chunk_idx", text)
     )
 
 
@@ -83,8 +84,6 @@ def with_embedding_idx(chunked: DataFrame) -> DataFrame:
 
 def _running_start(df: DataFrame, keys: list[str], order: str, size: str, name: str, width: int = 1 << 16) -> DataFrame:
     """Exclusive running sum of ``size`` by ``order`` within ``keys``, by order ranges."""
-    from pyspark.sql import Window
-
     sliced = df.withColumn("__slot", F.floor(F.col(order) / F.lit(width)))
     cells = [*keys, "__slot"]
     before = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)

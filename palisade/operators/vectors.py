@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import constants as K
@@ -18,7 +18,9 @@ DIM = 64
 DISTANCE_DIGITS = 6
 # A query side is only shipped to every task below this size.
 MAX_BROADCAST_BYTES = 32 << 20
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
+# Upper bound of distances held at once by a task that scans for many queries.
+MAX_CELL = 1 << 22
 
 _TOKEN = re.compile(r"[0-9A-Za-z_À-ɏ]+")
 _CACHE_TOKENS = 1 << 18
@@ -99,12 +101,16 @@ def _distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 def _local_top(qid: np.ndarray, q: np.ndarray, qk: np.ndarray, ids: np.ndarray, c: np.ndarray) -> pd.DataFrame:
     """The k nearest rows of one block for every query, ties by id."""
     by_id = np.argsort(ids, kind="stable")
-    d = _distances(q, c[by_id])
-    order = np.argsort(d, axis=1, kind="stable")
-    take = np.minimum(qk, d.shape[1])
-    rows = np.repeat(np.arange(len(qid)), take)
-    picks = np.concatenate([order[i, :t] for i, t in enumerate(take)]) if len(qid) else np.empty(0, int)
-    return pd.DataFrame({"query_id": qid[rows], "id": ids[by_id][picks], "distance": d[rows, picks]})
+    ids, d = ids[by_id], _distances(q, c[by_id])
+    widest = min(int(qk.max()), d.shape[1])
+    bound = np.partition(d, widest - 1, axis=1)[:, widest - 1]
+    picks = []
+    for row, limit, most in zip(d, bound, qk):
+        near = np.flatnonzero(row <= limit)
+        picks.append(near[np.argsort(row[near], kind="stable")][:most])
+    rows = np.repeat(np.arange(len(qid)), [len(p) for p in picks])
+    cols = np.concatenate(picks)
+    return pd.DataFrame({"query_id": qid[rows], "id": ids[cols], "distance": d[rows, cols]})
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -141,8 +147,6 @@ def knn(
     ranked = partial.join(qs.select("query_id", "k").distinct(), "query_id") if "k" in queries.columns else (
         partial.withColumn("k", F.lit(k))
     )
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k")).drop("k")
 
@@ -171,10 +175,11 @@ def _scan_top(small: pd.DataFrame, corpus: DataFrame, schema: str, block_rows: i
         if shipped is None:
             return
         qid, q, qk = shipped.value
+        step = max(min(block_rows, MAX_CELL // len(qid)), 16)
         best: pd.DataFrame | None = None
         for pdf in batches:
-            for at in range(0, len(pdf), block_rows):
-                part = pdf.iloc[at:at + block_rows]
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at:at + step]
                 top = _local_top(qid, q, qk, part["id"].to_numpy(), _matrix(part["embedding"]))
                 best = top if best is None else _merge(best, top, qid, qk)
         if best is not None:
@@ -259,8 +264,6 @@ def knn_filtered(
     if "k" not in extra.columns:
         extra = extra.withColumn("k", F.lit(k))
     kept = near.join(meta, "id").join(extra, "query_id").filter(keep)
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy("rank")
     return (
         kept.withColumn("__r", F.row_number().over(w))
@@ -332,6 +335,3 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
         F.col(label).alias("query_id"), l2_normalise(F.transform("xs", lambda s: s["x"])).alias("embedding")
     )
 
-
-def vector_type() -> T.ArrayType:
-    return T.ArrayType(T.DoubleType())
