@@ -113,16 +113,16 @@ def is_test_path(path: Column | str) -> Column:
 
 def is_entry_point(path: Column | str, content: Column | str) -> Column:
     """Well-known stem, or a marker in the content that belongs to the extension."""
-    content = _col(content)
-    ext = raw_extension(path)
-    hit = F.lower(stem(path)).isin(K.ENTRY_STEMS)
+    path, content = _col(path), _col(content)
+    stems = "|".join(K.ENTRY_STEMS)
+    hit = F.lower(path).rlike(rf"(?:^|/)(?:{stems})(?:\.[^./]+)?\z")
     for suffix, marks in K.ENTRY_MARKS.items():
         marked = F.lit(False)
         for mark in marks:
             marked = marked | F.contains(content, F.lit(mark))
         if suffix == ".php":
             marked = marked | F.contains(F.left(content, F.lit(K.PHP_OPEN_TAG_WINDOW)), F.lit(K.PHP_OPEN_TAG))
-        hit = hit | ((ext == suffix) & marked)
+        hit = hit | (path.rlike(rf"[^/.][^/]*\{suffix}\z") & marked)
     return hit
 
 

@@ -189,7 +189,7 @@ def _hits(name: str, items: list[str], lower: bool = False) -> str:
     )
 
 
-_CRITICAL = ", ".join(
+CRITICAL_CTES = ", ".join(
     [
         _hits("sec", K.SECURITY_WORDS), _hits("dbs", K.DATABASE_WORDS),
         """critical AS (SELECT repo_id, path FROM comps WHERE is_entry UNION SELECT repo_id, path FROM sec
@@ -294,11 +294,11 @@ ORACLE = {
     "incremental_skip": over_files(
         "SELECT repo_id, path, ord FROM files WHERE ord NOT IN (SELECT doc_id FROM labels)"
     ),
-    "critical_files": over_files("SELECT repo_id, path FROM critical", _CRITICAL),
+    "critical_files": over_files("SELECT repo_id, path FROM critical", CRITICAL_CTES),
     "critical_flags": over_files(
         """SELECT repo_id, path, is_entry AS is_entry_point, (repo_id, path) IN (SELECT (repo_id, path) FROM critical) AS is_critical
         FROM comps""",
-        _CRITICAL,
+        CRITICAL_CTES,
     ),
     "path_search": over_files(
         """SELECT repo_id, pattern, path, rank FROM (SELECT repo_id, pattern, path,

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 CODE_FILES = """
 SELECT repo_id, path, content, CAST(length(content) AS BIGINT) AS length, ord FROM (
   SELECT repo_id, ord,
-    CASE WHEN ord % 23 = 0 THEN dir || '/d' || num || '/main' || ext ELSE dir || '/' || stem || '_' || num || ext END AS path,
+    dir || CASE WHEN ord % 23 = 0 THEN '/d' || num || '/main' ELSE '/' || stem || '_' || num END || ext AS path,
     concat_ws(chr(10),
       CASE ext
         WHEN '.py' THEN concat_ws(chr(10),
@@ -69,12 +69,9 @@ SELECT repo_id, path, content, CAST(length(content) AS BIGINT) AS length, ord FR
       text) AS content
   FROM (
     SELECT source AS repo_id, doc_id AS ord, CAST(doc_id AS STRING) AS num, text,
-      CASE doc_id % 6 WHEN 0 THEN 'src/api' WHEN 1 THEN 'lib' WHEN 2 THEN 'app/model' WHEN 3 THEN 'docs'
-        WHEN 4 THEN 'node_modules/x' ELSE 'tests' END AS dir,
-      CASE doc_id % 9 WHEN 0 THEN 'main' WHEN 1 THEN 'auth_login' WHEN 2 THEN 'user_model' WHEN 3 THEN 'db_schema'
-        WHEN 4 THEN 'controller' WHEN 5 THEN 'payment' WHEN 6 THEN 'latest' WHEN 7 THEN 'config' ELSE 'util' END AS stem,
-      CASE doc_id % 9 WHEN 0 THEN 'main' WHEN 1 THEN 'auth_login' WHEN 2 THEN 'user_model' WHEN 3 THEN 'db_schema'
-        WHEN 4 THEN 'controller' WHEN 5 THEN 'payment' WHEN 6 THEN 'latest' WHEN 7 THEN 'config' ELSE 'util' END
+      split_part('src/api,lib,app/model,docs,node_modules/x,tests', ',', CAST(doc_id % 6 AS INTEGER) + 1) AS dir,
+      split_part('main,auth_login,user_model,db_schema,controller,payment,latest,config,util', ',', CAST(doc_id % 9 AS INTEGER) + 1) AS stem,
+      split_part('main,auth_login,user_model,db_schema,controller,payment,latest,config,util', ',', CAST(doc_id % 9 AS INTEGER) + 1)
         || '_' || CAST(doc_id + 180 AS STRING) AS peer,
       CASE WHEN doc_id % 11 = 0 THEN '' WHEN lang = 'en' THEN '.py' WHEN lang = 'fr' THEN '.js'
         WHEN lang = 'de' THEN '.php' WHEN lang = 'es' THEN '.java' ELSE '' END AS ext
@@ -157,7 +154,7 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id
 BOUNDARY_ANSWERS = """
 SELECT d.doc_id AS response_id, d.source AS repo_id,
   'DESCRIPTION: ' || CASE WHEN quality = 1 THEN d.text ELSE 'short' END || chr(10) || chr(10)
-  || 'SECURITY_BOUNDARIES:' || chr(10)
+  || CASE WHEN d.doc_id % 20 IN (7, 13) THEN 'No zones:' ELSE 'SECURITY_BOUNDARIES:' END || chr(10)
   || '- Web ' || d.lang || ': handles ' || CAST(d.n_chars AS STRING) || ' items' || chr(10)
   || '- Storage: keeps: ' || repeat('x', CAST(d.doc_id % 5 AS INTEGER)) || chr(10)
   || 'no bullet: skipped' || chr(10) || '- no colon here' || chr(10) || chr(10)
