@@ -44,8 +44,8 @@ def stem(path: Column | str) -> Column:
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    """Look a key up in a map literal, which the optimizer folds to a constant."""
+    return F.try_element_at(F.str_to_map(F.lit("|".join(f"{k}={v}" for k, v in table.items())), F.lit("[|]"), F.lit("=")), key)
 
 
 def grammar_language(ext: Column | str) -> Column:
@@ -64,7 +64,7 @@ def contains_any(text: Column | str, words: Iterable[str]) -> Column:
 
 def matching_words(text: Column | str, words: list[str]) -> Column:
     """The words (with their positions) that occur in ``text``: array<struct<pos,word>>."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(w).alias("word")) for i, w in enumerate(words)])
+    pairs = F.transform(F.split(F.lit("|".join(words)), "[|]"), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
     return F.filter(pairs, lambda p: F.contains(_col(text), p["word"]))
 
 
@@ -112,18 +112,26 @@ def is_test_path(path: Column | str) -> Column:
 
 
 def is_entry_point(path: Column | str, content: Column | str) -> Column:
-    """Well-known stem, or a marker in the content that belongs to the extension."""
-    path, content = _col(path), _col(content)
+    """Well-known stem, or a marker in the content that belongs to the extension.
+
+    The file is bound as one array element, so that ``path`` and ``content``
+    occur once in the plan even where they are derived columns.
+    """
     stems = "|".join(K.ENTRY_STEMS)
-    hit = F.lower(path).rlike(rf"(?:^|/)(?:{stems})(?:\.[^./]+)?\z")
-    for suffix, marks in K.ENTRY_MARKS.items():
-        marked = F.lit(False)
-        for mark in marks:
-            marked = marked | F.contains(content, F.lit(mark))
-        if suffix == ".php":
-            marked = marked | F.contains(F.left(content, F.lit(K.PHP_OPEN_TAG_WINDOW)), F.lit(K.PHP_OPEN_TAG))
-        hit = hit | (path.rlike(rf"[^/.][^/]*\{suffix}\z") & marked)
-    return hit
+
+    def entry(f: Column) -> Column:
+        hit = F.lower(f["path"]).rlike(rf"(?:^|/)(?:{stems})(?:\.[^./]+)?\z")
+        for suffix, marks in K.ENTRY_MARKS.items():
+            marked = F.lit(False)
+            for mark in marks:
+                marked = marked | F.contains(f["content"], F.lit(mark))
+            if suffix == ".php":
+                head = F.left(f["content"], F.lit(K.PHP_OPEN_TAG_WINDOW))
+                marked = marked | F.contains(head, F.lit(K.PHP_OPEN_TAG))
+            hit = hit | (f["path"].rlike(rf"[^/.][^/]*\{suffix}\z") & marked)
+        return hit
+
+    return F.exists(F.array(F.struct(_col(path).alias("path"), _col(content).alias("content"))), entry)
 
 
 def is_component(path: Column | str) -> Column:

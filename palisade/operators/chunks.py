@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import constants as K, paths as P
+from ..functions.nested import items
 
 
 def line_chunks(text: str, size: int = K.CHUNK_CHARS, overlap: int = K.CHUNK_OVERLAP) -> list[str]:
@@ -54,17 +55,18 @@ def split_chunks(content: Column | str, large_from: int = K.LARGE_TEXT_CHARS) ->
 
     @pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else window_chunks(t) if len(t) > large_from else line_chunks(t))
+        return texts.map(lambda t: [] if not t else window_chunks(t) if len(t) > large_from else line_chunks(t))
 
     return run(content)
 
 
 def chunks(files: DataFrame, text: str = "content", large_from: int = K.LARGE_TEXT_CHARS) -> DataFrame:
-    """One row per chunk with its per-file ordinal; other columns pass through in the JVM."""
+    """One row per chunk with its per-file ordinal; other columns pass through in the JVM.
+
+    Empty and missing texts have no chunks.
+    """
     keep = [c for c in files.columns if c != text]
-    return files.filter(F.col(text) != "").select(
-        *keep, F.posexplode(split_chunks(text, large_from)).alias("chunk_idx", text)
-    )
+    return files.select(*keep, F.posexplode(items(split_chunks(text, large_from))).alias("chunk_idx", text))
 
 
 def with_embedding_idx(chunked: DataFrame) -> DataFrame:

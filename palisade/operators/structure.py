@@ -10,176 +10,154 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import constants as K, paths as P
-from ..functions.text import strip
+from ..functions import paths as P
+from ..functions.nested import items
+
+FAMILIES = ("python", "php", "javascript")
 
 _NAME = r"([A-Za-z_$][A-Za-z0-9_$]*)"
 _STATEMENT = r"^[^ \t\r{})]"
-_CLASS = r"^(?:abstract[ \t]+|final[ \t]+)*class[ \t]+" + _NAME
+_CLASS = rf"^(?:abstract[ \t]+|final[ \t]+)*class[ \t]+{_NAME}"
+_SCRIPT_FUNCTION = rf"^(?:async[ \t]+)?function[ \t]*[*&]?[ \t]*{_NAME}[ \t]*\(([^)]*)"
 _FUNCTION = {
-    "python": r"^(?:async[ \t]+)?def[ \t]+" + _NAME + r"[ \t]*\(([^)]*)",
-    "php": r"^(?:async[ \t]+)?function[ \t]*[*&]?[ \t]*" + _NAME + r"[ \t]*\(([^)]*)",
+    "python": rf"^(?:async[ \t]+)?def[ \t]+{_NAME}[ \t]*\(([^)]*)",
+    "php": _SCRIPT_FUNCTION,
+    "javascript": _SCRIPT_FUNCTION,
 }
-_FUNCTION["javascript"] = _FUNCTION["php"]
+_MODIFIERS = "public|private|protected|static|final|abstract"
 _METHOD = {
-    "python": r"(?m)^([ \t]+)(?:async[ \t]+)?def[ \t]+" + _NAME + r"[ \t]*\(([^)]*)\)",
-    "php": r"(?m)^([ \t]+)(?:(?:public|private|protected|static|final|abstract)[ \t]+)*function[ \t]*&?[ \t]*"
-    + _NAME + r"[ \t]*\(([^)]*)\)",
-    "javascript": r"(?m)^([ \t]+)(?:(?:static|async|get|set)[ \t]+|[*])*" + _NAME + r"[ \t]*\(([^)]*)\)[ \t]*\{",
+    "python": rf"(?m)^([ \t]+)(?:async[ \t]+)?def[ \t]+{_NAME}[ \t]*\(([^)]*)\)",
+    "php": rf"(?m)^([ \t]+)(?:(?:{_MODIFIERS})[ \t]+)*function[ \t]*&?[ \t]*{_NAME}[ \t]*\(([^)]*)\)",
+    "javascript": rf"(?m)^([ \t]+)(?:(?:static|async|get|set)[ \t]+|[*])*{_NAME}[ \t]*\(([^)]*)\)[ \t]*\{{",
 }
 _PY_IMPORT = r"^(?:import[ \t]+[A-Za-z_.]|from[ \t]+[^ \t]+[ \t]+import[ \t(*])"
 _JS_IMPORT = r"^import[ \t{*]"
 _JS_LEXICAL = r"^(?:const|let)[ \t]"
 _PHP_INCLUDE = r"^(?:include|require)(?:_once)?[ \t]*\(?[ \t]*([^;)]*)"
+_QUOTED = r"[\x22\x27]([^\x22\x27]+)[\x22\x27]"
+_WS = r"' \t\n\r\u000b\u000c'"
 
-FAMILIES = ("python", "php", "javascript")
+# The expressions below are SQL text over one file's columns; ``rx`` quotes a
+# pattern as a raw literal.
 
 
-def statements(content: Column | str) -> Column:
-    """Top-level statements of a file: array<string>, linear in the file."""
-    lines = F.split(P._col(content), "\n", -1)
-    # Binding the lines once in a one-element array keeps the split from being repeated.
-    return F.flatten(F.transform(F.array(lines), _cut))
-
-
-def _cut(lines: Column) -> Column:
-    numbered = F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(_STATEMENT)), i + 1))
-    starts = F.filter(numbered, lambda i: i.isNotNull())
-    return F.flatten(
-        F.transform(
-            F.array(starts),
-            lambda ss: F.transform(
-                ss,
-                lambda s, j: F.array_join(
-                    F.slice(lines, s, F.coalesce(F.get(ss, j + 1), F.size(lines) + 1) - s), "\n"
-                ),
-            ),
-        )
-    )
+def rx(pattern: str) -> str:
+    return f"r'{pattern}'"
 
 
-def _parameters(text: Column, family: str) -> Column:
+def _parameters(text: str, family: str) -> str:
     """Parameter names: bare identifiers only (PHP: the ``$name`` of each parameter)."""
-    parts = F.transform(F.split(text, ","), strip)
     if family == "php":
-        names = F.transform(parts, lambda p: F.regexp_extract(p, r"(\$[A-Za-z0-9_]+)", 1))
-        return F.filter(names, lambda p: p != "")
-    return F.filter(parts, lambda p: F.rlike(p, F.lit("^" + _NAME + r"\z")))
+        names = f"transform(split({text}, ','), p -> regexp_extract(p, {rx(r'([$][A-Za-z0-9_]+)')}, 1))"
+        return f"filter({names}, p -> p <> '')"
+    trimmed = f"transform(split({text}, ','), p -> btrim(p, {_WS}))"
+    return f"filter({trimmed}, p -> p rlike {rx('^' + _NAME + '$')})"
 
 
-def _methods(statement: Column, family: str) -> Column:
+def _methods(statement: str, family: str) -> str:
     """Methods at the first indentation level of a class statement."""
-    rx = F.lit(_METHOD[family])
-    found = F.arrays_zip(
-        F.regexp_extract_all(statement, rx, 1).alias("indent"),
-        F.regexp_extract_all(statement, rx, 2).alias("name"),
-        F.regexp_extract_all(statement, rx, 3).alias("args"),
-    )
-    return F.flatten(
-        F.transform(
-            F.array(found),
-            lambda fs: F.transform(
-                F.filter(
-                    fs,
-                    lambda f: F.length(f["indent"]) == F.array_min(F.transform(fs, lambda g: F.length(g["indent"]))),
-                ),
-                lambda f: F.struct(f["name"].alias("name"), _parameters(f["args"], family).alias("parameters")),
-            ),
-        )
+    m = rx(_METHOD[family])
+    found = (
+        f"arrays_zip(regexp_extract_all({statement}, {m}, 1), regexp_extract_all({statement}, {m}, 2), "
+        f"regexp_extract_all({statement}, {m}, 3))"
     )
+    # Zipped fields are numbered: `0` indentation, `1` name, `2` parameter text.
+    outer = "filter(fs, f -> length(f.`0`) = array_min(transform(fs, g -> length(g.`0`))))"
+    built = f"transform({outer}, f -> named_struct('name', f.`1`, 'parameters', {_parameters('f.`2`', family)}))"
+    return f"flatten(transform(array({found}), fs -> {built}))"
 
 
-def _classes(parts: Column, family: str) -> Column:
-    return F.transform(
-        F.filter(parts, lambda s: F.rlike(s, F.lit(_CLASS))),
-        lambda s: F.struct(
-            F.regexp_extract(s, _CLASS, 1).alias("name"), _methods(s, family).alias("methods")
-        ),
+def _classes(family: str) -> str:
+    return (
+        f"transform(filter(statements, s -> s rlike {rx(_CLASS)}), "
+        f"s -> named_struct('name', regexp_extract(s, {rx(_CLASS)}, 1), 'methods', {_methods('s', family)}))"
     )
 
 
-def _functions(parts: Column, family: str) -> Column:
-    rx = _FUNCTION[family]
-    return F.transform(
-        F.filter(parts, lambda s: F.rlike(s, F.lit(rx))),
-        lambda s: F.struct(
-            F.regexp_extract(s, rx, 1).alias("name"),
-            _parameters(F.regexp_extract(s, rx, 2), family).alias("parameters"),
-        ),
+def _functions(family: str) -> str:
+    f = rx(_FUNCTION[family])
+    return (
+        f"transform(filter(statements, s -> s rlike {f}), s -> named_struct('name', regexp_extract(s, {f}, 1), "
+        f"'parameters', {_parameters(f'regexp_extract(s, {f}, 2)', family)}))"
     )
 
 
-def _is_js_lexical(s: Column) -> Column:
-    return F.rlike(s, F.lit(_JS_LEXICAL)) & (F.contains(s, F.lit("require(")) | F.contains(s, F.lit("import ")))
+_IS_LEXICAL = f"s rlike {rx(_JS_LEXICAL)} AND (contains(s, 'require(') OR contains(s, 'import '))"
 
 
-def _imports(parts: Column, family: str) -> Column:
+def _imports(family: str) -> str:
     if family == "python":
-        return F.transform(F.filter(parts, lambda s: F.rlike(s, F.lit(_PY_IMPORT))), strip)
+        return f"transform(filter(statements, s -> s rlike {rx(_PY_IMPORT)}), s -> btrim(s, {_WS}))"
     if family == "javascript":
-        kept = F.filter(parts, lambda s: F.rlike(s, F.lit(_JS_IMPORT)) | _is_js_lexical(s))
-        return F.transform(kept, strip)
-    return F.transform(
-        F.filter(parts, lambda s: F.rlike(s, F.lit(_PHP_INCLUDE))),
-        lambda s: F.concat(F.lit("include "), strip(F.regexp_extract(s, _PHP_INCLUDE, 1))),
+        return f"transform(filter(statements, s -> s rlike {rx(_JS_IMPORT)} OR ({_IS_LEXICAL})), s -> btrim(s, {_WS}))"
+    include = rx(_PHP_INCLUDE)
+    return (
+        f"transform(filter(statements, s -> s rlike {include}), "
+        f"s -> concat('include ', btrim(regexp_extract(s, {include}, 1), {_WS})))"
     )
 
 
-def _dependencies(imports: Column, family: str) -> Column:
+def _dependencies(family: str) -> str:
     """Root module of an import, quoted strings of a require, unquoted include path."""
-    module = lambda s: F.array(F.regexp_extract(s, r"^(?:import|from) ([^ .]*)", 1))
-    if family == "python":
-        found = F.transform(imports, module)
-    elif family == "javascript":
-        found = F.transform(
-            imports,
-            lambda s: F.when(_is_js_lexical(s), F.regexp_extract_all(s, F.lit(r"['\"]([^'\"]+)['\"]"), 1)).otherwise(
-                module(s)
-            ),
-        )
-    else:
-        found = F.transform(imports, lambda s: F.array(F.btrim(F.substring(s, 9, 1 << 30), F.lit("\"'"))))
+    module = f"array(regexp_extract(s, {rx('^(?:import|from) ([^ .]*)')}, 1))"
+    quoted = f"regexp_extract_all(s, {rx(_QUOTED)}, 1)"
+    found = {
+        "python": module,
+        "javascript": f"IF({_IS_LEXICAL}, {quoted}, {module})",
+        "php": "array(btrim(substring(s, 9), '\"\\''))",
+    }[family]
     # An empty name refers to nothing; it would match every path.
-    return F.filter(F.flatten(found), lambda d: d != "")
+    return f"filter(flatten(transform(imports, s -> {found})), d -> d <> '')"
 
 
-def components(files: DataFrame, primary_only: DataFrame | None = None) -> DataFrame:
-    """One row per source file with its extracted structure.
+_FN = "array<struct<name string, parameters array<string>>>"
+_EMPTY = {
+    "classes": f"array<struct<name string, methods {_FN}>>", "functions": _FN,
+    "imports": "array<string>", "dependencies": "array<string>",
+}
+
+
+# Lines and statement starts are bound as lambda variables: each is computed once
+# per file and the content occurs once in the plan.
+_STATEMENTS = f"""CASE WHEN family IN ({", ".join(f"'{f}'" for f in FAMILIES)}) THEN
+  flatten(transform(array(split(content, '\\n', -1)), lines -> flatten(transform(
+    array(filter(transform(lines, (l, i) -> IF(l rlike {rx(_STATEMENT)}, i + 1, NULL)), i -> i IS NOT NULL)),
+    starts -> transform(starts, (s, j) ->
+      array_join(slice(lines, s, coalesce(get(starts, j + 1), size(lines) + 1) - s), '\\n')))))) END AS statements"""
+
+
+def _by_family(build, name: str) -> Column:
+    cases = " ".join(f"WHEN '{f}' THEN {build(f)}" for f in FAMILIES)
+    return F.expr(f"CASE family {cases} ELSE from_json('[]', '{_EMPTY[name]}') END AS {name}")
+
+
+def source_files(files: DataFrame, primary_only: DataFrame | None = None) -> DataFrame:
+    """Files that become components, with their path-level columns.
 
     ``primary_only`` takes the output of ``rollups.primary_language`` to keep the
     files of each repository's primary language only.
     """
-    family = P.grammar_language(P.extension("path"))
-    base = files.filter(P.is_component("path")).withColumn("family", family)
+    base = files.filter(P.is_component("path")).select(
+        "repo_id", "path", P.basename("path").alias("name"),
+        P.display_language(P.raw_extension("path")).alias("type"),
+        P.is_entry_point("path", "content").alias("is_entry_point"), F.lit(False).alias("is_critical"),
+        "ord", "content", P.grammar_language(P.extension("path")).alias("family"),
+    )
     if primary_only is not None:
-        base = base.join(
-            primary_only.withColumnRenamed("primary_language", "family"), ["repo_id", "family"], "left_semi"
-        )
-    parts = F.when(F.col("family").isin(*FAMILIES), statements("content")).otherwise(F.array().cast("array<string>"))
-    base = base.withColumn("statements", parts)
-
-    def by_family(build, *args: str, empty: str) -> Column:
-        out = None
-        for f in FAMILIES:
-            value = build(*[F.col(a) for a in args], f)
-            out = F.when(F.col("family") == f, value) if out is None else out.when(F.col("family") == f, value)
-        return F.coalesce(out, F.from_json(F.lit("[]"), empty))
-
-    fn = "array<struct<name string, parameters array<string>>>"
-    return (
-        base.withColumn(
-            "classes", by_family(_classes, "statements", empty=f"array<struct<name string, methods {fn}>>")
-        )
-        .withColumn("functions", by_family(_functions, "statements", empty=fn))
-        .withColumn("imports", by_family(_imports, "statements", empty="array<string>"))
-        .withColumn("dependencies", by_family(_dependencies, "imports", empty="array<string>"))
-        .select(
-            "repo_id", "path", P.basename("path").alias("name"),
-            P.display_language(P.raw_extension("path")).alias("type"),
-            "classes", "functions", "imports", "dependencies",
-            P.is_entry_point("path", "content").alias("is_entry_point"),
-            F.lit(False).alias("is_critical"), "ord", "content",
-        )
+        wanted = primary_only.withColumnRenamed("primary_language", "family")
+        base = base.join(wanted, ["repo_id", "family"], "left_semi")
+    return base
+
+
+def components(files: DataFrame, primary_only: DataFrame | None = None) -> DataFrame:
+    """One row per source file with its extracted structure."""
+    cut = source_files(files, primary_only).select("*", F.expr(_STATEMENTS))
+    parsed = cut.select(
+        "*", _by_family(_classes, "classes"), _by_family(_functions, "functions"), _by_family(_imports, "imports")
+    )
+    return parsed.select(
+        "repo_id", "path", "name", "type", "classes", "functions", "imports",
+        _by_family(_dependencies, "dependencies"), "is_entry_point", "is_critical", "ord", "content",
     )
 
 
@@ -241,7 +219,7 @@ def import_edges(comps: DataFrame, files: DataFrame) -> DataFrame:
     """
     last = F.substring_index(P.normalise("import"), "/", -1)
     wanted = (
-        comps.select("repo_id", F.col("path").alias("src_path"), F.posexplode("imports").alias("import_pos", "import"))
+        comps.select("repo_id", F.col("path").alias("src_path"), F.posexplode(items("imports")).alias("import_pos", "import"))
         .filter(F.col("import").rlike(r"[/\\]"))
         .withColumn("base", F.explode(F.array(last, F.concat(last, F.lit(".py")), F.concat(last, F.lit(".js")))))
     )
@@ -275,7 +253,7 @@ def dependency_edges(comps: DataFrame, gram: int = 3) -> DataFrame:
     """
     paths = comps.select("repo_id", F.col("path").alias("dst_path"))
     deps = (
-        comps.select("repo_id", F.col("path").alias("src_path"), F.posexplode("dependencies").alias("dep_pos", "dep"))
+        comps.select("repo_id", F.col("path").alias("src_path"), F.posexplode(items("dependencies")).alias("dep_pos", "dep"))
         .filter(F.col("dep") != "")
     )
     wanted = deps.select("repo_id", "dep").distinct()

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as K, paths as P
+from ..functions.nested import items
 from ..operators import rollups as R, select as S, structure as T
+from ..session import stage
 from ..sources import corpus
 from .oracle_text import any_contains, in_list, over_files, over_symbols, words
 from .views import table, view
@@ -27,7 +29,17 @@ def comps(spark: SparkSession, d: str) -> DataFrame:
 
 def flat_comps(spark: SparkSession, d: str) -> DataFrame:
     """Components without their extracted structure, for queries over paths and flags."""
-    return comps(spark, d).select("repo_id", "path", "name", "type", "is_entry_point", "ord")
+    return T.source_files(scanned(spark, d)).select("repo_id", "path", "name", "type", "is_entry_point", "ord")
+
+
+def parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Component structure written once, for queries that read it in several branches."""
+    return stage(comps(spark, d).drop("content"), "components")
+
+
+def listed(spark: SparkSession, d: str) -> DataFrame:
+    """Path-level components written once: later branches never touch file contents."""
+    return stage(flat_comps(spark, d), "component-paths")
 
 
 def corpus_filter(spark, d):
@@ -53,13 +65,13 @@ def top_extensions(spark, d):
 
 
 def tech_stack(spark, d):
-    files = scanned(spark, d)
+    files = stage(scanned(spark, d).select("repo_id", "path"), "paths")
     full = R.tech_stack(files, top=None).withColumnRenamed("tech_stack", "full_stack")
     return R.tech_stack(files).join(full, "repo_id")
 
 
 def key_directories(spark, d):
-    return R.key_directories(comps(spark, d)).withColumn("languages", F.array_join("languages", "|"))
+    return R.key_directories(flat_comps(spark, d)).withColumn("languages", F.array_join("languages", "|"))
 
 
 def symbols(spark, d):
@@ -75,21 +87,22 @@ def data_flows(spark, d):
 
 
 def dependencies(spark, d):
-    return comps(spark, d).select("repo_id", "path", F.posexplode("dependencies").alias("pos", "dep")).withColumn(
+    return comps(spark, d).select("repo_id", "path", F.posexplode(items("dependencies")).alias("pos", "dep")).withColumn(
         "pos", F.col("pos").cast("long")
     )
 
 
 def import_edges(spark, d):
-    return T.import_edges(comps(spark, d), scanned(spark, d))
+    paths = scanned(spark, d).select("repo_id", "path", "ord")
+    return T.import_edges(comps(spark, d), paths)
 
 
 def dependency_edges(spark, d):
-    return T.dependency_edges(comps(spark, d)).select("repo_id", "src_path", "dep_pos", "dep", "dst_path")
+    return T.dependency_edges(parsed(spark, d)).select("repo_id", "src_path", "dep_pos", "dep", "dst_path")
 
 
 def file_relationships(spark, d):
-    c = comps(spark, d)
+    c = parsed(spark, d)
     return T.relationships(c, T.dependency_edges(c))
 
 
@@ -101,7 +114,7 @@ def incremental_skip(spark, d):
 
 
 def critical_flags(spark, d):
-    c = flat_comps(spark, d)
+    c = listed(spark, d)
     return S.flag_critical(c, S.critical_files(c)).select("repo_id", "path", "is_entry_point", "is_critical")
 
 
@@ -109,7 +122,7 @@ SEARCHES = ["*auth*", "src/*/*.p?", "model"]
 
 
 def path_search(spark, d):
-    files = scanned(spark, d)
+    files = stage(scanned(spark, d).select("repo_id", "path", "ord"), "paths")
     parts = [
         S.path_search(files, p).select("repo_id", F.lit(p).alias("pattern"), "path", F.col("rank").cast("long").alias("rank"))
         for p in SEARCHES
@@ -124,15 +137,15 @@ def priority_components(spark, d):
 
 
 def tiered_files(spark, d):
-    return S.tiered_files(flat_comps(spark, d)).select("repo_id", "path", "ord", "tier")
+    return S.tiered_files(listed(spark, d)).select("repo_id", "path", "ord", "tier")
 
 
 def capped_files(spark, d):
-    return S.capped_files(S.tiered_files(flat_comps(spark, d)), cap=CAP).select("repo_id", "path", "tier", "position")
+    return S.capped_files(S.tiered_files(listed(spark, d)), cap=CAP).select("repo_id", "path", "tier", "position")
 
 
 def restricted_edges(spark, d):
-    c = comps(spark, d)
+    c = parsed(spark, d)
     files = S.capped_files(S.tiered_files(c), cap=CAP)
     return S.restricted_edges(T.dependency_edges(c), files).select("repo_id", "src_path", "dst_path", "dep_pos")
 
@@ -158,7 +171,7 @@ QUERIES = {
     "dependency_edges": dependency_edges,
     "file_relationships": file_relationships,
     "incremental_skip": incremental_skip,
-    "critical_files": lambda s, d: S.critical_files(flat_comps(s, d)),
+    "critical_files": lambda s, d: S.critical_files(listed(s, d)),
     "critical_flags": critical_flags,
     "path_search": path_search,
     "priority_components": priority_components,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K, paths as P, text as X
 from ..operators import chunks as C, prompts as Q, responses as A, risk as Rk, select as S, structure as T
-from .corpus_queries import CRITICAL_CTES, comps, flat_comps, scanned
+from .corpus_queries import CRITICAL_CTES, comps, listed, parsed, scanned
 from .oracle_text import any_contains, in_list, over_files, over_symbols, values
 from .views import ANALYSES, BOUNDARY_ANSWERS, ctes, table, view
 
@@ -79,7 +79,7 @@ def purposes(spark, d):
 
 
 def asked(spark, d):
-    c = flat_comps(spark, d)
+    c = listed(spark, d)
     flagged = S.flag_critical(c, S.critical_files(c))
     return Q.component_questions(flagged.join(purposes(spark, d), ["repo_id", "ord"], "left"))
 
@@ -133,7 +133,7 @@ def default_boundary(spark, d):
 
 
 def placeholder_model(spark, d):
-    c = comps(spark, d)
+    c = parsed(spark, d)
     return A.placeholder_threats(c, T.data_flows(c)).select(
         "repo_id", "owner_kind", "owner", "type", "description", "severity", "impact", "mitigation"
     )

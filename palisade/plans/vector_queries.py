@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import chunks as C, prompts as Q, select as S, vectors as V
+from ..session import stage
 from .corpus_queries import comps, flat_comps
 from .oracle_text import over_files, over_symbols
 from .text_queries import DOC_CHUNKS, FILE_CHUNK_CTES, asked, documents, question_ctes
@@ -28,16 +29,19 @@ def chunk_id(ord_: str = "ord"):
 
 
 def document_chunks(spark, d):
-    return V.encode(C.chunks(documents(spark, d)), "content").select(
+    chunked = V.encode(C.chunks(documents(spark, d)), "content").select(
         chunk_id().alias("id"), "repo_id", F.concat(F.lit("doc/"), "ord").alias("path"),
         F.lit(None).cast("string").alias("language"), "content", "embedding",
     )
+    return stage(chunked, "document-chunks")
 
 
 def code_chunks(spark, d):
-    return V.encode(C.chunk_rows(comps(spark, d)), "content").select(
+    """The chunk/vector table of the corpus, written once like the persisted index."""
+    chunked = V.encode(C.chunk_rows(comps(spark, d)), "content").select(
         chunk_id().alias("id"), "repo_id", "path", "language", "extension", "content", "embedding"
     )
+    return stage(chunked, "code-chunks")
 
 
 def neighbours(df):
@@ -96,7 +100,7 @@ def path_context(spark, d):
     wanted = V.encode(flat_comps(spark, d), "path").select(
         "repo_id", F.col("ord").alias("query_id"), "embedding", P.extension("path").alias("wanted_ext")
     )
-    queries = V.with_adaptive_k(wanted, 1, F.col("wanted_ext") == ".php")
+    queries = V.with_adaptive_k(stage(wanted, "path-queries"), 1, F.col("wanted_ext") == ".php")
     found = V.retrieve(
         queries, code_chunks(spark, d), 1, scope="repo_id", keep=F.col("extension") == F.col("wanted_ext")
     )
@@ -108,7 +112,7 @@ def question_retrieval(spark, d):
     texts = asked(spark, d).select(
         "repo_id", (F.col("ord") * 8 + F.col("pos")).alias("query_id"), F.concat("path", F.lit(" "), "question").alias("q")
     )
-    queries = V.encode(texts, "q").select("repo_id", "query_id", "embedding")
+    queries = stage(V.encode(texts, "q").select("repo_id", "query_id", "embedding"), "questions")
     return neighbours(V.knn(queries, code_chunks(spark, d).drop("content"), 5, scope="repo_id"))
 
 

@@ -202,8 +202,19 @@ _TABLES = (
 ).split()
 
 
+# Text tables whose rows are expensive to process, with the key that spreads them.
+_SPREAD = {"documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, _SPREAD[name]) if name in _SPREAD else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on an input of few splits; an input of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Files can be 10 MiB each, so Arrow batches that carry texts stay short.
 TEXT_BATCH_ROWS = 256
@@ -40,3 +40,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="palisade-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several branches of a job read, and return it as a scan.
+
+    Cuts the lineage through shared storage: the input is parsed once, later
+    branches read pruned columns, and a lost executor costs a re-read only.
+    """
+    spark = df.sparkSession
+    location = scratch_path(spark, name)
+    df.write.parquet(location)
+    return spark.read.schema(df.schema).parquet(location)
