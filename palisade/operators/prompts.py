@@ -142,7 +142,7 @@ def flow_boundary_context(flows: DataFrame, members: DataFrame, boundaries: Data
 
 def cross_flow_samples(cross: DataFrame, limit: int = 5) -> DataFrame:
     """First cross-boundary flows of each repository as context lines."""
-    ranked = first_per_group(cross, ["repo_id"], [F.asc("ord"), F.asc("destination")], limit, "position")
+    ranked = first_per_group(cross, ["repo_id"], [F.asc("ord"), F.asc("source"), F.asc("destination")], limit, "position")
     line = F.concat(
         "source", F.lit(" -> "), "destination", F.lit(" (from "), "source_boundary", F.lit(" to "),
         "destination_boundary", F.lit(")"),

@@ -83,7 +83,7 @@ def tiered_files(comps: DataFrame) -> DataFrame:
     return (
         comps.select("repo_id", "path", "ord", "is_entry_point")
         .join(first_hit, ["repo_id", "path"], "left")
-        .select("repo_id", "path", "ord", "is_entry_point", tier.cast("long").alias("tier"))
+        .select("repo_id", "path", "ord", "is_entry_point", tier.cast("int").alias("tier"))
     )
 
 
@@ -102,7 +102,7 @@ def capped_files(tiered: DataFrame, cap: int = K.FILE_CAP) -> DataFrame:
     )
     sizes = files.groupBy("repo_id").agg((F.count(F.lit(1)) > cap).alias("over"))
     ordered = files.join(sizes, "repo_id").withColumn(
-        "tier", F.when(F.col("over"), retier).otherwise(F.col("tier")).cast("long")
+        "tier", F.when(F.col("over"), retier).otherwise(F.col("tier")).cast("int")
     )
     return (
         with_position(ordered, ["repo_id"], "ord", "position", tier="tier")

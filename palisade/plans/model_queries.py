@@ -99,16 +99,14 @@ def findings_report(spark, d):
 
 
 def recommendations(spark, d):
-    return Rp.recommendations(threats(spark, d)).withColumn("priority_order", F.col("priority_order").cast("long")).withColumn(
-        "kind_order", F.col("kind_order").cast("long")
-    )
+    return Rp.recommendations(threats(spark, d))
 
 
 def report_text(spark, d):
     t = threats(spark, d)
     lines = Rp.report_lines(Rp.findings(owners(spark, d), t), Rp.recommendations(t), Rk.overall_risk(t), "n/a")
     return lines.select(
-        "repo_id", F.col("section").cast("long").alias("section"), "owner", "ord", F.col("step").cast("long").alias("step"), "line"
+        "repo_id", "section", "owner", "ord", F.col("step").cast("long").alias("step"), "line"
     )
 
 
@@ -157,7 +155,7 @@ def mermaid_text(spark, d):
     both = G.class_diagram_lines(c).withColumn("diagram", F.lit("class")).unionByName(
         G.flow_diagram_lines(c, flow_rows).withColumn("diagram", F.lit("flow"))
     )
-    return both.select("repo_id", "diagram", F.col("section").cast("long").alias("section"), "line")
+    return both.select("repo_id", "diagram", "section", "line")
 
 
 def sink_roundtrip(spark, d):
@@ -329,7 +327,7 @@ ORACLE = {
     ),
     "context_samples": ", ".join([_STAR, _CROSS]) + ", " + over_files(
         """SELECT repo_id, position, line FROM (SELECT repo_id, source || ' -> ' || destination || ' (from ' || source_boundary || ' to ' || destination_boundary || ')' AS line,
-          row_number() OVER (PARTITION BY repo_id ORDER BY ord, destination) AS position FROM xflows) WHERE position <= 5
+          row_number() OVER (PARTITION BY repo_id ORDER BY ord, source, destination) AS position FROM xflows) WHERE position <= 5
         UNION ALL SELECT repo_id, 0, 'Entry points: ' || string_agg(path, ', ' ORDER BY ord) FROM (
           SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ord) AS rn FROM comps WHERE is_entry) WHERE rn <= 5 GROUP BY 1"""
     ).removeprefix("WITH RECURSIVE "),
@@ -369,7 +367,7 @@ ORACLE = {
         f"""SELECT repo_id, {_id('base')} AS src, {_id('name')} AS dst, arg_min(replace(parameters, ',', ', '), ord * 1000 + fpos) AS label, min(ord * 1000 + fpos) AS ord FROM (
           SELECT *, row_number() OVER (PARTITION BY path ORDER BY seg) - 1 AS fpos FROM params WHERE kind = 'function')
         GROUP BY 1, 2, 3
-        UNION ALL SELECT repo_id, {_id('source')}, {_id('function')}, arg_min(p1 || ', ' || p2, ord), min(ord) FROM star_flows GROUP BY 1, 2, 3"""
+        UNION ALL SELECT repo_id, {_id('source')}, {_id('function')}, arg_min(p1 || ', ' || p2, (ord, p1 || ', ' || p2)), min(ord) FROM star_flows GROUP BY 1, 2, 3"""
     ).removeprefix("WITH RECURSIVE "),
     "threat_graph_nodes": _GRAPH + f""", cands AS (
         SELECT e.repo_id, m.member AS label, 'component' AS class, 0 AS sec, m.ord, 0 AS step FROM star_members m

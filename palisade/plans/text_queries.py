@@ -22,13 +22,13 @@ def documents(spark, d):
 
 def chunks(spark, d):
     return C.with_embedding_idx(C.chunks(documents(spark, d))).select(
-        "repo_id", "ord", F.col("chunk_idx").cast("long").alias("chunk_idx"), "embedding_idx", "content"
+        "repo_id", "ord", "chunk_idx", "embedding_idx", "content"
     )
 
 
 def large_chunks(spark, d):
     return C.chunks(documents(spark, d), large_from=WINDOW_FROM).filter(F.col("ord").isNotNull()).select(
-        "ord", F.col("chunk_idx").cast("long").alias("chunk_idx"), "content"
+        "ord", "chunk_idx", "content"
     )
 
 
@@ -58,7 +58,8 @@ def limited_components(spark, d):
 
 
 def prompts(spark, d):
-    return Q.structure_prompts(comps(spark, d).withColumn("context", F.col("content")))
+    packed = Q.structure_prompts(comps(spark, d).withColumn("context", F.col("content")))
+    return packed.withColumn("tokens", F.col("tokens").cast("long"))
 
 
 def token_budget(spark, d):
@@ -90,7 +91,7 @@ def questions(spark, d):
 
 def flow_questions(spark, d):
     return Q.flow_questions(view(spark, d, "star_flows")).select(
-        "repo_id", F.col("pos").cast("long").alias("pos"), "query"
+        "repo_id", "pos", "query"
     )
 
 
