@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, paths as P
 from ..functions.ordering import first_per_group
@@ -20,16 +20,14 @@ def extension_counts(files: DataFrame) -> DataFrame:
 
 
 def extension_histogram(files: DataFrame) -> DataFrame:
-    """Files per extension and their share of all scanned files of the repository.
-
-    The window runs over the aggregated counts, one row per extension, and
-    reuses the repository total instead of joining it back.
-    """
+    """Files per extension and their share of all scanned files of the repository."""
     counts = extension_counts(files.filter(_scanned_for_language()))
-    total = F.sum("files").over(Window.partitionBy("repo_id"))
+    totals = counts.groupBy("repo_id").agg(F.sum("files").alias("total"))
     return (
-        counts.withColumn("percentage", F.col("files") * 100.0 / total)
-        .filter(F.col("ext") != "")
+        counts.filter(F.col("ext") != "")
+        .join(totals, "repo_id")
+        .withColumn("percentage", F.col("files") * 100.0 / F.col("total"))
+        .drop("total")
         .withColumn("language", F.coalesce(P.grammar_language("ext"), F.lit("unknown")))
     )
 
@@ -62,26 +60,31 @@ def dominant_language(files: DataFrame) -> DataFrame:
     )
 
 
-def _stack_text(entries: Column) -> Column:
-    """Entries sorted by (count desc, ext) rendered as ``.py (3 files), ...``."""
-    parts = F.transform(
-        F.array_sort(entries), lambda e: F.concat(e["ext"], F.lit(" ("), -e["neg"], F.lit(" files)"))
-    )
-    return F.array_join(parts, ", ")
+def _stack_entry() -> Column:
+    return F.concat("ext", F.lit(" ("), "files", F.lit(" files)"))
 
 
-def tech_stack(files: DataFrame, top: int | None = 3) -> DataFrame:
-    """Top extensions of a repository as one line; ``top=None`` lists all of them.
+def stack_entries(files: DataFrame) -> DataFrame:
+    """Every extension of a repository as a ``.py (3 files)`` row, in (files desc, ext) order when sorted."""
+    counts = extension_counts(files).filter(F.col("ext") != "")
+    return counts.select("repo_id", "ext", "files", _stack_entry().alias("entry"))
 
-    ``max``-style partial aggregation leaves one row per (repository,
-    extension); the collected list is as long as a repository has extensions.
-    """
+
+def tech_stack(files: DataFrame, top: int = 3) -> DataFrame:
+    """Top extensions of a repository on one line."""
     counts = extension_counts(files)
-    entry = F.when(F.col("ext") != "", F.struct((-F.col("files")).alias("neg"), "ext"))
-    stacks = counts.groupBy("repo_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    entries = F.slice("entries", 1, top) if top else F.col("entries")
-    text = _stack_text(entries)
-    return stacks.select("repo_id", F.when(text == "", F.lit(K.UNKNOWN_STACK)).otherwise(text).alias("tech_stack"))
+    shown = first_per_group(
+        counts.filter(F.col("ext") != ""), ["repo_id"], [F.desc("files"), F.asc("ext")], top
+    )
+    lines = shown.groupBy("repo_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", _stack_entry().alias("entry")))).alias("entries")
+    )
+    text = F.array_join(F.transform("entries", lambda e: e["entry"]), ", ")
+    return (
+        counts.select("repo_id").distinct()
+        .join(lines, "repo_id", "left")
+        .select("repo_id", F.coalesce(text, F.lit(K.UNKNOWN_STACK)).alias("tech_stack"))
+    )
 
 
 def architecture_pattern(files: DataFrame) -> DataFrame:

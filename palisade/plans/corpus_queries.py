@@ -64,12 +64,6 @@ def top_extensions(spark, d):
     return top.select("repo_id", "ext", "files", F.col("rank").cast("long").alias("rank"))
 
 
-def tech_stack(spark, d):
-    files = stage(scanned(spark, d).select("repo_id", "path"), "paths")
-    full = R.tech_stack(files, top=None).withColumnRenamed("tech_stack", "full_stack")
-    return R.tech_stack(files).join(full, "repo_id")
-
-
 def key_directories(spark, d):
     return R.key_directories(flat_comps(spark, d)).withColumn("languages", F.array_join("languages", "|"))
 
@@ -158,7 +152,8 @@ QUERIES = {
     "top_extensions": top_extensions,
     "primary_language": lambda s, d: R.primary_language(code_files(s, d)),
     "dominant_language": lambda s, d: R.dominant_language(scanned(s, d)),
-    "tech_stack": tech_stack,
+    "tech_stack": lambda s, d: R.tech_stack(stage(scanned(s, d).select("repo_id", "path"), "paths")),
+    "stack_entries": lambda s, d: R.stack_entries(scanned(s, d)),
     "architecture_pattern": lambda s, d: R.architecture_pattern(scanned(s, d)),
     "extension_boundaries": lambda s, d: R.extension_boundaries(flat_comps(s, d)),
     "key_directories": key_directories,
@@ -261,12 +256,12 @@ ORACLE = {
         ON b.repo_id = r.repo_id AND rn = 1 LEFT JOIN display d ON d.ext = b.ext"""
     ),
     "tech_stack": over_files(
-        f"""SELECT r.repo_id, coalesce(string_agg(item, ', ' ORDER BY rn) FILTER (WHERE rn <= 3), 'Unknown technology stack') AS tech_stack,
-        coalesce(string_agg(item, ', ' ORDER BY rn), 'Unknown technology stack') AS full_stack
+        f"""SELECT r.repo_id, coalesce(string_agg(item, ', ' ORDER BY rn) FILTER (WHERE rn <= 3), 'Unknown technology stack') AS tech_stack
         FROM (SELECT DISTINCT repo_id FROM corpus) r LEFT JOIN (
           SELECT repo_id, ext || ' (' || n || ' files)' AS item, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, ext) AS rn
           FROM ({_EXT})) e ON e.repo_id = r.repo_id GROUP BY 1"""
     ),
+    "stack_entries": over_files(f"SELECT repo_id, ext, n AS files, ext || ' (' || n || ' files)' AS entry FROM ({_EXT})"),
     "architecture_pattern": over_files(
         """SELECT repo_id, CASE WHEN list_contains(list(ext), '.php') THEN 'PHP Web Application'
         WHEN list_contains(list(ext), '.py') THEN 'Python Application'

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import session
-from ..functions import text as X
+from ..functions import constants as K, text as X
 from ..functions.nested import items
 from ..operators import graph as G, prompts as Q, report as Rp, risk as Rk, select as S, structure as T
 from ..sources import corpus, results
 from ..streaming import ingest
 from .corpus_queries import code_files, comps, listed, parsed, scanned
-from .oracle_text import over_files, over_symbols
-from .text_queries import FILE_CHUNK_CTES, chunk_ctes
+from .oracle_text import over_files, over_symbols, quote
+from .text_queries import chunk_ctes
 from .views import ctes, view
 
 
@@ -148,6 +148,17 @@ def threat_graph_edges(spark, d):
     return G.threat_graph_edges(f, x.drop("crosses_boundary"), t)
 
 
+def threat_diagram(spark, d):
+    """Size of every section of the threat diagram of every repository."""
+    f, x, t, repos, m, named = _graph_inputs(spark, d)
+    nodes = G.threat_graph_nodes(m, named, f, x, t)
+    arrows = G.threat_graph_edges(f, x.drop("crosses_boundary"), t)
+    lines = G.threat_diagram_lines(nodes, arrows, repos.unionByName(t.select("repo_id")))
+    return lines.groupBy("repo_id", "section").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars")
+    )
+
+
 def mermaid_text(spark, d):
     """Lines of the class and flow diagrams of every repository."""
     c = parsed(spark, d)
@@ -234,6 +245,7 @@ QUERIES = {
     "flow_edges": flow_edges,
     "threat_graph_nodes": threat_graph_nodes,
     "threat_graph_edges": threat_graph_edges,
+    "threat_diagram": threat_diagram,
     "mermaid_text": mermaid_text,
     "sink_roundtrip": sink_roundtrip,
     "text_sink": text_sink,
@@ -427,3 +439,14 @@ ORACLE = {
         CAST(sum(length(content) - length(replace(content, chr(10), '')) + 1) AS BIGINT) AS lines FROM files GROUP BY 1"""
     ),
 }
+
+ORACLE["threat_diagram"] = f"""WITH n AS ({ORACLE['threat_graph_nodes']}), e AS ({ORACLE['threat_graph_edges']}),
+  fixed AS (SELECT DISTINCT repo_id FROM n),
+  all_lines AS (
+    SELECT repo_id, 1 AS section, unnest(['    ' || node_id || CASE WHEN ends_with(class, 'Threat') THEN '{{{{ ' || label || ' }}}}'
+      WHEN class = 'dataflow' THEN '(' || label || ')' WHEN class = 'vulnerability' THEN '[/' || label || '/]' ELSE '[' || label || ']' END,
+      '    class ' || node_id || ' ' || class || ';']) AS line FROM n
+    UNION ALL SELECT repo_id, 2, '    ' || src || CASE WHEN kind = 'vulnerability' THEN ' -.-> ' WHEN label <> '' THEN ' -->|' || label || '| ' ELSE ' --> ' END || dst FROM e
+    UNION ALL SELECT repo_id, 0, unnest(['flowchart TD', '    %% Threat Model Diagram', {", ".join(quote(s) for s in K.THREAT_STYLES)}]) FROM fixed
+    UNION ALL SELECT repo_id, 3, unnest([{", ".join(quote(s) for s in K.THREAT_LEGEND)}]) FROM fixed)
+  SELECT repo_id, section, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM all_lines GROUP BY 1, 2"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.nested import items
 from ..operators import chunks as C, prompts as Q, select as S, vectors as V
 from ..session import stage
 from .corpus_queries import comps, flat_comps
@@ -51,7 +52,7 @@ def neighbours(df):
 def hashed_vectors(spark, d):
     encoded = V.encode(documents(spark, d), "content")
     return (
-        encoded.select("ord", F.posexplode("embedding").alias("pos", "x"))
+        encoded.select("ord", F.posexplode(items("embedding")).alias("pos", "x"))
         .filter("x <> 0")
         .select("ord", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
     )
@@ -65,7 +66,7 @@ def vector_repair(spark, d):
             "embedding", lambda x: F.when(x == F.array_min("embedding"), float("nan")).otherwise(x.cast("double"))
         ),
     )
-    return broken.select("id", F.posexplode(V.l2_normalise("embedding")).alias("pos", "x")).select(
+    return broken.select("id", F.posexplode(items(V.l2_normalise("embedding"))).alias("pos", "x")).select(
         "id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x")
     )
 

@@ -47,7 +47,9 @@ def ingest_batch(store: ChunkStore, batch: DataFrame) -> None:
     fresh = accepted.withColumn("__norm", P.normalise("path")).join(
         first, ["repo_id", "__norm", "ord"], "left_semi"
     ).drop("__norm")
-    store.append(chunk_vectors(S.not_indexed(fresh, store.load().select("repo_id", "path"))))
+    # Only the partitions of the batch's repositories are looked at.
+    stored = store.load().select("repo_id", "path").join(first.select("repo_id").distinct(), "repo_id", "left_semi")
+    store.append(chunk_vectors(S.not_indexed(fresh, stored)))
 
 
 def start(files: DataFrame, store: ChunkStore, checkpoint: str, available_now: bool = False):
