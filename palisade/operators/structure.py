@@ -62,9 +62,10 @@ def _methods(statement: str, family: str) -> str:
         f"regexp_extract_all({statement}, {m}, 3))"
     )
     # Zipped fields are numbered: `0` indentation, `1` name, `2` parameter text.
-    outer = "filter(fs, f -> length(f.`0`) = array_min(transform(fs, g -> length(g.`0`))))"
-    built = f"transform({outer}, f -> named_struct('name', f.`1`, 'parameters', {_parameters('f.`2`', family)}))"
-    return f"flatten(transform(array({found}), fs -> {built}))"
+    least = "array_min(transform(fs, g -> length(g.`0`)))"
+    method = f"named_struct('name', f.`1`, 'parameters', {_parameters('f.`2`', family)})"
+    built = f"transform(filter(fs, f -> length(f.`0`) = indent), f -> {method})"
+    return f"flatten(transform(array({found}), fs -> flatten(transform(array({least}), indent -> {built}))))"
 
 
 def _classes(family: str) -> str:
@@ -235,39 +236,36 @@ def import_edges(comps: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct substrings of length n (empty when the text is shorter)."""
+def _grams(text: Column, n: Column) -> Column:
+    """Distinct substrings of length n (none when the text is shorter)."""
     last = F.length(text) - n + 1
     return F.when(
-        last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: text.substr(i, F.lit(n))))
+        last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: text.substr(i, n)))
     ).otherwise(F.array().cast("array<string>"))
 
 
-def dependency_edges(comps: DataFrame, gram: int = 3) -> DataFrame:
+def dependency_edges(comps: DataFrame, gram: int = 4) -> DataFrame:
     """For every dependency of a file, the other files whose path contains it.
 
-    Substring matching without a nested loop: paths are indexed by their 1..n
-    grams, each *distinct* dependency probes the index with its single rarest
-    gram, and the few candidates are verified.  Dependencies shorter than
-    ``gram`` use a gram of their own length, so nothing is missed.
+    Substring matching without a nested loop.  Each *distinct* dependency is
+    looked up by its single rarest gram of ``gram`` characters (one shorter than
+    that by itself), and the few candidates are verified.  A repository's paths
+    are only cut into the gram lengths its dependencies have, and only grams
+    that some dependency asks for are kept.
     """
     paths = comps.select("repo_id", F.col("path").alias("dst_path"))
-    deps = (
-        comps.select("repo_id", F.col("path").alias("src_path"), F.posexplode(items("dependencies")).alias("dep_pos", "dep"))
-        .filter(F.col("dep") != "")
-    )
-    wanted = deps.select("repo_id", "dep").distinct()
-    path_text = F.col("dst_path")
-    # Shorter grams are only indexed for the probes that need them.
-    probes = wanted.withColumn(
-        "gram", F.explode(_grams(F.col("dep"), gram))
-    ).unionByName(
-        wanted.filter(F.length("dep") < gram).withColumn("gram", F.col("dep"))
-    )
-    index = paths.withColumn(
-        "gram", F.explode(F.concat(*[_grams(path_text, n) for n in range(1, gram + 1)]))
+    deps = comps.select(
+        "repo_id", F.col("path").alias("src_path"), F.posexplode(items("dependencies")).alias("dep_pos", "dep")
+    ).filter(F.col("dep") != "")
+    wanted = deps.select("repo_id", "dep").distinct().withColumn("n", F.least(F.length("dep"), F.lit(gram)))
+    probes = wanted.select("repo_id", "dep", F.explode(_grams(F.col("dep"), F.col("n"))).alias("gram"))
+    index = (
+        paths.join(wanted.select("repo_id", "n").distinct(), "repo_id")
+        .select("repo_id", "dst_path", F.explode(_grams(F.col("dst_path"), F.col("n"))).alias("gram"))
+        .join(probes.select("repo_id", "gram").distinct(), ["repo_id", "gram"], "left_semi")
     )
     frequency = index.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    # A gram that no path has rules its dependency out.
     rarest = (
         probes.join(frequency, ["repo_id", "gram"], "left")
         .groupBy("repo_id", "dep")

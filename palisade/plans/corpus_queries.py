@@ -140,7 +140,7 @@ def capped_files(spark, d):
 
 def restricted_edges(spark, d):
     c = parsed(spark, d)
-    files = S.capped_files(S.tiered_files(c), cap=CAP)
+    files = stage(S.capped_files(S.tiered_files(c), cap=CAP), "file-list")
     return S.restricted_edges(T.dependency_edges(c), files).select("repo_id", "src_path", "dst_path", "dep_pos")
 
 
@@ -221,6 +221,11 @@ _CAPPED = (
       FROM retiered) WHERE position <= {CAP})"""
 )
 
+CHOSEN = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY is_priority DESC, ord) AS position,
+  count(*) OVER (PARTITION BY repo_id) AS n FROM (
+    SELECT *, is_entry OR {any_contains('lower(path)', K.PRIORITY_WORDS)} AS is_priority FROM comps))
+  WHERE position <= CASE WHEN n > 50 THEN 500 ELSE 1000 END"""
+
 ORACLE = {
     "corpus_filter": over_files(
         "SELECT repo_id, path, c.ext, coalesce(d.language, 'Unknown') AS language, length FROM corpus c LEFT JOIN display d ON d.ext = c.ext"
@@ -315,13 +320,7 @@ ORACLE = {
         ON CASE WHEN pattern = 'model' THEN contains(path, pattern)
           WHEN pattern = '*auth*' THEN path LIKE '%auth%' ELSE path LIKE 'src/%/%.p_' END) WHERE rank <= 10"""
     ),
-    "priority_components": over_files(
-        f"""SELECT repo_id, path, is_priority, position FROM (SELECT repo_id, path, is_priority,
-        row_number() OVER (PARTITION BY repo_id ORDER BY is_priority DESC, ord) AS position,
-        count(*) OVER (PARTITION BY repo_id) AS n FROM (
-          SELECT *, is_entry OR {any_contains('lower(path)', K.PRIORITY_WORDS)} AS is_priority FROM comps))
-        WHERE position <= CASE WHEN n > 50 THEN 500 ELSE 1000 END"""
-    ),
+    "priority_components": over_files(f"SELECT repo_id, path, is_priority, position FROM ({CHOSEN})"),
     "tiered_files": over_files("SELECT repo_id, path, ord, tier FROM tiered", _TIERED),
     "capped_files": over_files("SELECT repo_id, path, tier, position FROM capped", _TIERED, _CAPPED),
     "restricted_edges": over_symbols(

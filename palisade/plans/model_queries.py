@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import constants as K, text as X
-from ..functions.nested import items
 from ..operators import graph as G, prompts as Q, report as Rp, risk as Rk, select as S, structure as T
 from ..sources import corpus, results
 from ..streaming import ingest

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import constants as K, paths as P, text as X
+from ..functions import constants as K, text as X
 from ..operators import chunks as C, prompts as Q, responses as A, risk as Rk, select as S, structure as T
-from .corpus_queries import CRITICAL_CTES, comps, listed, parsed, scanned
-from .oracle_text import any_contains, in_list, over_files, over_symbols, values
+from ..session import stage
+from .corpus_queries import CHOSEN, CRITICAL_CTES, comps, listed, parsed, scanned
+from .oracle_text import in_list, over_files, over_symbols, values
 from .views import ANALYSES, BOUNDARY_ANSWERS, ctes, table, view
 
 WINDOW_FROM = 2000  # texts longer than this use fixed windows in ``large_chunks``
@@ -21,7 +22,7 @@ def documents(spark, d):
 
 
 def chunks(spark, d):
-    return C.with_embedding_idx(C.chunks(documents(spark, d))).select(
+    return C.with_embedding_idx(stage(C.chunks(documents(spark, d)), "chunks")).select(
         "repo_id", "ord", "chunk_idx", "embedding_idx", "content"
     )
 
@@ -81,7 +82,7 @@ def purposes(spark, d):
 
 def asked(spark, d):
     c = listed(spark, d)
-    flagged = S.flag_critical(c, S.critical_files(c))
+    flagged = S.flag_critical(S.priority_components(c), S.critical_files(c))
     return Q.component_questions(flagged.join(purposes(spark, d), ["repo_id", "ord"], "left"))
 
 
@@ -300,7 +301,8 @@ def question_ctes() -> str:
     )
     return (
         CRITICAL_CTES + ", " + PURPOSES.format(ANALYSES=ANALYSES)
-        + ", qc AS (SELECT c.*, coalesce(p.purpose, '') AS purpose FROM comps c LEFT JOIN purposes p ON p.response_id = c.ord)"
+        + f", chosen AS ({CHOSEN})"
+        + ", qc AS (SELECT c.*, coalesce(p.purpose, '') AS purpose FROM chosen c LEFT JOIN purposes p ON p.response_id = c.ord)"
         + f", allq AS ({rows}), asked AS (SELECT repo_id, path, ord, ext, pos, question FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY q) - 1 AS pos"
         + " FROM allq) WHERE pos < 5)"
     )

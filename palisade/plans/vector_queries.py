@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.nested import items
-from ..operators import chunks as C, prompts as Q, select as S, vectors as V
+from ..operators import chunks as C, select as S, vectors as V
 from ..session import stage
-from .corpus_queries import comps, flat_comps
-from .oracle_text import over_files, over_symbols
+from .corpus_queries import CHOSEN, comps, flat_comps
+from .oracle_text import over_symbols
 from .text_queries import DOC_CHUNKS, FILE_CHUNK_CTES, asked, documents, question_ctes
 from .views import table
 
@@ -97,8 +97,8 @@ def context_retrieval(spark, d):
 
 
 def path_context(spark, d):
-    """Context of each component's own path: same repository and extension, twice as many for PHP."""
-    wanted = V.encode(flat_comps(spark, d), "path").select(
+    """Context of each selected component's own path: same repository and extension, twice as many for PHP."""
+    wanted = V.encode(S.priority_components(flat_comps(spark, d)), "path").select(
         "repo_id", F.col("ord").alias("query_id"), "embedding", P.extension("path").alias("wanted_ext")
     )
     queries = V.with_adaptive_k(stage(wanted, "path-queries"), 1, F.col("wanted_ext") == ".php")
@@ -184,9 +184,9 @@ ORACLE = {
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
             SELECT q.ord AS query_id, q.ext AS want, CASE WHEN q.ext = '.php' THEN 2 ELSE 1 END AS k, cv.id AS id, c.ext AS have, c.path,
               {_distance('qv.v', 'cv.v')} AS distance
-            FROM comps q JOIN qv ON qv.id = q.ord JOIN comps c ON c.repo_id = q.repo_id JOIN cv ON cv.id // {CHUNK_STRIDE} = c.ord))
+            FROM chosen q JOIN qv ON qv.id = q.ord JOIN comps c ON c.repo_id = q.repo_id JOIN cv ON cv.id // {CHUNK_STRIDE} = c.ord))
         WHERE rank <= 3 * k AND want = have) WHERE again <= k""",
-        _CODE_VECTORS, vectors_of("qv", "comps", "ord", "path"),
+        _CODE_VECTORS, f"chosen AS ({CHOSEN})", vectors_of("qv", "chosen", "ord", "path"),
     ),
     "question_retrieval": over_symbols(
         f"""SELECT query_id, id, distance, rank FROM (

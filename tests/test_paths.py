@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from palisade.functions import paths as P
 from palisade.sources import corpus
 
