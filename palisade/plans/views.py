@@ -202,8 +202,8 @@ _TABLES = (
 ).split()
 
 
-# Text tables whose rows are expensive to process, with the key that spreads them.
-_SPREAD = {"documents": "doc_id"}
+# Tables that are expensive to process row by row, with the key that spreads them.
+_SPREAD = {"documents": "doc_id", "lineitem": "l_orderkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
