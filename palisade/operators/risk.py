@@ -24,15 +24,19 @@ def crossing_sources(flows: DataFrame, edges: DataFrame, members: DataFrame) ->
     """``(repo_id, source, source_boundary, destination, destination_boundary)``.
 
     Works on distinct sources: a crossing depends on the source only, so flows
-    are aggregated away before anything is joined.
+    are aggregated away before anything is joined.  Relations are looked up by
+    the flow's ``component`` if there is such a column, else by the part of the
+    source before the first dot.
     """
     bounds = member_boundaries(members)
     shared = [c for c in ["repo_id"] if c in bounds.columns]
-    sources = flows.filter((F.col("source") != "") & (F.col("function") != "")).select("repo_id", "source").distinct()
+    component = F.col("component") if "component" in flows.columns else _base("source")
+    usable = flows.filter((F.col("source") != "") & (F.col("function") != ""))
+    sources = usable.select("repo_id", "source", component.alias("base")).distinct()
     placed = sources.join(
         bounds.select(*shared, F.col("member").alias("source"), F.col("boundary").alias("source_boundary")),
         [*shared, "source"],
-    ).withColumn("base", _base("source"))
+    )
     targets = edges.join(
         bounds.select(*shared, F.col("member").alias("dst"), F.col("boundary").alias("destination_boundary")),
         [*shared, "dst"],

@@ -101,7 +101,9 @@ def threat_model(analysis: Analysis, boundary_answers: DataFrame, threat_answers
         fallback.select("repo_id", "boundary", "description").distinct()
     )
     relations = analysis.edges.select("repo_id", F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
-    named = analysis.data_flows.select("repo_id", F.col("path").alias("source"), "function", "parameters", "ord")
+    named = analysis.data_flows.select(
+        "repo_id", F.col("path").alias("source"), F.col("path").alias("component"), "function", "parameters", "ord"
+    )
     flows = Rk.flow_flags(named, relations, placed)
     cross = Rk.cross_boundary_flows(named, relations, placed)
     crossing = flows.select("repo_id", F.col("source").alias("owner"), "crosses_boundary").distinct()
