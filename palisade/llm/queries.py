@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, url_filter
+from . import html_text, packing, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).withColumn("terms", F.array_join("terms", ","))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -51,6 +59,8 @@ FROM clean LEFT JOIN ruled USING (row_no) LEFT JOIN counts USING (row_no)"""
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op5_token_counts": op5_token_counts,
+    "op7_packing": op7_packing,
     "op8_html_text": op8_html_text,
 }
 
