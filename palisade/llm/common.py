@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,3 +49,14 @@ def rows_below(batches, limit: int):
     for batch in batches:
         for at in range(0, batch.num_rows, limit):
             yield batch.slice(at, limit)
+
+
+def per_worker(key: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks, such as a loaded tokenizer.
+
+    Functions travel to workers by value, with fresh globals each time, so the store is an entry of ``sys.modules``.
+    """
+    store = sys.modules.setdefault("_palisade_worker", types.ModuleType("_palisade_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

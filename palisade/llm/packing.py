@@ -11,13 +11,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import TEXT_BATCH_ROWS, only, rows_below, written
+from .common import TEXT_BATCH_ROWS, only, per_worker, rows_below, written
 
 SIZE, END_ID = 2048, 1
 # Pieces that are packed together; the number of groups follows the number of pieces.
 GROUP_PIECES, SEED = 2048, 20261
-# Entries of the cache of encoded words in a task, and the longest word that it keeps.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+# Entries of the cache of encoded words in a Python worker, and the longest word that it keeps.
+CACHE_WORDS, CACHE_BYTES = 600_000, 48
 
 PIECES = "doc_id long, row_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -26,7 +26,7 @@ class WordEncoder:
     """Ids of a text as little-endian 32-bit integers, through a cache of its words.
 
     The tokenizer never merges across white space and drops it, so a text's ids are those of its words (between ASCII
-    white space) in order; a word is encoded once per cache life.
+    white space) in order. It lower-cases, so words are cached in lower case.
     """
 
     def __init__(self, path: str | None) -> None:
@@ -41,19 +41,19 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
+        if b"<|" not in text:  # special tokens are told apart by case, the rest is not
+            text = text.lower()
         words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        long = {}
-        if new:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                new = list(dict.fromkeys(words))
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            new = list(dict.fromkeys(word for word, part in zip(words, parts, strict=True) if part is None))
             done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for word, e in zip(new, done, strict=True):
-                (self.known if len(word) <= CACHE_BYTES else long)[word] = np.array(e.ids, "<u4").tobytes()
-        if not long:
-            return b"".join(map(self.known.__getitem__, words))
-        return b"".join(long[w] if w in long else self.known[w] for w in words)
+            found = {word: np.array(e.ids, "<u4").tobytes() for word, e in zip(new, done, strict=True)}
+            parts = [found[word] if part is None else part for word, part in zip(words, parts, strict=True)]
+            for word, ids in found.items():
+                if len(word) <= CACHE_BYTES and len(self.known) < CACHE_WORDS:
+                    self.known[word] = ids
+        return b"".join(parts)
 
 
 def cut_pieces(
@@ -68,7 +68,7 @@ def cut_pieces(
     schema = PIECES + (", ids array<long>" if keep_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = per_worker(f"word encoder {tokenizer}", lambda: WordEncoder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         for batch in rows_below(batches, TEXT_BATCH_ROWS):
             out: list[tuple] = []

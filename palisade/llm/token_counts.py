@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import TEXT_BATCH_ROWS, only, rows_below
+from .common import TEXT_BATCH_ROWS, only, per_worker, rows_below
 
 # Which section gets a token whose characters lie in several of them.
 RULES = ("start", "majority", "end")
@@ -26,12 +26,16 @@ def line_sections(text: str) -> list[tuple[int, int]]:
 
 
 def load_encoding(path: str | None):
+    """The encoding of a rank file (default: the public byte-level one), and the bytes of each of its tokens."""
     import public_tokenizers
     import tiktoken
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("sections", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
+    width = np.zeros(max(ranks.values()) + 1, "i8")
+    for token, rank in ranks.items():
+        width[rank] = len(token)
+    return tiktoken.Encoding("sections", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), width
 
 
 def token_spans(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +85,7 @@ def section_tokens(
         raise ValueError(f"rule must be one of {RULES}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, ranks = load_encoding(tokenizer)
-        width = np.zeros(max(ranks.values()) + 1, "i8")
-        for token, rank in ranks.items():
-            width[rank] = len(token)
+        encoding, width = per_worker(f"encoding {tokenizer}", lambda: load_encoding(tokenizer))
         for batch in rows_below(batches, TEXT_BATCH_ROWS):
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
             doc_ids = []
