@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, packing, token_counts, url_filter
+from . import html_text, packing, pii, sharding, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).withColumn("terms", F.array_join("terms", ","))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans, base = F.col("personal_data"), F.filter("personal_data", pii.of_kinds([k.name for k in pii.KINDS if k.base]))
+    counts = [F.size(F.filter(spans, pii.of_kinds([k]))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return pii.personal_data(table(spark, sf_dir, "documents")).select(
+        "doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(spans).alias("spans")
+    )
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(table(spark, sf_dir, "documents"))
 
@@ -57,13 +69,61 @@ SELECT page_id, host, path, rule,
 FROM clean LEFT JOIN ruled USING (row_no) LEFT JOIN counts USING (row_no)"""
 
 
+def _pii_sql() -> str:
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    moved = "substr(replace(hit, ' ', ''), 5) || substr(replace(hit, ' ', ''), 1, 4)"
+    valid = {
+        "email": "true",
+        "ip": "list_max(list_transform(string_split(hit, '.'), lambda p: CAST('0' || right(ltrim(p, '0'), 4) AS INT) + CASE WHEN length(ltrim(p, '0')) > 3 THEN 999 ELSE 0 END)) <= 255",
+        "card": f"length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda k: CASE WHEN k % 2 = 1 "
+        f"THEN CAST({digits}[-k] AS INT) ELSE (CAST({digits}[-k] AS INT) * 2) // 10 + (CAST({digits}[-k] AS INT) * 2) % 10 END)) % 10 = 0",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "iban": f"list_reduce(list_prepend(0, list_transform(string_split({moved}, ''), lambda c: CASE WHEN c >= 'A' THEN ord(c) - 55 ELSE ord(c) - 48 END)), "
+        "lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1",
+        "tel": "true",
+    }
+    parts = []
+    for no, kind in enumerate(pii.KINDS):
+        pattern = plain.get(kind.name, kind.pattern)
+        parts.append(f"""
+  SELECT row_no, text, {no} AS no, '{kind.name}' AS kind, {kind.base} AS base, hit, first, first + length(hit) AS last FROM (
+    SELECT row_no, text, unnest(hits) AS hit, unnest(list_transform(range(1, len(hits) + 1), lambda k:
+      CAST(list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0) AS INT))) AS first
+    FROM (SELECT row_no, text, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM docs) WHERE len(hits) > 0)
+  WHERE {valid[kind.name]} AND ({kind.base} OR {kind.score} + CASE WHEN regexp_matches(
+    lower(substr(text, greatest(first - {pii.CONTEXT_CHARS}, 0) + 1, least(first, {pii.CONTEXT_CHARS}))), '{kind.context}') THEN {pii.CONTEXT_BONUS} ELSE 0 END >= {pii.MIN_SCORE})""")
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row_no FROM documents),
+spans AS ({" UNION ALL ".join(parts)}),
+kept AS (
+  SELECT * FROM spans s WHERE base OR NOT EXISTS (
+    SELECT 1 FROM spans b WHERE b.base AND b.row_no = s.row_no AND s.first < b.last AND b.first < s.last)),
+rolled AS (
+  SELECT row_no, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+    count(*) FILTER (kind = 'phone') AS n_phone, string_agg(kind || ':' || first || ':' || last, ',' ORDER BY no, first) FILTER (base) AS base_spans,
+    string_agg(kind || ':' || first || ':' || last, ',' ORDER BY no, first) AS spans
+  FROM kept GROUP BY row_no)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN rolled USING (row_no)"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_pii": op3_pii,
     "op5_token_counts": op5_token_counts,
+    "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op8_html_text": op8_html_text,
 }
 
 ORACLE = {
     "op1_url_filter": _url_sql(),
+    "op3_pii": _pii_sql(),
 }
