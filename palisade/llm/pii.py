@@ -51,6 +51,8 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), add) == 1
 
 
+# What every account number begins with; most places of a text fail it at their first character.
+AHEAD = "(?=[A-Z]{2}[0-9]{2})"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -81,7 +83,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", luhn, 0.7, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: F.length(_digits(v)).between(9, 15), 0.6, "phone|tel|call|mobile|fax", "+"),
     Kind(
-        "iban", "|".join(f"{c}[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTHS.items()), mod97,
+        "iban", AHEAD + "(?:" + "|".join(f"{c}[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTHS.items()) + ")", mod97,
         0.7, "iban|account|bank|konto", base=False,
     ),
     Kind("tel", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", lambda v: F.lit(True), 0.3, "phone|tel|call|mobile|fax", base=False),

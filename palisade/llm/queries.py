@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, packing, pii, sharding, token_counts, url_filter
+from . import html_text, language, packing, pii, sharding, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).withColumn("terms", F.array_join("terms", ","))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, base = F.col("personal_data"), F.filter("personal_data", pii.of_kinds([k.name for k in pii.KINDS if k.base]))
     counts = [F.size(F.filter(spans, pii.of_kinds([k]))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
@@ -90,7 +94,7 @@ def _pii_sql() -> str:
     }
     parts = []
     for no, kind in enumerate(pii.KINDS):
-        pattern = plain.get(kind.name, kind.pattern)
+        pattern = plain.get(kind.name, kind.pattern.removeprefix(pii.AHEAD))
         parts.append(f"""
   SELECT row_no, text, {no} AS no, '{kind.name}' AS kind, {kind.base} AS base, hit, first, first + length(hit) AS last FROM (
     SELECT row_no, text, unnest(hits) AS hit, unnest(list_transform(range(1, len(hits) + 1), lambda k:
@@ -116,6 +120,7 @@ FROM docs LEFT JOIN rolled USING (row_no)"""
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_language": op2_language,
     "op3_pii": op3_pii,
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
