@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, language, packing, pii, sharding, token_counts, url_filter
+from . import ann, html_text, language, packing, pii, sharding, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), vec_col="embedding")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(table(spark, sf_dir, "documents"))
 
@@ -122,6 +127,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language": op2_language,
     "op3_pii": op3_pii,
+    "op4_ann": op4_ann,
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
