@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, html_text, language, packing, pii, sharding, token_counts, url_filter
+from . import ann, decontaminate, html_text, jaccard, language, packing, pii, sharding, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,14 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, part=90, base=100))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _url_sql() -> str:
     rules = ", ".join(f"('{rule}', split_part('{rule}', '/', 1), substr('{rule}', strpos('{rule}', '/')), '{verdict}')" for verdict, rule in url_filter.RULES)
     terms = ", ".join(f"('{t}', {'true' if t in url_filter.STRICT_TERMS else 'false'})" for t in sorted({*url_filter.STRICT_TERMS, *url_filter.SOFT_TERMS}))
@@ -132,6 +140,8 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op8_html_text": op8_html_text,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE = {
