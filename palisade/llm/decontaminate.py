@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -89,7 +90,7 @@ def matches(automaton, parts: list[Segment], text: str) -> Iterator[tuple[int, i
     verified once per segment however many pieces hit it.
     """
     starts: dict[int, set[int]] = {}
-    for end, places in automaton.iter(text):
+    for end, places in automaton.iter(text) if automaton is not None else ():
         for part, offset, length in places:
             starts.setdefault(part, set()).add(end + 1 - length - offset)
     found: dict[int, tuple[int, int]] = {}
@@ -141,30 +142,59 @@ def find_items(
     Null texts, and items without letters or digits, match nothing; equal items are reported each; repeated document rows
     are reported each; empty tables give an empty result; other columns are not carried along.
     """
-    items = only(benchmark, item_id=f"{item_col}:long", text=f"{item_text_col}:string").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    passes = 1 + (items.select(F.sum(F.length("text"))).head()[0] or 0) // pass_chars
     texts = only(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string").filter("text IS NOT NULL")
 
-    def one_pass(rows: list) -> DataFrame:
-        listed = [(r["item_id"], r["text"]) for r in rows]
-
+    def detector(listed: list[tuple[int, str]]):
         def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [s for item_id, text in listed for s in segments(item_id, text, rate)]
-            automaton = build_automaton(parts) if parts else None
+            parts, automaton = prepare(listed, rate)
             for batch in rows_below(batches, TEXT_BATCH_ROWS):
                 out: list[tuple] = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    if automaton:
-                        out += [(doc_id, *m) for m in matches(automaton, parts, normalize(text))]
+                    out += [(doc_id, *m) for m in matches(automaton, parts, normalize(text))]
                 columns = list(zip(*out, strict=True)) if out else [()] * 4
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "distance", "budget"])
 
-        return texts.mapInArrow(detect, SCHEMA)
+        return detect
+
+    found = [texts.mapInArrow(detector(listed), SCHEMA) for listed in item_passes(benchmark, item_col, item_text_col, pass_chars)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    rate: float = ERROR_RATE, pass_chars: int = PASS_CHARS,
+) -> DataFrame:
+    """Documents that hold no benchmark item, with all their columns; see :func:`find_items`. Null texts stay.
+
+    Each pass of items filters what the pass before it has kept, where the documents are: nothing is shuffled or joined.
+    """
+    at = next(k for k, f in enumerate(docs.schema.fields) if f.name == text_col)
+
+    def remover(listed: list[tuple[int, str]]):
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, automaton = prepare(listed, rate)
+            for batch in rows_below(batches, TEXT_BATCH_ROWS):
+                kept = [t is None or next(matches(automaton, parts, normalize(t)), None) is None for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(kept, pa.bool_()))
+
+        return clean
+
+    for listed in item_passes(benchmark, item_col, item_text_col, pass_chars):
+        docs = docs.mapInArrow(remover(listed), docs.schema)
+    return docs
+
 
-    found = None
+def item_passes(benchmark: DataFrame, item_col: str, item_text_col: str, pass_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items in passes of about ``pass_chars`` characters each; at least one pass, if an empty one."""
+    items = only(benchmark, item_id=f"{item_col}:long", text=f"{item_text_col}:string").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    passes = 1 + (items.select(F.sum(F.length("text"))).head()[0] or 0) // pass_chars
     for k in range(passes):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        part = one_pass(rows)
-        found = part if found is None else found.unionByName(part)
-    return found
+        yield [(r["item_id"], r["text"]) for r in rows]
+
+
+def prepare(listed: list[tuple[int, str]], rate: float):
+    """Segments of the items and the automaton of their pieces, in a task."""
+    parts = [s for item_id, text in listed for s in segments(item_id, text, rate)]
+    return parts, build_automaton(parts) if parts else None

@@ -135,7 +135,11 @@ def fit(
     rows = only(labelled, doc_id=f"{id_col}:long", text=f"{text_col}:string", lang=f"{lang_col}:string").filter("lang IS NOT NULL AND text IS NOT NULL")
     draw = Window.partitionBy("lang").orderBy("draw", "doc_id")
     ids = rows.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(SEED)).alias("draw"))
-    chosen = ids.withColumn("no", F.row_number().over(draw)).filter(F.col("no") <= per_lang).select("lang", "doc_id", "draw").distinct()
+    chosen = ids.withColumn("no", F.row_number().over(draw)).filter(F.col("no") <= per_lang)
+    bounds = chosen.groupBy("lang").agg(F.max("draw").alias("bound")).collect()  # one row per language
+    if not bounds:
+        return None
+    bound = F.create_map(*(F.lit(v) for r in bounds for v in (r["lang"], r["bound"])))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_below(batches, TEXT_BATCH_ROWS):
@@ -148,7 +152,8 @@ def fit(
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "draw", "doc_id", "no", "bytes"])
 
-    texts = rows.join(chosen, ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"]).select("lang", "draw", "doc_id", "text")
+    drawn = rows.withColumn("draw", F.xxhash64("doc_id", F.lit(SEED))).filter(F.col("draw") <= F.element_at(bound, F.col("lang")))
+    texts = drawn.dropDuplicates(["lang", "doc_id"]).select("lang", "draw", "doc_id", "text")
     sample = texts.mapInArrow(windows, "lang string, draw long, doc_id long, no long, bytes binary").toPandas()
     if sample.empty:
         return None
