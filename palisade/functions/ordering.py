@@ -6,29 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Largest limit for which Spark prunes inside each input partition before the
-# shuffle of a row_number() window (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
-# Limits above this are applied within PARTS parts of a group first.
-SALT_ABOVE, PARTS = 100, 64
-
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, rank: str = "rank") -> DataFrame:
     """First ``limit`` rows of every group, with their 1-based rank.
 
-    For limits up to ``GROUP_LIMIT`` Catalyst plans a partial group limit, so a
-    hot group ships at most ``limit`` rows per input partition.  Larger limits
-    go through :func:`with_position`.
+    For displays: Catalyst plans a partial group limit, so a hot group ships at
+    most ``limit`` rows per input partition. Whole groups are numbered by
+    :func:`with_position`.
     """
-    if limit > GROUP_LIMIT:
-        raise ValueError("use with_position() for limits beyond the partial group limit")
-    if limit > SALT_ABOVE:
-        # Large limits x many input partitions would still meet in one task for a
-        # hot group, so the rows are first cut down within a few parts of it.
-        part = "__part"
-        salted = df.withColumn(part, F.spark_partition_id() % PARTS)
-        inner = Window.partitionBy(*keys, part).orderBy(*order)
-        df = salted.withColumn(rank, F.row_number().over(inner)).filter(F.col(rank) <= limit).drop(part, rank)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= limit)
 

@@ -86,66 +86,42 @@ def truncate_context(text: Column | str, limit: int = K.CONTEXT_CHARS) -> Column
     ).otherwise(text)
 
 
-def fit_token_budget(prompt: Column | str, context_size: int, output_tokens: int) -> Column:
-    """Cut a prompt to its context window, section by section.
+def budget_parts(prompt: Column | str, context_size: int, output_tokens: int) -> Column:
+    """A prompt as parts that each fit the context window; joined by blank lines they hold every section.
 
-    One fold over the section *sizes* finds how many whole sections fit and how
-    many characters of the first overflowing one remain; the text itself is then
-    assembled with slices.  Everything stays inside the row: no explode, no
-    window and no shuffle of the texts.
+    Sections (between blank lines) fill a part as long as they fit; one that fits no part is cut into pieces of a whole
+    part. One fold over the section *sizes* gives each its part, so texts are only sliced: no explode, no window and no
+    shuffle of the texts.
     """
-    prompt = _col(prompt)
     available = context_size - output_tokens - K.TOKEN_SAFETY
-    sections = F.split(prompt, "\n\n", -1)
-    first = F.element_at(sections, 1)
-    first_tokens = F.greatest(token_count(first), F.lit(1))
-    remaining = (F.lit(available) - first_tokens - F.lit(K.SECTION_BUFFER)).cast("int")
-    start = F.struct(
-        remaining.alias("left"), F.lit(0).alias("taken"), F.lit(False).alias("stopped")
+    most = available * K.CHARS_PER_TOKEN
+    sections = F.split(_col(prompt), "\n\n", -1)
+    pieces = F.flatten(
+        F.transform(
+            sections,
+            lambda s: F.transform(
+                F.sequence(F.lit(0), F.greatest(F.ceil(F.length(s) / F.lit(most)), F.lit(1)).cast("int") - 1),
+                lambda k: F.substring(s, k * most + 1, F.lit(most)),
+            ),
+        )
     )
+    start = F.struct(F.lit(0).alias("used"), F.array(F.lit(0)).alias("starts"), F.lit(0).alias("at"))
 
-    def step(acc: Column, part: Column) -> Column:
-        fits = ~acc["stopped"] & (token_count(part) <= acc["left"])
+    def step(acc: Column, piece: Column) -> Column:
+        tokens = token_count(piece) + K.SECTION_BUFFER
+        fits = (acc["at"] == 0) | (acc["used"] + tokens <= available)
         return F.struct(
-            (acc["left"] - F.when(fits, token_count(part)).otherwise(0)).alias("left"),
-            (acc["taken"] + F.when(fits, 1).otherwise(0)).alias("taken"),
-            (acc["stopped"] | ~fits).alias("stopped"),
+            F.when(fits, acc["used"] + tokens).otherwise(tokens).alias("used"),
+            F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"]))).alias("starts"),
+            (acc["at"] + 1).alias("at"),
         )
 
-    tail = F.slice(sections, F.lit(2), F.greatest(F.size(sections) - 1, F.lit(0)))
-    fold = F.aggregate(tail, start, step)
-    # An array of one struct lets the fold result be bound once and reused.
-    joined = F.element_at(
-        F.transform(
-            F.array(fold),
-            lambda f: F.array_join(
-                F.concat(
-                    F.slice(sections, F.lit(1), f["taken"] + 1),
-                    F.when(
-                        f["stopped"],
-                        F.array(
-                            F.concat(
-                                F.left(F.get(sections, f["taken"] + 1), f["left"] * K.CHARS_PER_TOKEN), F.lit("...")
-                            )
-                        ),
-                    ).otherwise(F.array().cast("array<string>")),
-                ),
-                "\n\n",
-            ),
-        ),
-        1,
-    )
-    keep = available * K.CHARS_PER_TOKEN // 2
-    halves = F.concat(F.left(prompt, F.lit(keep)), F.lit(K.HALVES_MARK), F.right(prompt, F.lit(keep)))
-    return (
-        F.when(token_count(prompt) <= available, prompt)
-        .when(
-            F.contains(prompt, F.lit("\n\n")),
-            F.when(
-                remaining <= 0,
-                F.concat(F.left(first, F.floor(F.length(first) / 2).cast("int")), F.lit("...")),
-            ).otherwise(joined),
+    def cut(bound: Column) -> Column:
+        ends = F.concat(F.slice(bound["starts"], F.lit(2), F.size(bound["starts"])), F.array(F.size(bound["pieces"])))
+        return F.transform(
+            bound["starts"], lambda s, k: F.array_join(F.slice(bound["pieces"], s + 1, F.get(ends, k) - s), "\n\n")
         )
-        .when(F.lit(available * K.CHARS_PER_TOKEN) >= F.length(prompt), prompt)
-        .otherwise(halves)
-    )
+
+    # Arrays of one element let an expression be bound once and reused.
+    folded = F.transform(F.array(pieces), lambda p: F.struct(F.aggregate(p, start, step, lambda a: a["starts"]).alias("starts"), p.alias("pieces")))
+    return F.element_at(F.transform(folded, cut), 1)

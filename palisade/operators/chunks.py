@@ -46,8 +46,8 @@ def window_chunks(text: str, size: int = K.LARGE_CHUNK_CHARS, overlap: int = K.L
     return out
 
 
-def split_chunks(content: Column | str, large_from: int = K.LARGE_TEXT_CHARS) -> Column:
-    """Chunk texts of each row; texts longer than ``large_from`` use fixed windows.
+def split_chunks(content: Column | str, windows: bool = False) -> Column:
+    """Chunk texts of each row: whole lines, or fixed ``windows`` for texts without useful lines, as the caller says.
 
     The start of a chunk depends on the end of the one before it, so this runs
     in Arrow batches; rows only meet their own text.
@@ -55,18 +55,19 @@ def split_chunks(content: Column | str, large_from: int = K.LARGE_TEXT_CHARS) ->
 
     @pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if not t else window_chunks(t) if len(t) > large_from else line_chunks(t))
+        cut = window_chunks if windows else line_chunks
+        return texts.map(lambda t: cut(t) if t else [])
 
     return run(content)
 
 
-def chunks(files: DataFrame, text: str = "content", large_from: int = K.LARGE_TEXT_CHARS) -> DataFrame:
+def chunks(files: DataFrame, text: str = "content", windows: bool = False) -> DataFrame:
     """One row per chunk with its per-file ordinal; other columns pass through in the JVM.
 
     Empty and missing texts have no chunks.
     """
     keep = [c for c in files.columns if c != text]
-    return files.select(*keep, F.posexplode(items(split_chunks(text, large_from))).alias("chunk_idx", text))
+    return files.select(*keep, F.posexplode(items(split_chunks(text, windows))).alias("chunk_idx", text))
 
 
 def with_embedding_idx(chunked: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def file_summary(comps: DataFrame) -> DataFrame:
     return comps.withColumn("summary", F.when(structured, summary)).withColumn(
         "indexed_text",
         F.when(
-            structured, F.concat("summary", F.lit("\n\n"), F.left("content", F.lit(K.SUMMARY_CONTENT_CHARS)))
+            structured, F.concat("summary", F.lit("\n\n"), "content")
         ).otherwise(F.col("content")),
     )
 

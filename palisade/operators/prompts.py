@@ -11,67 +11,47 @@ from ..functions import constants as K, paths as P, text as X
 from ..functions.ordering import first_per_group
 
 
-def _limited_functions(functions: Column, count: int) -> Column:
-    return F.transform(
-        F.slice(functions, 1, count),
-        lambda f: f.withField("parameters", F.slice(f["parameters"], 1, K.LIMIT_ITEMS)),
-    )
-
+def component_parts(comps: DataFrame, classes: int = K.LIMIT_CLASSES, items: int = K.LIMIT_ITEMS, chars: int = K.CONTEXT_CHARS) -> DataFrame:
+    """A component in parts of bounded lists, numbered by ``part``: nothing of it is lost.
 
-def limit_component(comps: DataFrame) -> DataFrame:
-    """Bound every nested list of a component and cut an over-long context in the middle."""
-    out = (
-        comps.withColumn(
-            "classes",
-            F.transform(
-                F.slice("classes", 1, K.LIMIT_CLASSES),
-                lambda c: c.withField("methods", _limited_functions(c["methods"], K.LIMIT_ITEMS)),
-            ),
-        )
-        .withColumn("functions", _limited_functions(F.col("functions"), K.LIMIT_ITEMS))
-        .withColumn("imports", F.slice("imports", 1, K.LIMIT_ITEMS))
-        .withColumn("dependencies", F.slice("dependencies", 1, K.LIMIT_ITEMS))
-    )
+    Part ``p`` holds the p-th ``classes`` classes (with all their methods), the p-th ``items`` functions, imports and
+    dependencies, and the p-th ``chars`` characters of ``context``; a list that is used up is empty.
+    """
+    sizes = {"classes": classes, "functions": items, "imports": items, "dependencies": items}
+    lengths = [F.ceil(F.size(c) / F.lit(n)) for c, n in sizes.items()]
+    if "context" in comps.columns:
+        comps = comps.withColumn("context", F.coalesce("context", F.lit("")))
+        lengths.append(F.ceil(F.length("context") / F.lit(chars)))
+    last = F.greatest(*lengths, F.lit(1)).cast("int") - 1
+    parted = comps.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+    for column, n in sizes.items():
+        parted = parted.withColumn(column, F.slice(column, F.col("part") * n + 1, F.lit(n)))
     if "context" in comps.columns:
-        out = out.withColumn("context", X.truncate_middle("context"))
-    return out
+        parted = parted.withColumn("context", F.substring("context", F.col("part") * chars + 1, F.lit(chars)))
+    return parted
 
 
-def _counted(items: Column, count: int, inner: str, unit: str) -> Column:
+def _counted(items: Column, inner: str, unit: str) -> Column:
     lines = F.transform(
-        F.slice(items, 1, count),
-        lambda i: F.concat(F.lit("- "), i["name"], F.lit(" ("), F.size(i[inner]), F.lit(f" {unit})\n")),
+        items, lambda i: F.concat(F.lit("- "), i["name"], F.lit(" ("), F.size(i[inner]), F.lit(f" {unit})\n"))
     )
     return F.array_join(lines, "")
 
 
-def structure_prompts(comps: DataFrame, context: str = "context", context_size: int = 100_000) -> DataFrame:
-    """Packed text of a component for structure analysis, with its token estimate.
+def structure_prompts(comps: DataFrame, context: str = "context") -> DataFrame:
+    """Packed texts of a component for structure analysis, with their token estimates.
 
-    A text beyond the window loses context characters in proportion, with a margin.
+    One prompt per part of :func:`component_parts`, so each stays far below a model's window and together they show
+    the whole component.
     """
-    snippet = X.truncate_context(F.coalesce(F.col(context), F.lit("")))
-
-    def packed(code: Column) -> Column:
-        return F.concat(
-            F.lit("Component: "), "name", F.lit(" ("), "path", F.lit(")\n\nClasses:\n"),
-            _counted(F.col("classes"), K.LIMIT_CLASSES, "methods", "methods"), F.lit("\nFunctions:\n"),
-            _counted(F.col("functions"), K.LIMIT_ITEMS, "parameters", "params"), F.lit("\nImports: "),
-            F.array_join(F.slice("imports", 1, K.LIMIT_ITEMS), ", "), F.lit("\nCode snippet: "), code,
-        )
-
-    max_tokens = context_size - 800
-    first = comps.withColumn("__code", snippet).withColumn("__tokens", X.token_count(packed(F.col("__code"))))
-    kept = F.floor(
-        F.length("__code") * (F.lit(float(max_tokens)) / F.col("__tokens")) * F.lit(0.7)
-    ).cast("int")
-    code = F.when(
-        (F.col("__tokens") > max_tokens) & (kept < F.length("__code")),
-        F.concat(F.left("__code", kept), F.lit(K.TRUNCATED_MARK)),
-    ).otherwise(F.col("__code"))
-    return first.select(
-        "repo_id", "path", packed(code).alias("prompt"), F.col("__tokens").alias("tokens")
+    parts = component_parts(comps.withColumn("context", F.col(context)))
+    packed = F.concat(
+        F.lit("Component: "), "name", F.lit(" ("), "path", F.lit(")\n\nClasses:\n"),
+        _counted(F.col("classes"), "methods", "methods"), F.lit("\nFunctions:\n"),
+        _counted(F.col("functions"), "parameters", "params"), F.lit("\nImports: "),
+        F.array_join("imports", ", "), F.lit("\nCode snippet: "), F.col("context"),
     )
+    return parts.select("repo_id", "path", "part", packed.alias("prompt")).withColumn("tokens", X.token_count("prompt"))
 
 
 def _texts(items: list[str], when: Column | None = None) -> Column:
@@ -80,7 +60,7 @@ def _texts(items: list[str], when: Column | None = None) -> Column:
 
 
 def component_questions(comps: DataFrame, purpose: str = "purpose", priority: Column | None = None) -> DataFrame:
-    """``(repo_id, path, pos, question)``: the first questions that apply to a component."""
+    """``(repo_id, path, pos, question)``: all questions that apply to a component."""
     ext = P.extension("path")
     aim = F.lower(F.coalesce(F.col(purpose), F.lit("")))
     first = priority if priority is not None else (F.col("is_entry_point") | F.col("is_critical"))
@@ -94,7 +74,7 @@ def component_questions(comps: DataFrame, purpose: str = "purpose", priority: Co
         _texts(K.PRIORITY_QUESTIONS, first),
     )
     return comps.select(
-        "repo_id", "path", "ord", F.posexplode(F.slice(asked, 1, K.QUESTION_LIMIT)).alias("pos", "question")
+        "repo_id", "path", "ord", F.posexplode(asked).alias("pos", "question")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas
 from ..functions import constants as K, text as X
-from ..functions.ordering import first_per_group
+from ..functions.ordering import with_position
 
 
 def _key(line: Column) -> Column:
@@ -180,10 +180,11 @@ def vulnerability_rows(responses: DataFrame) -> DataFrame:
     )
 
 
-def default_boundary(files: DataFrame, boundaries: DataFrame, limit: int = K.DEFAULT_BOUNDARY_FILES) -> DataFrame:
-    """One boundary over the first files of each repository that has none."""
+def default_boundary(files: DataFrame, boundaries: DataFrame, limit: int | None = None) -> DataFrame:
+    """One boundary over the files of each repository that has none, the first ``limit`` if asked."""
     missing = files.join(boundaries.select("repo_id").distinct(), "repo_id", "left_anti")
-    return first_per_group(missing, ["repo_id"], [F.asc("ord")], limit, "position").select(
+    placed = with_position(missing, ["repo_id"], "ord", "position")
+    return (placed if limit is None else placed.filter(F.col("position") <= limit)).select(
         "repo_id", F.lit("Default Boundary").alias("boundary"),
         F.lit("Default security boundary for all components").alias("description"),
         F.col("position").cast("long").alias("position"), F.col("path").alias("member"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, paths as P
-from ..functions.ordering import first_per_group
+from ..functions.ordering import first_per_group, with_position
 
 
 def _scanned_for_language(path: str = "path") -> Column:
@@ -98,14 +98,12 @@ def architecture_pattern(files: DataFrame) -> DataFrame:
     return files.groupBy("repo_id").agg(pattern.alias("architecture_pattern"))
 
 
-def extension_boundaries(components: DataFrame) -> DataFrame:
-    """Fallback boundaries: the first files of each well-known extension."""
+def extension_boundaries(components: DataFrame, most: int | None = None) -> DataFrame:
+    """Fallback boundaries: the files of each well-known extension, the first ``most`` if asked."""
     suffix = F.regexp_extract("path", r"(\.php|\.py|\.js)$", 1)
-    ranked = first_per_group(
-        components.withColumn("ext", suffix).filter(F.col("ext").isin(K.EXTENSION_BOUNDARIES)),
-        ["repo_id", "ext"], [F.asc("ord")], K.EXTENSION_BOUNDARY_FILES,
-    )
-    return ranked.select(
+    fitting = components.withColumn("ext", suffix).filter(F.col("ext").isin(K.EXTENSION_BOUNDARIES))
+    ranked = with_position(fitting, ["repo_id", "ext"], "ord", "rank")
+    return (ranked if most is None else ranked.filter(F.col("rank") <= most)).select(
         "repo_id",
         F.concat(F.upper(F.substring("ext", 2, 10)), F.lit(" Components")).alias("boundary"),
         F.concat(F.lit("Automatically detected boundary for "), "ext", F.lit(" files")).alias("description"),

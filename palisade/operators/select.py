@@ -5,47 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, paths as P
-from ..functions.ordering import first_per_group, with_position
+from ..functions.ordering import with_position
 
 
-def path_search(files: DataFrame, pattern: str, max_results: int = K.SEARCH_LIMIT) -> DataFrame:
-    """First ``max_results`` distinct paths of each repository that match, in input order."""
+def path_search(files: DataFrame, pattern: str, max_results: int | None = None) -> DataFrame:
+    """Distinct paths of each repository that match, numbered in input order; the first ``max_results`` if asked."""
     hits = (
         files.filter((F.col("path") != "") & P.path_matches("path", pattern))
         .groupBy("repo_id", "path")
         .agg(F.min("ord").alias("ord"))
     )
-    return first_per_group(hits, ["repo_id"], [F.asc("ord")], max_results)
+    return limited(with_position(hits, ["repo_id"], "ord", "rank"), "rank", max_results)
 
 
-def pattern_hits(files: DataFrame, words: list[str], limit: int = K.SEARCH_LIMIT) -> DataFrame:
-    """``(repo_id, pos, word, path, ord)``: the first ``limit`` paths per word.
-
-    One scan serves all words; the per-word cap is a group limit, so at most
-    ``limit`` rows per word, repository and input partition are shuffled.
-    """
-    matched = files.select(
-        "repo_id", "path", "ord", F.explode(P.matching_words("path", words)).alias("m")
-    ).select("repo_id", "path", "ord", "m.pos", "m.word")
-    return first_per_group(matched, ["repo_id", "pos"], [F.asc("ord")], limit).drop("rank")
+def is_critical(path: Column | str = "path", entry: Column | str = "is_entry_point") -> Column:
+    """Entry points, and paths that hold a security or database word."""
+    return P._col(entry) | P.contains_any(P._col(path), [*K.SECURITY_WORDS, *K.DATABASE_WORDS])
 
 
 def critical_files(comps: DataFrame) -> DataFrame:
-    """Entry points plus the security and database search hits, distinct."""
-    hits = pattern_hits(comps, K.SECURITY_WORDS).unionByName(pattern_hits(comps, K.DATABASE_WORDS))
-    entries = comps.filter("is_entry_point").select("repo_id", "path")
-    return entries.unionByName(hits.select("repo_id", "path")).distinct()
+    """Distinct paths of the critical files of each repository."""
+    return comps.filter(is_critical()).select("repo_id", "path").distinct()
 
 
-def flag_critical(comps: DataFrame, critical: DataFrame) -> DataFrame:
-    """Set ``is_critical``; nothing else of a component changes."""
-    marks = critical.select("repo_id", "path").distinct().withColumn("__hit", F.lit(True))
-    return (
-        comps.drop("is_critical")
-        .join(marks, ["repo_id", "path"], "left")
-        .withColumn("is_critical", F.coalesce("__hit", F.lit(False)))
-        .drop("__hit")
-    )
+def flag_critical(comps: DataFrame) -> DataFrame:
+    """Set ``is_critical``; a map over the rows, nothing else of a component changes."""
+    return comps.withColumn("is_critical", is_critical())
 
 
 def is_priority(name: Column | str = "name", path: Column | str = "path", entry: Column | str = "is_entry_point") -> Column:
@@ -53,62 +38,37 @@ def is_priority(name: Column | str = "name", path: Column | str = "path", entry:
     return words(name) | words(path) | P._col(entry)
 
 
-def priority_components(
-    comps: DataFrame, large_cap: int = K.PRIORITY_CAP_LARGE, small_cap: int = K.PRIORITY_CAP_SMALL
-) -> DataFrame:
-    """Priority components first, then the others, up to the cap of the repository.
-
-    The small cap applies to repositories of at most ``LARGE_REPO_COMPONENTS``
-    components.  While it is at least that number it keeps them all, so ranking
-    against the large cap alone gives the same rows without counting first.
-    """
-    if min(large_cap, small_cap) < K.LARGE_REPO_COMPONENTS:
-        raise ValueError("caps below the large-repository threshold need a count per repository")
-    flagged = comps.withColumn("is_priority", is_priority())
-    return first_per_group(flagged, ["repo_id"], [F.desc("is_priority"), F.asc("ord")], large_cap, "position")
+def priority_components(comps: DataFrame, cap: int | None = None) -> DataFrame:
+    """All components with their position: priority components first, then the others; the first ``cap`` if asked."""
+    flagged = comps.withColumn("is_priority", is_priority()).withColumn("__tier", F.when(F.col("is_priority"), 0).otherwise(1))
+    return limited(with_position(flagged, ["repo_id"], "ord", "position", tier="__tier").drop("__tier"), "position", cap)
 
 
 def tiered_files(comps: DataFrame) -> DataFrame:
-    """Analysis order: entry points, security, model and API search hits, the rest.
+    """Analysis order: entry points, paths with security, model and API words, the rest.
 
-    ``tier`` is 0 for entry points, 1..n for the search words in their order and
+    ``tier`` is 0 for entry points, 1..n for the first search word that the path holds and
     n+1 for the rest; ``(tier, ord)`` is the order of the list.
     """
     words = [w for group in K.TIER_WORDS.values() for w in group]
-    first_hit = (
-        pattern_hits(comps, words).groupBy("repo_id", "path").agg((F.min("pos") + 1).alias("hit"))
-    )
-    rest = len(words) + 1
-    tier = F.when(F.col("is_entry_point"), 0).otherwise(F.coalesce("hit", F.lit(rest)))
-    return (
-        comps.select("repo_id", "path", "ord", "is_entry_point")
-        .join(first_hit, ["repo_id", "path"], "left")
-        .select("repo_id", "path", "ord", "is_entry_point", tier.cast("int").alias("tier"))
-    )
+    first = F.get(P.matching_words("path", words), F.lit(0))["pos"] + 1
+    tier = F.when(F.col("is_entry_point"), 0).otherwise(F.coalesce(first, F.lit(len(words) + 1)))
+    return comps.select("repo_id", "path", "ord", "is_entry_point", tier.cast("int").alias("tier"))
 
 
-def capped_files(tiered: DataFrame, cap: int = K.FILE_CAP) -> DataFrame:
-    """Files of the architecture analysis: test paths dropped, at most ``cap`` per repository.
+def capped_files(tiered: DataFrame, cap: int | None = None) -> DataFrame:
+    """Files of the architecture analysis in tiered order, test paths dropped; the first ``cap`` per repository if asked.
 
-    A repository within the cap keeps its tiered order.  One beyond it is
-    re-tiered: entry points, then the cap words in order, then the rest.
-    Positions come from range counts, so the cap never sorts a whole repository
-    in one task, and no count of a repository has to be broadcast.
+    Positions come from range counts, so no whole repository is sorted in one task.
     """
     files = tiered.filter(~P.is_test_path("path"))
-    words = P.matching_words(F.lower("path"), K.FILE_CAP_WORDS)
-    retier = F.when(F.col("is_entry_point"), 0).otherwise(
-        F.coalesce(F.get(words, F.lit(0))["pos"] + 1, F.lit(len(K.FILE_CAP_WORDS) + 1))
-    )
-    sizes = files.groupBy("repo_id").agg((F.count(F.lit(1)) > cap).alias("over"))
-    ordered = files.join(sizes, "repo_id").withColumn(
-        "tier", F.when(F.col("over"), retier).otherwise(F.col("tier")).cast("int")
-    )
-    return (
-        with_position(ordered, ["repo_id"], "ord", "position", tier="tier")
-        .filter(F.col("position") <= cap)
-        .select("repo_id", "path", "ord", "tier", "position")
-    )
+    placed = with_position(files, ["repo_id"], "ord", "position", tier="tier")
+    return limited(placed, "position", cap).select("repo_id", "path", "ord", "tier", "position")
+
+
+def limited(df: DataFrame, position: str, most: int | None) -> DataFrame:
+    """Rows up to a position, all of them where no limit is asked for."""
+    return df if most is None else df.filter(F.col(position) <= most)
 
 
 def restricted_edges(edges: DataFrame, files: DataFrame) -> DataFrame:

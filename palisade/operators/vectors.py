@@ -5,24 +5,20 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions import constants as K
 from ..functions.ordering import first_per_group
 
 DIM = 64
 DISTANCE_DIGITS = 6
-# A query side is only shipped to every task below this size.
-MAX_BROADCAST_BYTES = 32 << 20
 BLOCK_ROWS = 2048
-# Upper bound of distances held at once by a task that scans for many queries.
-MAX_CELL = 1 << 22
 
-_TOKEN = re.compile(r"[0-9A-Za-z_À-ɏ]+")
+_TOKEN = re.compile(r"\w+")  # letters and digits of all scripts
 _CACHE_TOKENS = 1 << 18
 
 
@@ -119,7 +115,6 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def knn(
     queries: DataFrame, corpus: DataFrame, k: int, scope: str | None = None, block_rows: int = BLOCK_ROWS,
-    broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Exact k nearest neighbours by squared L2 distance, ties by id.
 
@@ -127,23 +122,15 @@ def knn(
     with string or integer ids; a query only sees rows of its own ``scope`` value.
     Distances are rounded so that ranks do not depend on summation order.
 
-    Either way the corpus is read once and each task ships k rows per query:
-
-    * a query side of checked size goes to the tasks and the corpus is not
-      shuffled at all;
-    * otherwise both sides are cut into blocks of bounded size that meet in a
-      grid of cells, however large a scope is.
+    Both sides are cut into blocks of bounded size that meet in a grid of cells,
+    however large a scope is; a cell ships k rows per query.
     """
     qs = queries if "k" in queries.columns else queries.withColumn("k", F.lit(k))
     types = {f.name: f.dataType.simpleString() for f in corpus.schema} | {
         "query_id": queries.schema["query_id"].dataType.simpleString()
     }
     out = f"query_id {types['query_id']}, id {types['id']}, distance double"
-    small = None if scope else _bounded(qs, broadcast_bytes)
-    if small is not None:
-        partial = _scan_top(small, corpus, out, block_rows)
-    else:
-        partial = _grid_top(qs, corpus, scope, out, block_rows)
+    partial = _grid_top(qs, corpus, scope, out, block_rows)
     ranked = partial.join(qs.select("query_id", "k").distinct(), "query_id") if "k" in queries.columns else (
         partial.withColumn("k", F.lit(k))
     )
@@ -151,49 +138,6 @@ def knn(
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k")).drop("k")
 
 
-def _bounded(queries: DataFrame, max_bytes: int) -> pd.DataFrame | None:
-    """The query side if it provably fits in ``max_bytes``, else None.
-
-    At most one row beyond the bound is ever read.
-    """
-    first = queries.select(F.size("embedding")).head()
-    if first is None:
-        return queries.limit(0).toPandas()
-    limit = max(max_bytes // (8 * max(first[0], 1)), 1)
-    rows = queries.select("query_id", "embedding", "k").limit(limit + 1).toPandas()
-    return rows if len(rows) <= limit else None
-
-
-def _scan_top(small: pd.DataFrame, corpus: DataFrame, schema: str, block_rows: int) -> DataFrame:
-    shipped = None
-    if len(small):
-        shipped = corpus.sparkSession.sparkContext.broadcast(
-            (small["query_id"].to_numpy(), _matrix(small["embedding"]), small["k"].to_numpy())
-        )
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if shipped is None:
-            return
-        qid, q, qk = shipped.value
-        step = max(min(block_rows, MAX_CELL // len(qid)), 16)
-        best: pd.DataFrame | None = None
-        for pdf in batches:
-            for at in range(0, len(pdf), step):
-                part = pdf.iloc[at:at + step]
-                top = _local_top(qid, q, qk, part["id"].to_numpy(), _matrix(part["embedding"]))
-                best = top if best is None else _merge(best, top, qid, qk)
-        if best is not None:
-            yield best
-
-    return corpus.select("id", "embedding").mapInPandas(scan, schema)
-
-
-def _merge(a: pd.DataFrame, b: pd.DataFrame, qid: np.ndarray, qk: np.ndarray) -> pd.DataFrame:
-    both = pd.concat([a, b], ignore_index=True).sort_values(["query_id", "distance", "id"], kind="stable")
-    limits = both["query_id"].map(pd.Series(qk, index=qid))
-    return both[both.groupby("query_id").cumcount() < limits]
-
-
 def _grid_top(queries: DataFrame, corpus: DataFrame, scope: str | None, schema: str, block_rows: int) -> DataFrame:
     """Blocks of both sides meet in cells; no cell exceeds about two blocks."""
     key = scope or "__scope"
@@ -234,42 +178,40 @@ def _grid_top(queries: DataFrame, corpus: DataFrame, scope: str | None, schema:
 # -- filters and retrieval ---------------------------------------------------------
 
 
-def matches_metadata(metadata: dict[str, Column], wanted: dict[str, object]) -> Column:
-    """Vacuously true if either side is empty; a missing key never matches."""
-    if not metadata or not wanted:
-        return F.lit(True)
-    ok = F.lit(True)
-    for key, value in wanted.items():
-        if key not in metadata:
-            return F.lit(False)
-        have = metadata[key]
-        ok = ok & (have.isin(list(value)) if isinstance(value, list) else (have == F.lit(value)))
-    return F.coalesce(ok, F.lit(False))
+def matches_metadata(metadata: Column | str, wanted: dict[str, object]) -> Column:
+    """Whether an entry's metadata, a map of texts, holds every wanted value, or one of a list of them.
+
+    An entry without metadata matches, as does every entry if nothing is wanted; a key that an entry lacks does not.
+    """
+    held = F.col(metadata) if isinstance(metadata, str) else metadata
+
+    def allowed(key: str, value: object) -> Column:
+        options = value if isinstance(value, list | tuple | set) else [value]
+        return F.coalesce(F.try_element_at(held, F.lit(key)).isin([str(o) for o in options]), F.lit(False))
+
+    bare = F.coalesce(F.size(held), F.lit(0)) <= 0
+    return bare | reduce(Column.__and__, (allowed(k, v) for k, v in wanted.items()), F.lit(True))
 
 
 def knn_filtered(
-    queries: DataFrame, corpus: DataFrame, k: int, keep: Column, scope: str | None = None, prefilter: bool = False
+    queries: DataFrame, corpus: DataFrame, k: int, keep: Column | None = None, match: dict[str, str] | None = None,
+    scope: str | None = None,
 ) -> DataFrame:
-    """Take the 3k nearest, apply ``keep`` (over query and corpus columns), keep the first k.
+    """Nearest neighbours among the rows that pass a filter; the filter comes before the ranking and starves no query.
 
-    ``prefilter`` filters the corpus before ranking instead, so a selective
-    filter cannot starve the result; ``keep`` may then only use corpus columns.
+    ``keep`` is a condition on corpus columns; ``match`` names query columns and the corpus columns that must equal
+    them, which become part of the scope in which a query searches.
     """
-    if prefilter:
-        return knn(queries, corpus.filter(keep), k, scope)
-    wide = queries.withColumn("k", F.col("k") * K.OVERSAMPLE) if "k" in queries.columns else queries
-    near = knn(wide, corpus, k * K.OVERSAMPLE, scope)
-    meta = corpus.drop("embedding", *([scope] if scope else []))
-    extra = queries.drop("embedding", *([scope] if scope else []))
-    if "k" not in extra.columns:
-        extra = extra.withColumn("k", F.lit(k))
-    kept = near.join(meta, "id").join(extra, "query_id").filter(keep)
-    w = Window.partitionBy("query_id").orderBy("rank")
-    return (
-        kept.withColumn("__r", F.row_number().over(w))
-        .filter(F.col("__r") <= F.col("k"))
-        .select("query_id", "id", "distance", F.col("__r").alias("rank"))
-    )
+    found = corpus if keep is None else corpus.filter(keep)
+    if not match:
+        return knn(queries, found, k, scope)
+
+    def scoped(df: DataFrame, columns: list[str]) -> DataFrame:
+        parts = [F.col(c).cast("string").alias(f"c{n}") for n, c in enumerate([*columns, *([scope] if scope else [])])]
+        known = reduce(Column.__and__, (F.col(c).isNotNull() for c in columns))
+        return df.filter(known).withColumn("__match", F.to_json(F.struct(*parts)))
+
+    return knn(scoped(queries, list(match)), scoped(found, list(match.values())), k, "__match")
 
 
 def rendered_context(path: Column | str = "path", language: Column | str = "language", content: Column | str = "content") -> Column:
@@ -285,7 +227,7 @@ def with_adaptive_k(queries: DataFrame, k: int, is_php: Column) -> DataFrame:
 
 def retrieve(
     queries: DataFrame, chunk_vectors: DataFrame, k: int, scope: str | None = None, keep: Column | None = None,
-    prefilter: bool = False,
+    match: dict[str, str] | None = None,
 ) -> DataFrame:
     """Nearest chunks of each query as rendered contexts.
 
@@ -293,9 +235,7 @@ def retrieve(
     carries ids and vectors only; the texts of the winners are joined at the end.
     """
     index = chunk_vectors.drop("content")
-    near = (
-        knn(queries, index, k, scope) if keep is None else knn_filtered(queries, index, k, keep, scope, prefilter)
-    )
+    near = knn_filtered(queries, index, k, keep, match, scope)
     return near.join(chunk_vectors.select("id", "path", "language", "content"), "id").select(
         "query_id", "rank", "distance", "id", "path", rendered_context().alias("context")
     )

@@ -12,8 +12,6 @@ from ..sources import corpus
 from .oracle_text import any_contains, in_list, over_files, over_symbols, words
 from .views import table, view
 
-CAP = 20
-
 
 def code_files(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "code_files")
@@ -37,11 +35,6 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
     return stage(comps(spark, d).drop("content"), "components")
 
 
-def listed(spark: SparkSession, d: str) -> DataFrame:
-    """Path-level components written once: later branches never touch file contents."""
-    return stage(flat_comps(spark, d), "component-paths")
-
-
 def corpus_filter(spark, d):
     return scanned(spark, d).select(
         "repo_id", P.normalise("path").alias("path"), P.extension("path").alias("ext"),
@@ -108,8 +101,7 @@ def incremental_skip(spark, d):
 
 
 def critical_flags(spark, d):
-    c = listed(spark, d)
-    return S.flag_critical(c, S.critical_files(c)).select("repo_id", "path", "is_entry_point", "is_critical")
+    return S.flag_critical(flat_comps(spark, d)).select("repo_id", "path", "is_entry_point", "is_critical")
 
 
 SEARCHES = ["*auth*", "src/*/*.p?", "model"]
@@ -131,16 +123,16 @@ def priority_components(spark, d):
 
 
 def tiered_files(spark, d):
-    return S.tiered_files(listed(spark, d)).select("repo_id", "path", "ord", "tier")
+    return S.tiered_files(flat_comps(spark, d)).select("repo_id", "path", "ord", "tier")
 
 
 def capped_files(spark, d):
-    return S.capped_files(S.tiered_files(listed(spark, d)), cap=CAP).select("repo_id", "path", "tier", "position")
+    return S.capped_files(S.tiered_files(flat_comps(spark, d))).select("repo_id", "path", "tier", "position")
 
 
 def restricted_edges(spark, d):
     c = parsed(spark, d)
-    files = stage(S.capped_files(S.tiered_files(c), cap=CAP), "file-list")
+    files = S.capped_files(S.tiered_files(c))
     return S.restricted_edges(T.dependency_edges(c), files).select("repo_id", "src_path", "dst_path", "dep_pos")
 
 
@@ -166,7 +158,7 @@ QUERIES = {
     "dependency_edges": dependency_edges,
     "file_relationships": file_relationships,
     "incremental_skip": incremental_skip,
-    "critical_files": lambda s, d: S.critical_files(listed(s, d)),
+    "critical_files": lambda s, d: S.critical_files(flat_comps(s, d)),
     "critical_flags": critical_flags,
     "path_search": path_search,
     "priority_components": priority_components,
@@ -187,13 +179,11 @@ _DEP_EDGES = """dedges AS (
 
 
 def _hits(name: str, items: list[str], lower: bool = False) -> str:
-    """First ten matching paths per word and repository."""
+    """Matching paths per word and repository."""
     p = "lower(path)" if lower else "path"
     return (
         words(name + "_words", items)
-        + f""", {name} AS (SELECT * FROM (SELECT repo_id, path, ord, pos,
-        row_number() OVER (PARTITION BY repo_id, pos ORDER BY ord) AS rn
-        FROM comps, {name}_words WHERE contains({p}, word)) WHERE rn <= 10)"""
+        + f""", {name} AS (SELECT repo_id, path, ord, pos FROM comps, {name}_words WHERE contains({p}, word))"""
     )
 
 
@@ -211,20 +201,10 @@ _TIERED = (
       coalesce((SELECT min(pos) + 1 FROM tier t WHERE t.repo_id = c.repo_id AND t.path = c.path), {len(_TIERS) + 1}) END AS tier
       FROM comps c)"""
 )
-_CAPPED = (
-    words("capw", K.FILE_CAP_WORDS)
-    + f""", sizes AS (SELECT repo_id, count(*) > {CAP} AS over FROM tiered GROUP BY 1),
-    retiered AS (SELECT t.repo_id, t.path, t.ord, CASE WHEN NOT over THEN t.tier WHEN t.is_entry THEN 0 ELSE
-      coalesce((SELECT min(pos) + 1 FROM capw WHERE contains(lower(t.path), word)), {len(K.FILE_CAP_WORDS) + 1}) END AS tier
-      FROM tiered t JOIN sizes USING (repo_id)),
-    capped AS (SELECT * FROM (SELECT repo_id, path, tier, row_number() OVER (PARTITION BY repo_id ORDER BY tier, ord) AS position
-      FROM retiered) WHERE position <= {CAP})"""
-)
+_CAPPED = """capped AS (SELECT repo_id, path, tier, row_number() OVER (PARTITION BY repo_id ORDER BY tier, ord) AS position FROM tiered)"""
 
-CHOSEN = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY is_priority DESC, ord) AS position,
-  count(*) OVER (PARTITION BY repo_id) AS n FROM (
-    SELECT *, is_entry OR {any_contains('lower(path)', K.PRIORITY_WORDS)} AS is_priority FROM comps))
-  WHERE position <= CASE WHEN n > 50 THEN 500 ELSE 1000 END"""
+CHOSEN = f"""SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY is_priority DESC, ord) AS position FROM (
+  SELECT *, is_entry OR {any_contains('lower(path)', K.PRIORITY_WORDS)} AS is_priority FROM comps)"""
 
 ORACLE = {
     "corpus_filter": over_files(
@@ -276,7 +256,7 @@ ORACLE = {
     "extension_boundaries": over_files(
         """SELECT repo_id, upper(e[2:]) || ' Components' AS boundary, 'Automatically detected boundary for ' || e || ' files' AS description,
         position, path FROM (SELECT repo_id, e, path, row_number() OVER (PARTITION BY repo_id, e ORDER BY ord) AS position
-        FROM comps JOIN (VALUES ('.php'), ('.py'), ('.js')) v(e) ON ends_with(path, e)) WHERE position <= 5"""
+        FROM comps JOIN (VALUES ('.php'), ('.py'), ('.js')) v(e) ON ends_with(path, e))"""
     ),
     "key_directories": over_files(
         f"""SELECT repo_id, dir AS directory, count(*) AS file_count, string_agg(DISTINCT type, '|' ORDER BY type) AS languages,
@@ -318,7 +298,7 @@ ORACLE = {
         row_number() OVER (PARTITION BY repo_id, pattern ORDER BY ord) AS rank
         FROM corpus JOIN (VALUES ('*auth*'), ('src/*/*.p?'), ('model')) v(pattern)
         ON CASE WHEN pattern = 'model' THEN contains(path, pattern)
-          WHEN pattern = '*auth*' THEN path LIKE '%auth%' ELSE path LIKE 'src/%/%.p_' END) WHERE rank <= 10"""
+          WHEN pattern = '*auth*' THEN path LIKE '%auth%' ELSE path LIKE 'src/%/%.p_' END)"""
     ),
     "priority_components": over_files(f"SELECT repo_id, path, is_priority, position FROM ({CHOSEN})"),
     "tiered_files": over_files("SELECT repo_id, path, ord, tier FROM tiered", _TIERED),

@@ -61,7 +61,7 @@ def analyze(files: DataFrame, store: ingest.ChunkStore | None = None, primary_on
     kept = store or ingest.open_store(spark, session.scratch_path(spark, "chunks"))
     ingest.ingest_batch(kept, accepted)
     return Analysis(
-        components=S.flag_critical(parsed, critical),
+        components=S.flag_critical(parsed),
         data_flows=T.data_flows(parsed),
         edges=T.import_edges(parsed, paths).unionByName(
             T.dependency_edges(parsed).select(

@@ -9,7 +9,7 @@ from ..functions import constants as K, text as X
 from ..operators import graph as G, prompts as Q, report as Rp, risk as Rk, select as S, structure as T
 from ..sources import corpus, results
 from ..streaming import ingest
-from .corpus_queries import code_files, comps, listed, parsed, scanned
+from .corpus_queries import code_files, comps, flat_comps, parsed, scanned
 from .oracle_text import over_files, over_symbols, quote
 from .text_queries import chunk_ctes
 from .views import ctes, view
@@ -79,7 +79,7 @@ def best_related(spark, d):
 
 def context_samples(spark, d):
     flows_ = Q.cross_flow_samples(cross(spark, d))
-    entries = Q.entry_point_samples(listed(spark, d)).withColumn("position", F.lit(0).cast("long"))
+    entries = Q.entry_point_samples(flat_comps(spark, d)).withColumn("position", F.lit(0).cast("long"))
     return flows_.unionByName(entries)
 
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import constants as K, text as X
 from ..operators import chunks as C, prompts as Q, responses as A, risk as Rk, select as S, structure as T
 from ..session import stage
-from .corpus_queries import CHOSEN, CRITICAL_CTES, comps, listed, parsed, scanned
+from .corpus_queries import CHOSEN, CRITICAL_CTES, comps, flat_comps, parsed, scanned
 from .oracle_text import in_list, over_files, over_symbols, values
 from .views import ANALYSES, BOUNDARY_ANSWERS, ctes, table, view
 
-WINDOW_FROM = 2000  # texts longer than this use fixed windows in ``large_chunks``
 CONTEXT_SIZE, OUTPUT_TOKENS = 700, 100
 
 
@@ -28,7 +27,7 @@ def chunks(spark, d):
 
 
 def large_chunks(spark, d):
-    return C.chunks(documents(spark, d), large_from=WINDOW_FROM).filter(F.col("ord").isNotNull()).select(
+    return C.chunks(documents(spark, d), windows=True).select(
         "ord", "chunk_idx", "content"
     )
 
@@ -47,9 +46,9 @@ def _render(functions):
 
 
 def limited_components(spark, d):
-    limited = Q.limit_component(comps(spark, d).withColumn("context", F.col("content")))
-    return limited.select(
-        "repo_id", "path",
+    parts = Q.component_parts(comps(spark, d).withColumn("context", F.col("content")))
+    return parts.select(
+        "repo_id", "path", "part",
         F.array_join(
             F.transform("classes", lambda c: F.concat(c["name"], F.lit(":"), _render(c["methods"]))), "|"
         ).alias("classes"),
@@ -65,15 +64,11 @@ def prompts(spark, d):
 
 def token_budget(spark, d):
     prompt = F.concat(F.lit("Review the text.\n\n"), F.replace("content", F.lit("\n"), F.lit("\n\n")))
-    fitted = documents(spark, d).select(
+    parts = documents(spark, d).select(
         "ord", X.token_count(prompt).cast("long").alias("tokens"),
-        X.fit_token_budget(prompt, CONTEXT_SIZE, OUTPUT_TOKENS).alias("fitted"),
-        X.fit_token_budget("content", CONTEXT_SIZE, OUTPUT_TOKENS).alias("plain"),
-    )
-    return fitted.select(
-        "ord", "tokens", F.length("fitted").cast("long").alias("chars"), F.md5("fitted").alias("fitted_md5"),
-        F.md5("plain").alias("plain_md5"),
+        F.posexplode(X.budget_parts(prompt, CONTEXT_SIZE, OUTPUT_TOKENS)).alias("part", "text"),
     )
+    return parts.select("ord", "tokens", "part", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 def purposes(spark, d):
@@ -81,8 +76,8 @@ def purposes(spark, d):
 
 
 def asked(spark, d):
-    c = listed(spark, d)
-    flagged = S.flag_critical(S.priority_components(c), S.critical_files(c))
+    c = flat_comps(spark, d)
+    flagged = S.flag_critical(S.priority_components(c))
     return Q.component_questions(flagged.join(purposes(spark, d), ["repo_id", "ord"], "left"))
 
 
@@ -204,7 +199,7 @@ _LARGE = f"""WITH RECURSIVE docs AS (SELECT doc_id AS id, text, length(text) AS
 walk AS (
   SELECT id, 0 AS idx, 1 AS s, CASE WHEN n <= 2000 THEN n ELSE
     2000 - CASE WHEN contains(text[1901:2000], {_NL}) THEN strpos(reverse(text[1901:2000]), {_NL}) - 1 ELSE 0 END END AS e
-  FROM docs WHERE n > {WINDOW_FROM}
+  FROM docs WHERE n > 0
   UNION ALL
   SELECT w.id, w.idx + 1, w.e - 99, CASE WHEN w.e - 100 + 2000 >= n THEN n ELSE
     w.e - 100 + 2000 - CASE WHEN contains(text[w.e - 99 + 1900:w.e - 100 + 2000], {_NL})
@@ -223,59 +218,56 @@ def _listing(title: str, col: str, lead: str) -> str:
       CASE WHEN len({col}) > 5 THEN '... and ' || (len({col}) - 5) || ' more' || {_NL} ELSE '' END END"""
 
 
-_INDEXED = f"""indexed AS (SELECT ord AS id, CASE WHEN summary IS NULL THEN content ELSE summary || {_NL} || {_NL} || left(content, 50000) END AS text
+_INDEXED = f"""indexed AS (SELECT ord AS id, CASE WHEN summary IS NULL THEN content ELSE summary || {_NL} || {_NL} || content END AS text
   FROM (SELECT c.ord, content, CASE WHEN cls.names IS NOT NULL OR fns.names IS NOT NULL THEN
     'File: ' || base || {_NL} || 'Language: ' || type || {_NL} || {_NL} || {_listing('Classes', 'cls.names', "''")}
     || {_listing('Functions', 'fns.names', _NL)} || {_listing('Imports', 'ims.names', _NL)} END AS summary
   FROM comps c LEFT JOIN cls ON cls.path = c.path LEFT JOIN fns ON fns.path = c.path LEFT JOIN ims ON ims.path = c.path))"""
 FILE_CHUNK_CTES = _SYM_LISTS + ", " + _INDEXED + ", " + chunk_ctes("indexed")
 
-_MARK = f"{_NL} || {_NL} || '[...content truncated...]' || {_NL} || {_NL}"
-
-_RENDERED = """rendered AS (SELECT *, name || '(' || array_to_string(string_split(parameters, ',')[:5], ',') || ')' AS sig FROM params),
-cls AS (SELECT path, string_agg(one, '|' ORDER BY seg) AS text FROM (
-  SELECT c.path, c.seg, c.cname || ':' || coalesce(array_to_string(list(m.sig ORDER BY m.n) FILTER (WHERE m.sig IS NOT NULL), ';'), '') AS one,
-    row_number() OVER (PARTITION BY c.path ORDER BY c.seg) AS rn
-  FROM class_segs c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY path, seg ORDER BY n) AS mrn FROM rendered WHERE kind = 'method') m
-    ON m.path = c.path AND m.seg = c.seg AND m.mrn <= 5 GROUP BY c.path, c.seg, c.cname) WHERE rn <= 3 GROUP BY 1),
-fns AS (SELECT path, string_agg(sig, ';' ORDER BY seg) AS text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seg) AS rn
-  FROM rendered WHERE kind = 'function') WHERE rn <= 5 GROUP BY 1),
-ims AS (SELECT path, string_agg(imp, '|' ORDER BY seg) AS text FROM imports WHERE ipos < 5 GROUP BY 1),
-dps AS (SELECT path, string_agg(dep, '|' ORDER BY dpos) AS text FROM deps WHERE dpos < 5 GROUP BY 1)"""
-
-_PROMPT_PARTS = f"""mcounts AS (SELECT c.path, c.seg, c.cname, count(m.mname) AS n FROM class_segs c LEFT JOIN methods m ON m.path = c.path AND m.seg = c.seg GROUP BY 1, 2, 3),
-cls AS (SELECT path, string_agg('- ' || cname || ' (' || n || ' methods)' || {_NL}, '' ORDER BY seg) AS text FROM (
-  SELECT *, row_number() OVER (PARTITION BY path ORDER BY seg) AS rn FROM mcounts) WHERE rn <= 3 GROUP BY 1),
-fns AS (SELECT path, string_agg('- ' || name || ' (' || CASE WHEN parameters = '' THEN 0 ELSE len(string_split(parameters, ',')) END || ' params)' || {_NL}, '' ORDER BY seg) AS text FROM (
-  SELECT *, row_number() OVER (PARTITION BY path ORDER BY seg) AS rn FROM params WHERE kind = 'function') WHERE rn <= 5 GROUP BY 1),
-ims AS (SELECT path, string_agg(imp, ', ' ORDER BY seg) AS text FROM imports WHERE ipos < 5 GROUP BY 1),
-packed AS (SELECT repo_id, c.path, 'Component: ' || base || ' (' || c.path || ')' || {_NL} || {_NL} || 'Classes:' || {_NL} || coalesce(cls.text, '')
-  || {_NL} || 'Functions:' || {_NL} || coalesce(fns.text, '') || {_NL} || 'Imports: ' || coalesce(ims.text, '') || {_NL} || 'Code snippet: '
-  || CASE WHEN length(content) > 2000 THEN left(content, 2000) || '... [truncated]' ELSE content END AS prompt
-  FROM comps c LEFT JOIN cls ON cls.path = c.path LEFT JOIN fns ON fns.path = c.path LEFT JOIN ims ON ims.path = c.path)"""
+# Components in parts: three classes, five other items and 2,000 characters each.
+_PARTS = """rendered AS (SELECT *, name || '(' || parameters || ')' AS sig FROM params),
+mcounts AS (SELECT c.path, c.seg, c.cname, count(m.mname) AS n FROM class_segs c LEFT JOIN methods m ON m.path = c.path AND m.seg = c.seg GROUP BY 1, 2, 3),
+pcls AS (SELECT path, seg, cname, (row_number() OVER (PARTITION BY path ORDER BY seg) - 1) // 3 AS part FROM class_segs),
+pfns AS (SELECT path, seg, name, sig, parameters, (row_number() OVER (PARTITION BY path ORDER BY seg) - 1) // 5 AS part FROM rendered WHERE kind = 'function'),
+pims AS (SELECT path, seg, imp, ipos // 5 AS part FROM imports),
+pdps AS (SELECT path, dep, dpos, dpos // 5 AS part FROM deps),
+lasts AS (SELECT path, max(part) AS last FROM (SELECT path, part FROM pcls UNION ALL SELECT path, part FROM pfns UNION ALL SELECT path, part FROM pims
+  UNION ALL SELECT path, part FROM pdps UNION ALL SELECT path, greatest(length(content) - 1, 0) // 2000 FROM comps) GROUP BY 1),
+parted AS (SELECT c.*, part, substr(content, part * 2000 + 1, 2000) AS context FROM (
+  SELECT c.*, unnest(range(0, last + 1)) AS part FROM comps c JOIN lasts USING (path)) c)"""
+
+_RENDERED = _PARTS + """,
+cls AS (SELECT path, part, string_agg(one, '|' ORDER BY seg) AS text FROM (
+  SELECT c.path, c.part, c.seg, c.cname || ':' || coalesce(array_to_string(list(m.sig ORDER BY m.n) FILTER (WHERE m.sig IS NOT NULL), ';'), '') AS one
+  FROM pcls c LEFT JOIN (SELECT * FROM rendered WHERE kind = 'method') m ON m.path = c.path AND m.seg = c.seg GROUP BY c.path, c.part, c.seg, c.cname) GROUP BY 1, 2),
+fns AS (SELECT path, part, string_agg(sig, ';' ORDER BY seg) AS text FROM pfns GROUP BY 1, 2),
+ims AS (SELECT path, part, string_agg(imp, '|' ORDER BY seg) AS text FROM pims GROUP BY 1, 2),
+dps AS (SELECT path, part, string_agg(dep, '|' ORDER BY dpos) AS text FROM pdps GROUP BY 1, 2)"""
+
+_PROMPT_PARTS = _PARTS + f""",
+cls AS (SELECT p.path, part, string_agg('- ' || p.cname || ' (' || n || ' methods)' || {_NL}, '' ORDER BY p.seg) AS text
+  FROM pcls p JOIN mcounts m ON m.path = p.path AND m.seg = p.seg GROUP BY 1, 2),
+fns AS (SELECT path, part, string_agg('- ' || name || ' (' || CASE WHEN parameters = '' THEN 0 ELSE len(string_split(parameters, ',')) END || ' params)' || {_NL}, '' ORDER BY seg) AS text
+  FROM pfns GROUP BY 1, 2),
+ims AS (SELECT path, part, string_agg(imp, ', ' ORDER BY seg) AS text FROM pims GROUP BY 1, 2),
+packed AS (SELECT repo_id, c.path, c.part, 'Component: ' || base || ' (' || c.path || ')' || {_NL} || {_NL} || 'Classes:' || {_NL} || coalesce(cls.text, '')
+  || {_NL} || 'Functions:' || {_NL} || coalesce(fns.text, '') || {_NL} || 'Imports: ' || coalesce(ims.text, '') || {_NL} || 'Code snippet: ' || context AS prompt
+  FROM parted c LEFT JOIN cls USING (path, part) LEFT JOIN fns USING (path, part) LEFT JOIN ims USING (path, part))"""
 
 _AVAILABLE = CONTEXT_SIZE - OUTPUT_TOKENS - K.TOKEN_SAFETY
+_MOST = _AVAILABLE * K.CHARS_PER_TOKEN
 
-
-def _budget(name: str, prompt: str) -> str:
-    """Section windows: whole sections while their running size fits, then one cut section."""
-    return f"""{name}_p AS (SELECT doc_id AS id, {prompt} AS prompt FROM documents),
-    {name}_s AS (SELECT id, prompt, unnest(string_split(prompt, {_NL} || {_NL})) AS sec,
-      generate_subscripts(string_split(prompt, {_NL} || {_NL}), 1) AS i FROM {name}_p),
-    {name}_f AS (SELECT id, greatest(length(sec) // 4, 1) AS ft, sec AS first FROM {name}_s WHERE i = 1),
-    {name}_r AS (SELECT s.id, i, sec, length(sec) // 4 AS t, {_AVAILABLE} - ft - 20 AS budget,
-      sum(length(sec) // 4) OVER (PARTITION BY s.id ORDER BY i) AS used FROM {name}_s s JOIN {name}_f USING (id) WHERE i > 1),
-    {name}_o AS (SELECT id, min(i) AS cut FROM {name}_r WHERE used > budget GROUP BY 1),
-    {name}_k AS (SELECT r.id, string_agg({_NL} || {_NL} || CASE WHEN cut IS NULL OR i < cut THEN sec
-        ELSE left(sec, CAST((budget - used + t) * 4 AS BIGINT)) || '...' END, '' ORDER BY i) AS rest
-      FROM {name}_r r LEFT JOIN {name}_o USING (id) WHERE cut IS NULL OR i <= cut GROUP BY 1),
-    {name} AS (SELECT p.id, length(prompt) // 4 AS tokens, CASE
-      WHEN length(prompt) // 4 <= {_AVAILABLE} THEN prompt
-      WHEN contains(prompt, {_NL} || {_NL}) THEN CASE WHEN {_AVAILABLE} - ft - 20 <= 0 THEN left(first, length(first) // 2) || '...'
-        ELSE first || coalesce(rest, '') END
-      WHEN {_AVAILABLE * 4} >= length(prompt) THEN prompt
-      ELSE left(prompt, {_AVAILABLE * 2}) || ' [...content truncated...] ' || right(prompt, {_AVAILABLE * 2}) END AS fitted
-      FROM {name}_p p JOIN {name}_f USING (id) LEFT JOIN {name}_k USING (id))"""
+# Pieces of sections in order, and a walk over them that opens a part whenever one is full.
+_BUDGET = f"""prompts AS (SELECT doc_id AS id, 'Review the text.' || {_NL} || {_NL} || replace(text, {_NL}, {_NL} || {_NL}) AS prompt FROM documents),
+secs AS (SELECT id, unnest(string_split(prompt, {_NL} || {_NL})) AS sec, generate_subscripts(string_split(prompt, {_NL} || {_NL}), 1) AS i FROM prompts),
+cuts AS (SELECT id, i, sec, unnest(range(0, greatest((length(sec) + {_MOST} - 1) // {_MOST}, 1))) AS c FROM secs),
+pieces AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i, c) AS n, substr(sec, c * {_MOST} + 1, {_MOST}) AS piece,
+  length(substr(sec, c * {_MOST} + 1, {_MOST})) // 4 + {K.SECTION_BUFFER} AS t FROM cuts),
+walk AS (SELECT id, n, 0 AS part, t AS used FROM pieces WHERE n = 1
+  UNION ALL SELECT w.id, p.n, CASE WHEN used + t <= {_AVAILABLE} THEN part ELSE part + 1 END, CASE WHEN used + t <= {_AVAILABLE} THEN used + t ELSE t END
+  FROM walk w JOIN pieces p ON p.id = w.id AND p.n = w.n + 1),
+fitted AS (SELECT id, part, string_agg(piece, {_NL} || {_NL} ORDER BY n) AS text FROM walk JOIN pieces USING (id, n) GROUP BY 1, 2)"""
 
 
 _QUESTIONS: list[tuple[int, str, str]] = []
@@ -304,7 +296,7 @@ def question_ctes() -> str:
         + f", chosen AS ({CHOSEN})"
         + ", qc AS (SELECT c.*, coalesce(p.purpose, '') AS purpose FROM chosen c LEFT JOIN purposes p ON p.response_id = c.ord)"
         + f", allq AS ({rows}), asked AS (SELECT repo_id, path, ord, ext, pos, question FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY q) - 1 AS pos"
-        + " FROM allq) WHERE pos < 5)"
+        + " FROM allq))"
     )
 
 
@@ -352,13 +344,9 @@ ORACLE = {
     "chunks": f"""WITH RECURSIVE {DOC_CHUNKS} SELECT source AS repo_id, c.id AS ord, c.idx AS chunk_idx,
       row_number() OVER (PARTITION BY source ORDER BY c.id, c.idx) - 1 AS embedding_idx, content
       FROM chunk_texts c JOIN docs d ON d.id = c.id""",
-    "large_chunks": f"""{_LARGE.replace('WITH RECURSIVE docs AS (SELECT doc_id AS id, text, length(text) AS n FROM documents)',
-        'WITH RECURSIVE docs AS (SELECT doc_id AS id, text, length(text) AS n FROM documents), short AS (SELECT id, text FROM docs WHERE n <= '
-        + str(WINDOW_FROM) + " AND text <> ''), " + chunk_ctes('short').replace('walk', 'swalk'))}
-      SELECT id AS ord, idx AS chunk_idx, text[s:e] AS content FROM walk JOIN docs USING (id)
-      UNION ALL SELECT id, idx, content FROM chunk_texts""",
+    "large_chunks": f"{_LARGE} SELECT id AS ord, idx AS chunk_idx, text[s:e] AS content FROM walk JOIN docs USING (id)",
     "file_summaries": over_symbols(
-        f"""SELECT repo_id, path, summary, md5(CASE WHEN summary IS NULL THEN content ELSE summary || {_NL} || {_NL} || left(content, 50000) END) AS indexed_md5
+        f"""SELECT repo_id, path, summary, md5(CASE WHEN summary IS NULL THEN content ELSE summary || {_NL} || {_NL} || content END) AS indexed_md5
         FROM (SELECT c.repo_id, c.path, content, CASE WHEN cls.names IS NOT NULL OR fns.names IS NOT NULL THEN
           'File: ' || base || {_NL} || 'Language: ' || type || {_NL} || {_NL} || {_listing('Classes', 'cls.names', "''")}
           || {_listing('Functions', 'fns.names', _NL)} || {_listing('Imports', 'ims.names', _NL)} END AS summary
@@ -366,16 +354,14 @@ ORACLE = {
         _SYM_LISTS,
     ),
     "limited_components": over_symbols(
-        f"""SELECT repo_id, c.path, coalesce(cls.text, '') AS classes, coalesce(fns.text, '') AS functions, coalesce(ims.text, '') AS imports,
-        coalesce(dps.text, '') AS dependencies, md5(CASE WHEN length(content) > 2000 THEN left(content, 1000) || {_MARK} || right(content, 1000) ELSE content END) AS context_md5
-        FROM comps c LEFT JOIN cls ON cls.path = c.path LEFT JOIN fns ON fns.path = c.path LEFT JOIN ims ON ims.path = c.path
-        LEFT JOIN dps ON dps.path = c.path""",
+        """SELECT repo_id, c.path, c.part, coalesce(cls.text, '') AS classes, coalesce(fns.text, '') AS functions, coalesce(ims.text, '') AS imports,
+        coalesce(dps.text, '') AS dependencies, md5(context) AS context_md5
+        FROM parted c LEFT JOIN cls USING (path, part) LEFT JOIN fns USING (path, part) LEFT JOIN ims USING (path, part) LEFT JOIN dps USING (path, part)""",
         _RENDERED,
     ),
-    "prompts": over_symbols("SELECT repo_id, path, prompt, length(prompt) // 4 AS tokens FROM packed", _PROMPT_PARTS),
-    "token_budget": f"""WITH {_budget('a', f"'Review the text.' || {_NL} || {_NL} || replace(text, {_NL}, {_NL} || {_NL})")}, {_budget('b', 'text')}
-      SELECT a.id AS ord, a.tokens, length(a.fitted) AS chars, md5(a.fitted) AS fitted_md5, md5(b.fitted) AS plain_md5
-      FROM a JOIN b USING (id)""",
+    "prompts": over_symbols("SELECT repo_id, path, part, prompt, length(prompt) // 4 AS tokens FROM packed", _PROMPT_PARTS),
+    "token_budget": f"""WITH RECURSIVE {_BUDGET}
+      SELECT id AS ord, length(prompt) // 4 AS tokens, part, length(text) AS chars, md5(text) AS text_md5 FROM fitted JOIN prompts USING (id)""",
     "questions": over_files("SELECT repo_id, path, pos, question FROM asked", question_ctes()),
     "flow_questions": ctes("star_flows") + ", " + values("qs", "pos, question", list(enumerate(K.FLOW_QUESTIONS)))
     + " SELECT repo_id, pos, source || ' ' || function || ' ' || question AS query FROM star_flows, qs",
@@ -405,7 +391,7 @@ ORACLE = {
     "default_boundary": over_files(
         """SELECT repo_id, 'Default Boundary' AS boundary, 'Default security boundary for all components' AS description, position, path AS member
         FROM (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY ord) AS position FROM corpus
-          WHERE repo_id NOT IN (SELECT repo_id FROM brows)) WHERE position <= 30""",
+          WHERE repo_id NOT IN (SELECT repo_id FROM brows))""",
         f"boundary_answers AS ({BOUNDARY_ANSWERS})", _BLINES,
     ),
     "placeholder_model": over_symbols(

@@ -15,6 +15,7 @@ from .views import table
 
 K_NEAREST = 10
 CHUNK_STRIDE = 1 << 20  # more chunks than any accepted file can have
+QUESTION_STRIDE = 64  # more questions than are asked about a component
 
 
 def embeddings(spark, d):
@@ -77,14 +78,14 @@ def knn_exact(spark, d):
 
 def knn_filtered(spark, d):
     return neighbours(
-        V.knn_filtered(label_queries(spark, d), embeddings(spark, d), K_NEAREST, F.col("label") == F.col("query_id"))
+        V.knn_filtered(label_queries(spark, d), embeddings(spark, d), K_NEAREST, match={"query_id": "label"})
     )
 
 
 def knn_prefiltered(spark, d):
     corpus = embeddings(spark, d)
-    keep = V.matches_metadata({"label": F.col("label")}, {"label": [1, 3, 5]})
-    return neighbours(V.knn_filtered(label_queries(spark, d), corpus, K_NEAREST, keep, prefilter=True))
+    keep = V.matches_metadata(F.create_map(F.lit("label"), F.col("label").cast("string")), {"label": [1, 3, 5]})
+    return neighbours(V.knn_filtered(label_queries(spark, d), corpus, K_NEAREST, keep))
 
 
 def context_retrieval(spark, d):
@@ -103,7 +104,7 @@ def path_context(spark, d):
     )
     queries = V.with_adaptive_k(stage(wanted, "path-queries"), 1, F.col("wanted_ext") == ".php")
     found = V.retrieve(
-        queries, code_chunks(spark, d), 1, scope="repo_id", keep=F.col("extension") == F.col("wanted_ext")
+        queries, code_chunks(spark, d), 1, scope="repo_id", match={"wanted_ext": "extension"}
     )
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "distance", "id", "path")
 
@@ -111,7 +112,7 @@ def path_context(spark, d):
 def question_retrieval(spark, d):
     """Five chunks of the same repository for every exploration question, in one batch."""
     texts = asked(spark, d).select(
-        "repo_id", (F.col("ord") * 8 + F.col("pos")).alias("query_id"), F.concat("path", F.lit(" "), "question").alias("q")
+        "repo_id", (F.col("ord") * QUESTION_STRIDE + F.col("pos")).alias("query_id"), F.concat("path", F.lit(" "), "question").alias("q")
     )
     queries = stage(V.encode(texts, "q").select("repo_id", "query_id", "embedding"), "questions")
     return neighbours(V.knn(queries, code_chunks(spark, d).drop("content"), 5, scope="repo_id"))
@@ -136,7 +137,7 @@ QUERIES = {
 
 def vectors_of(name: str, source: str, key: str, text: str) -> str:
     """Dense unit vectors ``name(id, v)`` of the texts of ``source``."""
-    return f"""{name}_toks AS (SELECT {key} AS id, unnest(regexp_extract_all(lower({text}), '[0-9A-Za-z_À-ɏ]+')) AS tok FROM {source}),
+    return f"""{name}_toks AS (SELECT {key} AS id, unnest(regexp_extract_all(lower({text}), '[\\pL\\pN_]+')) AS tok FROM {source}),
     {name}_n AS (SELECT id, CAST(('0x' || substr(md5(tok), 1, 7)) AS BIGINT) % 64 AS pos, CAST(count(*) AS DOUBLE) AS n FROM {name}_toks GROUP BY ALL),
     {name}_len AS (SELECT id, sqrt(sum(n * n)) AS len FROM {name}_n GROUP BY 1),
     {name} AS (SELECT g.id, list(coalesce(n / len, 0.0) ORDER BY g.pos) AS v FROM
@@ -167,7 +168,7 @@ ORACLE = {
       SELECT id, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM fixed""",
     "knn_exact": f"WITH {_CENTROIDS} SELECT query_id, id, distance, rank FROM r WHERE rank <= {K_NEAREST}",
     "knn_filtered": f"""WITH {_CENTROIDS} SELECT query_id, id, distance, again AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS again FROM r WHERE rank <= {3 * K_NEAREST} AND label = query_id)
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS again FROM r WHERE label = query_id)
       WHERE again <= {K_NEAREST}""",
     "knn_prefiltered": f"""WITH {_CENTROIDS} SELECT query_id, id, distance, again AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS again FROM d WHERE label IN (1, 3, 5))
@@ -185,16 +186,16 @@ ORACLE = {
             SELECT q.ord AS query_id, q.ext AS want, CASE WHEN q.ext = '.php' THEN 2 ELSE 1 END AS k, cv.id AS id, c.ext AS have, c.path,
               {_distance('qv.v', 'cv.v')} AS distance
             FROM chosen q JOIN qv ON qv.id = q.ord JOIN comps c ON c.repo_id = q.repo_id JOIN cv ON cv.id // {CHUNK_STRIDE} = c.ord))
-        WHERE rank <= 3 * k AND want = have) WHERE again <= k""",
+        WHERE want = have) WHERE again <= k""",
         _CODE_VECTORS, f"chosen AS ({CHOSEN})", vectors_of("qv", "chosen", "ord", "path"),
     ),
     "question_retrieval": over_symbols(
         f"""SELECT query_id, id, distance, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
           SELECT qv.id AS query_id, cv.id AS id, {_distance('qv.v', 'cv.v')} AS distance
-          FROM qv JOIN comps q ON q.ord = qv.id // 8 JOIN comps c ON c.repo_id = q.repo_id JOIN cv ON cv.id // {CHUNK_STRIDE} = c.ord))
+          FROM qv JOIN comps q ON q.ord = qv.id // {QUESTION_STRIDE} JOIN comps c ON c.repo_id = q.repo_id JOIN cv ON cv.id // {CHUNK_STRIDE} = c.ord))
         WHERE rank <= 5""",
         _CODE_VECTORS, question_ctes(),
-        vectors_of("qv", "(SELECT ord * 8 + pos AS qid, path || ' ' || question AS q FROM asked) t", "qid", "q"),
+        vectors_of("qv", "(SELECT ord * 64 + pos AS qid, path || ' ' || question AS q FROM asked) t", "qid", "q"),
     ),
 }

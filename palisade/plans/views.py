@@ -91,7 +91,7 @@ STAR_EDGES = """
 SELECT repo_id, src, dst, min(ord) AS ord FROM (
   SELECT substr(CAST(l_shipdate AS STRING), 1, 7) AS repo_id, 'S' || CAST(l_suppkey AS STRING) AS src,
     'C' || CAST(o_custkey AS STRING) AS dst, CAST(l_orderkey AS BIGINT) * 16 + l_linenumber AS ord
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ) linked GROUP BY repo_id, src, dst
 """
 
@@ -137,9 +137,9 @@ SELECT d.doc_id AS response_id, d.source AS repo_id,
       '- Type: Ignored', '- Severity: High', '', d.text, '', 'Type: Elevation', 'Description: ' || d.lang, '')
   END AS text
 FROM (
-  SELECT labels.doc_id AS label_doc, quality, CASE WHEN toxic = 1 THEN 'High' WHEN quality = 1 THEN 'Low' ELSE 'Critical' END AS sev
-  FROM labels
-) l JOIN documents d ON l.label_doc = d.doc_id
+  SELECT doc_id, source, text, lang, quality, CASE WHEN toxic = 1 THEN 'High' WHEN quality = 1 THEN 'Low' ELSE 'Critical' END AS sev
+  FROM documents LEFT JOIN (SELECT doc_id AS label_doc, quality, toxic FROM labels) l ON label_doc = doc_id
+) d
 """
 
 ANALYSES = """
@@ -148,7 +148,7 @@ SELECT d.doc_id AS response_id, d.source AS repo_id,
   || 'Key Functions: ' || chr(10) || '- load_' || CAST(d.doc_id AS STRING) || chr(10) || '- save, close' || chr(10) || chr(10)
   || CASE WHEN quality = 1 THEN 'Dependencies: auth login db' || chr(10) || '-- os --' || chr(10) || chr(10) ELSE '' END
   || 'Security Considerations: ' || CASE WHEN toxic = 1 THEN 'escape output' ELSE '' END AS text
-FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
 
 BOUNDARY_ANSWERS = """
@@ -163,7 +163,7 @@ SELECT d.doc_id AS response_id, d.source AS repo_id,
   || '- Storage: store.py' || chr(10)
   || '- Web fr: late' || CAST(d.doc_id % 3 AS STRING) || '.js' || chr(10)
   || '- Unheard: lost.py' || chr(10) AS text
-FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
 
 VULNERABILITY_ANSWERS = """
@@ -180,7 +180,7 @@ FROM (
     || '"components": ["c' || CAST(doc_id AS STRING) || '", "shared"], "attack_vector": "network", "mitigation": "encrypt"' || chr(125) AS item,
     chr(123) || '"type": "race", "severity": "Low", "components": []' || chr(125) AS item2
   FROM documents
-) d JOIN labels l ON l.doc_id = d.doc_id
+) d
 """
 
 VIEWS = {
