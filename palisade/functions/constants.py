@@ -92,7 +92,6 @@ PHP_OPEN_TAG = "<?php"
 PHP_OPEN_TAG_WINDOW = 100
 
 # -- fixed values: scan rules --------------------------------------------------
-MAX_FILE_BYTES = 10 * 1024 * 1024
 TEST_WORD = "test"
 IGNORE_NAMES = [
     ".git", ".github", "__pycache__", ".pytest_cache", ".vscode", ".idea", "node_modules", "venv", "env",
@@ -138,22 +137,11 @@ TIER_WORDS = {
     "model": ["model", "database", "schema", "repository"],
     "api": ["api", "controller", "service", "route"],
 }
-FILE_CAP_WORDS = [
-    "security", "auth", "login", "user", "admin", "config", "main", "app", "index", "api", "controller", "model",
-]
-SEARCH_LIMIT = 10
-LARGE_REPO_COMPONENTS = 50
-PRIORITY_CAP_LARGE = 500
-PRIORITY_CAP_SMALL = 1000
-FILE_CAP = 50_000
-DEFAULT_BOUNDARY_FILES = 30
-EXTENSION_BOUNDARY_FILES = 5
 EXTENSION_BOUNDARIES = [".php", ".py", ".js"]
 
 # -- fixed values: chunking and token budgets ----------------------------------
 CHUNK_CHARS, CHUNK_OVERLAP = 1000, 200
-LARGE_TEXT_CHARS, LARGE_CHUNK_CHARS, LARGE_CHUNK_OVERLAP = 1_000_000, 2000, 100
-SUMMARY_CONTENT_CHARS = 50_000
+LARGE_CHUNK_CHARS, LARGE_CHUNK_OVERLAP = 2000, 100
 SUMMARY_ITEMS = 5
 CHARS_PER_TOKEN = 4
 TOKEN_SAFETY = 50
@@ -161,9 +149,7 @@ SECTION_BUFFER = 20
 CONTEXT_CHARS = 2000
 TRUNCATED_MARK = "... [truncated]"
 MIDDLE_MARK = "\n\n[...content truncated...]\n\n"
-HALVES_MARK = " [...content truncated...] "
 LIMIT_CLASSES, LIMIT_ITEMS = 3, 5
-OVERSAMPLE = 3
 
 # -- fixed values: exploration questions -----------------------------------------
 BASE_QUESTIONS = ["How is user input validated?", "Are there any authentication checks?"]
@@ -197,7 +183,6 @@ FLOW_QUESTIONS = [
     "How is data validated before processing?",
     "What security checks are performed on the parameters?",
 ]
-QUESTION_LIMIT = 5
 
 # -- fixed values: threat records --------------------------------------------------
 THREAT_FIELDS = ["type", "description", "severity", "impact", "mitigation", "code_snippet"]

@@ -18,6 +18,7 @@ def component_parts(comps: DataFrame, classes: int = K.LIMIT_CLASSES, items: int
     dependencies, and the p-th ``chars`` characters of ``context``; a list that is used up is empty.
     """
     sizes = {"classes": classes, "functions": items, "imports": items, "dependencies": items}
+    sizes = {c: n for c, n in sizes.items() if c in comps.columns}
     lengths = [F.ceil(F.size(c) / F.lit(n)) for c, n in sizes.items()]
     if "context" in comps.columns:
         comps = comps.withColumn("context", F.coalesce("context", F.lit("")))

@@ -84,10 +84,11 @@ def report_lines(findings_: DataFrame, recs: DataFrame, risk: DataFrame, date: s
         ]
     )
     repos = risk.select("repo_id")
-    section = F.when(F.col("owner_kind") == "component", 1).otherwise(2)
+    kinds = {"component": 1, "flow": 2, "vulnerability": 3}
+    section = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("owner_kind")]
     heading = F.concat(
         F.lit("### "), "owner",
-        F.when(section == 1, F.concat(F.lit(" ("), "owner_type", F.lit(")"))).otherwise("")
+        F.when(F.col("owner_kind") == "component", F.concat(F.lit(" ("), "owner_type", F.lit(")"))).otherwise("")
         if "owner_type" in findings_.columns else F.lit(""),
     )
     none = F.col("severity").isNull()
@@ -119,16 +120,17 @@ def report_lines(findings_: DataFrame, recs: DataFrame, risk: DataFrame, date: s
     # The snippet row is only emitted where the threat has one.
     rows = F.filter(F.array(*items, snippet), lambda r: r["line"].isNotNull())
     threats = findings_.filter(~none).select("repo_id", F.inline(rows))
+    with_vulns = findings_.filter("owner_kind = 'vulnerability'").select("repo_id").distinct()
     rec_order = F.lpad((F.col("priority_order") * 2 + F.col("kind_order")).cast("string"), 2, "0")
     rec_key = F.concat(rec_order, F.lit("|"), "target")
     rec_lines = recs.select(
         "repo_id",
         F.inline(
             F.array(
-                _line(4, rec_key, F.col("ordinal"), 0, F.concat(F.lit("### "), "type", F.lit(": "), "target")),
-                _line(4, rec_key, F.col("ordinal"), 1, F.concat(F.lit("- **Priority:** "), "priority")),
-                _line(4, rec_key, F.col("ordinal"), 2, F.concat(F.lit("- **Description:** "), "description")),
-                _line(4, rec_key, F.col("ordinal"), 3, F.concat(F.lit("- **Action:** "), "action")),
+                _line(5, rec_key, F.col("ordinal"), 0, F.concat(F.lit("### "), "type", F.lit(": "), "target")),
+                _line(5, rec_key, F.col("ordinal"), 1, F.concat(F.lit("- **Priority:** "), "priority")),
+                _line(5, rec_key, F.col("ordinal"), 2, F.concat(F.lit("- **Description:** "), "description")),
+                _line(5, rec_key, F.col("ordinal"), 3, F.concat(F.lit("- **Action:** "), "action")),
             )
         ),
     )
@@ -136,8 +138,9 @@ def report_lines(findings_: DataFrame, recs: DataFrame, risk: DataFrame, date: s
         risk.select("repo_id", F.inline(head))
         .unionByName(_fixed(repos, 1, ["## Components Analysis", ""]))
         .unionByName(_fixed(repos, 2, ["## Data Flow Analysis", ""]))
+        .unionByName(_fixed(with_vulns, 3, ["", "## Vulnerability Analysis", ""]))
         .unionByName(owners)
         .unionByName(threats)
-        .unionByName(_fixed(repos, 3, ["", "## Recommendations", ""]))
+        .unionByName(_fixed(repos, 4, ["", "## Recommendations", ""]))
         .unionByName(rec_lines)
     )

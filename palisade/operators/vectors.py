@@ -141,8 +141,10 @@ def knn(
 def _grid_top(queries: DataFrame, corpus: DataFrame, scope: str | None, schema: str, block_rows: int) -> DataFrame:
     """Blocks of both sides meet in cells; no cell exceeds about two blocks."""
     key = scope or "__scope"
-    qs = queries.withColumn(key, F.col(scope) if scope else F.lit(0))
-    cs = corpus.withColumn(key, F.col(scope) if scope else F.lit(0))
+    # Without a scope all rows share one; it is computed, for a join on a constant would be planned as a cross join.
+    alone = lambda ident: F.pmod(F.xxhash64(ident), F.lit(1))
+    qs = queries.withColumn(key, F.col(scope) if scope else alone("query_id"))
+    cs = corpus.withColumn(key, F.col(scope) if scope else alone("id"))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         n = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")

@@ -214,15 +214,15 @@ def incremental_ingest(spark, d):
 
 
 def binary_scan(spark, d):
-    """All document texts as files below ``root/<repository>/``, scanned back with the corpus scan."""
+    """Every document text as a file below ``root/<repository>/``, scanned back with the corpus scan."""
     root = session.scratch_path(spark, "tree")
     texts = code_files(spark, d).select(
         "repo_id", F.regexp_replace("content", "\r", " ").alias("value")
     )
-    texts.write.partitionBy("repo_id").option("maxRecordsPerFile", 500).text(root)
+    texts.write.partitionBy("repo_id").option("maxRecordsPerFile", 1).text(root)
     found = corpus.scan_files(spark, root)
-    return found.groupBy(F.regexp_extract("repo_id", "([^=]*)$", 1).alias("repo_id")).agg(
-        F.sum("length").alias("bytes"), F.sum(F.size(F.split("content", "\n", -1)) - 1).cast("long").alias("lines")
+    return found.select(
+        F.regexp_extract("repo_id", "([^=]*)$", 1).alias("repo_id"), F.col("length").alias("bytes"), F.md5("content").alias("content_md5")
     )
 
 
@@ -358,12 +358,12 @@ ORACLE = {
         SELECT repo_id, 0 AS section, '' AS owner, -1 AS ord, unnest(generate_series(0, 11)) AS step, unnest(ls) AS line FROM hlines
         UNION ALL SELECT repo_id, 1, '', -1, unnest([0, 1]), unnest(['## Components Analysis', '']) FROM head
         UNION ALL SELECT repo_id, 2, '', -1, unnest([0, 1]), unnest(['## Data Flow Analysis', '']) FROM head
-        UNION ALL SELECT repo_id, 3, '', -1, unnest([0, 1, 2]), unnest(['', '## Recommendations', '']) FROM head
+        UNION ALL SELECT repo_id, 4, '', -1, unnest([0, 1, 2]), unnest(['', '## Recommendations', '']) FROM head
         UNION ALL SELECT repo_id, section, owner, -1, 0, heading FROM (SELECT DISTINCT repo_id, section, owner, heading FROM secs)
         UNION ALL SELECT repo_id, section, owner, -1, 1, CASE WHEN n = 0 THEN 'No threats identified.' ELSE '#### Identified Threats' END
           FROM (SELECT repo_id, section, owner, count(severity) AS n FROM secs GROUP BY 1, 2, 3)
         UNION ALL SELECT * FROM (SELECT repo_id, section, owner, ordinal, unnest(generate_series(0, 5)) AS step, unnest(ls) AS line FROM tlines) WHERE line IS NOT NULL
-        UNION ALL SELECT repo_id, 4, lpad(CAST(priority_order * 2 + kind_order AS VARCHAR), 2, '0') || '|' || target, ordinal,
+        UNION ALL SELECT repo_id, 5, lpad(CAST(priority_order * 2 + kind_order AS VARCHAR), 2, '0') || '|' || target, ordinal,
           unnest(generate_series(0, 3)), unnest(ls) FROM rlines""",
         _OWNERS, _RECS, _SCORED, _RISK,
     ).replace(" , head AS", ", head AS"),
@@ -434,8 +434,7 @@ ORACLE = {
         "texts AS (SELECT ord AS id, content AS text FROM corpus), " + chunk_ctes("texts"),
     ),
     "binary_scan": over_files(
-        """SELECT repo_id, CAST(sum(strlen(content) + 1) AS BIGINT) AS bytes,
-        CAST(sum(length(content) - length(replace(content, chr(10), '')) + 1) AS BIGINT) AS lines FROM files GROUP BY 1"""
+        """SELECT repo_id, strlen(content) + 1 AS bytes, md5(replace(content, chr(13), ' ') || chr(10)) AS content_md5 FROM files"""
     ),
 }
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,23 +31,42 @@ def build(app: str = "palisade", master: str | None = None, **conf: str) -> Spar
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The folder the cluster names in ``spark.checkpoint.dir`` is used; a
-    temporary one is only made where that setting is absent (local tests).
+    A session without that setting is refused: a folder of one machine would be
+    missing on the others.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="palisade-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = shared_folder(spark)
+    if base is None:
+        raise ValueError("name a shared folder in spark.checkpoint.dir, or give a location")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder in ``spark.checkpoint.dir``, else one below a warehouse that is not on a local disk or of a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    shared = not warehouse.startswith(("file:", "/")) or spark.sparkContext.master.startswith("local")
+    return f"{warehouse.rstrip('/')}/.palisade" if shared else None
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several branches of a job read, and return it as a scan.
 
     Cuts the lineage through shared storage: the input is parsed once, later
     branches read pruned columns, and a lost executor costs a re-read only.
+    Without a shared folder the plan itself is returned, which is right and only slower.
+    Written tables are removed when the session ends.
     """
     spark = df.sparkSession
+    if shared_folder(spark) is None:
+        return df
     location = scratch_path(spark, name)
     df.write.parquet(location)
+    _remove_at_end(spark, location)
     return spark.read.schema(df.schema).parquet(location)
+
+
+def _remove_at_end(spark: SparkSession, location: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import constants as K, paths as P
+from ..functions import paths as P
 
 
 def keep_path(path: Column | str, strict_globs: bool = False) -> Column:
@@ -12,40 +14,82 @@ def keep_path(path: Column | str, strict_globs: bool = False) -> Column:
     return ~P.is_ignored(path, strict_globs) & ~P.is_test_path(path)
 
 
-def filter_files(files: DataFrame, strict_globs: bool = False, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
-    """Scan filter over a ``files`` table; content is only looked at after path and size."""
-    return files.filter(
-        (F.col("length") <= max_bytes) & keep_path("path", strict_globs) & F.is_valid_utf8("content")
-    )
+def _reasons(path: Column, size: Column, strict_globs: bool, max_bytes: int | None) -> Column:
+    """Why a file is skipped by its metadata, null if it is not."""
+    large = F.when(size > max_bytes, "too large") if max_bytes is not None else F.lit(None).cast("string")
+    return F.coalesce(F.when(P.is_ignored(path, strict_globs), "ignored"), F.when(P.is_test_path(path), "test"), large)
+
+
+def filter_files(files: DataFrame, strict_globs: bool = False, max_bytes: int | None = None) -> DataFrame:
+    """Scan filter over a ``files`` table: a condition on paths (and sizes, if limited), never on texts.
+
+    Texts of a table are strings and were checked when they were read; bytes are checked here.
+    """
+    kept = files.filter(keep_path("path", strict_globs))
+    if max_bytes is not None:
+        kept = kept.filter(F.col("length") <= max_bytes)
+    if dict(files.dtypes).get("content") == "binary":
+        kept = kept.filter(F.is_valid_utf8(F.col("content").cast("string")))
+    return kept
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """All files below ``root/<repo_id>/``: repository, path below it, and the columns of the binary reader."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # The qualified root as the file system spells it in the names of its files: encoded, and with its scheme.
+    shell = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = shell.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(shell).toUri().toString().rstrip("/") + "/"
+    located = F.col("_metadata.file_path")
+    plain = F.regexp_replace(located, "^([a-z0-9]+):/+", "$1:/")
+    prefix = re.sub("^([a-z0-9]+):/+", r"\1:/", base)
+    below = F.replace(plain.substr(F.lit(len(prefix) + 1), F.length(plain)), F.lit("+"), F.lit("%2B"))
+    relative = F.url_decode(below)
+    return files.select(
+        F.substring_index(relative, "/", 1).alias("repo_id"),
+        F.when(F.contains(relative, F.lit("/")), relative.substr(F.length(F.substring_index(relative, "/", 1)) + 2, F.length(relative))).otherwise("").alias("path"),
+        F.col("_metadata.file_size").alias("length"), "content",
+    ).filter("path <> ''")
 
 
 def scan_files(
-    spark: SparkSession, root: str, strict_globs: bool = False, max_bytes: int = K.MAX_FILE_BYTES
+    spark: SparkSession, root: str, strict_globs: bool = False, max_bytes: int | None = None
 ) -> DataFrame:
-    """Text files below ``root/<repo_id>/`` with repo-relative paths.
+    """Text files below ``root/<repo_id>/``: ``repo_id, path, content, length``, paths relative to the repository.
 
-    Path and size conditions are written on the file metadata columns, so Spark
-    drops files while listing and never opens them.
+    Path and size conditions are written on the file metadata, so Spark drops files while listing and never opens them;
+    they look at the path below the repository, whose name may be anything. ``max_bytes`` leaves out larger files; none
+    is left out by default, and :func:`skipped_files` tells which and why. :func:`numbered` adds the order of files.
     """
-    location = F.col("_metadata.file_path")
-    base = root.rstrip("/").split("://")[-1]
-    relative = F.url_decode(F.substring_index(location, base + "/", -1))
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .filter(F.col("_metadata.file_size") <= max_bytes)
-        .filter(keep_path(F.substring_index(location, base + "/", -1), strict_globs))
-    )
+    listed = _listed(spark, root).filter(_reasons(F.col("path"), F.col("length"), strict_globs, max_bytes).isNull())
     raw = F.col("content").cast("string")
-    return listed.filter(F.is_valid_utf8(raw)).select(
-        F.substring_index(relative, "/", 1).alias("repo_id"),
-        F.regexp_extract(relative, r"^[^/]*/(.*)$", 1).alias("path"),
-        raw.alias("content"),
-        "length",
+    return listed.filter(F.is_valid_utf8(raw)).select("repo_id", "path", raw.alias("content"), "length")
+
+
+def skipped_files(
+    spark: SparkSession, root: str, strict_globs: bool = False, max_bytes: int | None = None
+) -> DataFrame:
+    """``repo_id, path, reason`` of every file that :func:`scan_files` leaves out.
+
+    Files and folders with a leading dot or underscore are hidden: no listing of the file system reader shows them.
+    """
+    why = _reasons(F.col("path"), F.col("length"), strict_globs, max_bytes)
+    text = F.is_valid_utf8(F.col("content").cast("string"))
+    return (
+        _listed(spark, root)
+        .select("repo_id", "path", F.coalesce(why, F.when(~text, "not text")).alias("reason"))
+        .filter("reason IS NOT NULL")
     )
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """Add ``ord``, a place of each file in its repository that grows with the path.
+
+    Places come from a sort by ranges of paths, numbered within its partitions: unique, growing, and with gaps.
+    """
+    ranged = files.repartitionByRange("repo_id", "path").sortWithinPartitions("repo_id", "path")
+    return ranged.withColumn("ord", F.monotonically_increasing_id())
+
+
 def decode(content: Column | str) -> Column:
     """Bytes to text, invalid sequences become replacement characters."""
     c = F.col(content) if isinstance(content, str) else content

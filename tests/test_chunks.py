@@ -60,11 +60,13 @@ def test_window_chunks_cover_the_text():
         assert got[0] + "".join(c[100:] for c in got[1:]) == text
 
 
-def test_chunk_rows_and_threshold(rows):
+def test_chunk_rows_and_windows(rows):
     big = ("k" * 99 + "\n") * 10_001
     df = rows("repo_id string, ord long, content string", [("r", 1, big), ("r", 2, ""), ("r", 3, "s"), ("r", 4, None)])
-    got = C.chunks(df).groupBy("ord").agg(F.count("*").alias("n"), F.max(F.length("content")).alias("m")).collect()
+    got = C.chunks(df, windows=True).groupBy("ord").agg(F.count("*").alias("n"), F.max(F.length("content")).alias("m")).collect()
     assert {r.ord: (r.n, r.m) for r in got} == {1: (len(window_model(big)), 2000), 3: (1, 1)}
+    lines = C.chunks(df).groupBy("ord").agg(F.count("*").alias("n")).collect()
+    assert {r.ord: r.n for r in lines} == {1: len(C.line_chunks(big)), 3: 1}
 
 
 def test_embedding_idx_is_dense_per_repository(rows):

@@ -1,3 +1,7 @@
+import re
+
+import pytest
+
 from palisade.functions import paths as P
 from palisade.sources import corpus
 
@@ -65,7 +69,17 @@ def test_scan_filter(rows):
         "repo_id string, path string, content string, length long, ord long",
         [("r", "a.py", "x", big, 1), ("r", "b.py", "x", big + 1, 2), ("r", "test/c.py", "x", 1, 3), ("r", "venv/d.py", "x", 1, 4)],
     )
-    assert [r.path for r in corpus.filter_files(df).collect()] == ["a.py"]
+    assert [r.path for r in corpus.filter_files(df).collect()] == ["a.py", "b.py"]
+    assert [r.path for r in corpus.filter_files(df, max_bytes=big).collect()] == ["a.py"]
+
+
+@pytest.mark.parametrize("name", ["stack_entries", "dominant_language", "architecture_pattern", "top_extensions", "path_search", "extension_boundaries"])
+def test_queries_over_paths_read_no_texts(spark, name):
+    from palisade.plans import catalog
+
+    built = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    schemas = re.findall(r"ReadSchema: (struct<.*?>)\n", built._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+    assert schemas and not any("text:" in s for s in schemas)
 
 
 def test_decode_replaces_invalid_bytes(rows):
@@ -88,18 +102,25 @@ def test_document_ingest(rows):
 def test_binary_scan(spark, tmp_path):
     for name, data in {
         "r1/src/a b.py": b"hello", "r1/.git/x": b"no", "r1/bad.py": b"\xff\xfe", "r2/é.js": "ü".encode(),
-        "r2/unit_test.py": b"no",
+        "r2/unit_test.py": b"no", "latest/a.py": b"l", "env/b+c%20.py": b"e", "r1/tree/r1/deep.py": b"d", "top.py": b"no",
     }.items():
-        f = tmp_path / name
+        f = tmp_path / "tree" / name
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_bytes(data)
-    got = {(r.repo_id, r.path, r.content, r.length) for r in corpus.scan_files(spark, str(tmp_path)).collect()}
-    assert got == {("r1", "src/a b.py", "hello", 5), ("r2", "é.js", "ü", 2)}
+    got = {(r.repo_id, r.path, r.content, r.length) for r in corpus.scan_files(spark, str(tmp_path / "tree")).collect()}
+    assert got == {
+        ("r1", "src/a b.py", "hello", 5), ("r2", "é.js", "ü", 2), ("latest", "a.py", "l", 1), ("env", "b+c%20.py", "e", 1),
+        ("r1", "tree/r1/deep.py", "d", 1),
+    }
+    why = {(r.repo_id, r.path, r.reason) for r in corpus.skipped_files(spark, str(tmp_path / "tree"), max_bytes=4).collect()}
+    assert why == {("r1", "bad.py", "not text"), ("r2", "unit_test.py", "test"), ("r1", "src/a b.py", "too large")}
+    order = corpus.numbered(corpus.scan_files(spark, str(tmp_path / "tree"))).orderBy("ord").collect()
+    assert [(r.repo_id, r.path) for r in order] == sorted((g[0], g[1]) for g in got)
 
 
 def test_binary_scan_drops_files_while_listing(spark, tmp_path, plan):
     (tmp_path / "r").mkdir()
     (tmp_path / "r/a.py").write_bytes(b"x")
-    text = plan(corpus.scan_files(spark, str(tmp_path)))
+    text = plan(corpus.scan_files(spark, str(tmp_path), max_bytes=10))
     assert "file_path" in text.split("FileScan")[1] and "file_size" in text.split("FileScan")[1]
 

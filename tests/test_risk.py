@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from palisade.functions import constants as K
 from palisade.operators import graph as G, prompts as Q, report as Rp, risk as Rk
 
 FLOWS = "repo_id string, source string, function string, parameters array<string>, ord long"
@@ -89,8 +90,9 @@ def test_questions(rows):
     got = {}
     for q in Q.component_questions(df).orderBy("pos").collect():
         got.setdefault(q.path, []).append(q.question)
-    assert len(got["a.php"]) == 5 and got["a.php"][-1] == "Are there any file operations?"
-    assert got["b.rb"][2:] == ["How is SQL injection prevented?", "Are prepared statements used?", "How are passwords stored?"]
+    assert got["a.php"][4] == "Are there any file operations?" and "How are passwords stored?" in got["a.php"]
+    assert got["a.php"][-len(K.PRIORITY_QUESTIONS):] == K.PRIORITY_QUESTIONS == got["b.rb"][-len(K.PRIORITY_QUESTIONS):]
+    assert got["b.rb"][2:5] == ["How is SQL injection prevented?", "Are prepared statements used?", "How are passwords stored?"]
     assert got["c.tsx"][2:] == ["Are there any DOM manipulation functions?", "How is AJAX/fetch used?", "Is there input sanitization?"]
 
 
@@ -101,22 +103,20 @@ def test_limits(rows):
         f"classes array<struct<name: string, methods: {fn}>>, functions {fn}, imports array<string>, dependencies array<string>, context string",
         [([(f"C{i}", [f(f"m{j}", 7) for j in range(6)]) for i in range(4)], [f("g", 9)] * 6, ["i"] * 6, ["d"] * 6, "x" * 2001)],
     )
-    r = Q.limit_component(df).first()
-    assert (len(r.classes), len(r.classes[0].methods), len(r.classes[0].methods[0].parameters)) == (3, 5, 5)
-    assert (len(r.functions), len(r.functions[0].parameters), len(r.imports), len(r.dependencies)) == (5, 5, 5, 5)
-    assert r.context.startswith("x" * 1000 + "\n\n[...")
+    a, b = Q.component_parts(df).orderBy("part").collect()
+    assert [len(c.methods) for c in a.classes + b.classes] == [6] * 4 and len(a.classes[0].methods[0].parameters) == 7
+    assert (len(a.functions), len(b.functions), len(a.imports), len(b.imports), len(a.dependencies), len(b.dependencies)) == (5, 1) * 3
+    assert (a.context, b.context) == ("x" * 2000, "x")
 
 
-def test_prompt_shrinks_to_the_window(rows):
+def test_prompts_continue(rows):
     fn = "array<struct<name: string, parameters: array<string>>>"
     df = rows(
         f"repo_id string, path string, name string, classes array<struct<name: string, methods: {fn}>>, functions {fn}, imports array<string>, context string",
         [("r", "d/a", "a", [], [], [], "y" * 3000)],
     )
-    assert Q.structure_prompts(df).first().prompt.endswith("y" * 2000 + "... [truncated]")
-    r = Q.structure_prompts(df, context_size=900).first()
-    kept = int(2015 * (100 / r.tokens) * 0.7)
-    assert r.prompt.endswith("Code snippet: " + "y" * kept + "... [truncated]")
+    a, b = Q.structure_prompts(df).orderBy("part").collect()
+    assert a.prompt.endswith("Code snippet: " + "y" * 2000) and b.prompt.endswith("Code snippet: " + "y" * 1000)
 
 
 def test_nodes_and_edges_keep_the_first(rows):

@@ -22,26 +22,25 @@ def test_with_position_equals_row_number(rows):
 def test_group_limit_is_pushed_below_the_shuffle(rows, plan):
     df = first_per_group(rows(FILES, [("r", "a", 1)]), ["repo_id"], [F.asc("ord")], 5)
     assert "WindowGroupLimit" in plan(df)
-    with pytest.raises(ValueError):
-        first_per_group(df, ["repo_id"], [F.asc("ord")], 5000)
 
 
-def test_path_search_takes_first_distinct_paths(rows):
+def test_path_search_numbers_distinct_paths(rows):
     df = rows(FILES, [("r", f"auth{i}", 100 - i) for i in range(15)] + [("r", "auth3", 500), ("q", "x/auth", 1), ("q", "none", 2)])
-    got = {(r.repo_id, r.path) for r in S.path_search(df, "auth").collect()}
-    assert got == {("r", f"auth{i}") for i in range(5, 15)} | {("q", "x/auth")}
+    got = {(r.repo_id, r.path, r["rank"]) for r in S.path_search(df, "auth").collect()}
+    assert got == {("r", f"auth{i}", 15 - i) for i in range(15)} | {("q", "x/auth", 1)}
+    assert {r.path for r in S.path_search(df, "auth", 10).collect()} == {f"auth{i}" for i in range(5, 15)} | {"x/auth"}
 
 
 def flagged(rows, data):
     return rows("repo_id string, path string, name string, is_entry_point boolean, ord long", data)
 
 
-def test_critical_files_cap_per_pattern(rows):
+def test_all_critical_files(rows):
     data = [("r", f"jwt/{i:02d}.py", f"{i:02d}.py", False, i) for i in range(12)] + [("r", "z.py", "z.py", True, 99), ("r", "SQL.py", "SQL.py", False, 100)]
     got = {r.path for r in S.critical_files(flagged(rows, data)).collect()}
-    assert got == {f"jwt/{i:02d}.py" for i in range(10)} | {"z.py"}
-    marked = S.flag_critical(flagged(rows, data), S.critical_files(flagged(rows, data)))
-    assert marked.filter("is_critical").count() == 11 and marked.count() == len(data)
+    assert got == {f"jwt/{i:02d}.py" for i in range(12)} | {"z.py"}
+    marked = S.flag_critical(flagged(rows, data))
+    assert marked.filter("is_critical").count() == 13 and marked.count() == len(data)
 
 
 def test_priority_components(rows):
@@ -49,7 +48,8 @@ def test_priority_components(rows):
     data += [("small", f"p{i}.rb", f"p{i}.rb", False, i) for i in range(50)]
     got = S.priority_components(flagged(rows, data)).collect()
     big = sorted((r.position, r.path) for r in got if r.repo_id == "r")
-    assert len(big) == 500 and [p for _, p in big[:3]] == ["AuthX.rb", "e.rb", "p0.rb"]
+    assert [n for n, _ in big] == list(range(1, 603)) and [p for _, p in big[:3]] == ["AuthX.rb", "e.rb", "p0.rb"]
+    assert S.priority_components(flagged(rows, data), cap=7).count() == 14
     assert sum(r.repo_id == "small" for r in got) == 50
 
 
@@ -61,8 +61,8 @@ def test_tiers_and_cap(rows):
     assert order == ["go.rb", "user_route.rb", "schema.rb", "route.rb", "z/plain.rb"]
     kept = S.capped_files(tiered, cap=10).orderBy("position").collect()
     assert [r.path for r in kept] == order
-    # Beyond the cap the cap words decide: entry points, then "user", then input order.
-    assert [r.path for r in S.capped_files(tiered, cap=3).orderBy("position").collect()] == ["go.rb", "user_route.rb", "z/plain.rb"]
+    assert [r.path for r in S.capped_files(tiered).orderBy("position").collect()] == order
+    assert [r.path for r in S.capped_files(tiered, cap=3).orderBy("position").collect()] == order[:3]
 
 
 def test_restricted_edges(rows):

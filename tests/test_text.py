@@ -45,29 +45,20 @@ def test_budgeted_truncation(rows):
     assert kept == text
 
 
-def budget_model(prompt: str, context: int, out: int) -> str:
-    """Independent model of the token budget, one section after the other."""
+def budget_model(prompt: str, context: int, out: int) -> list[str]:
+    """Independent model of the parts of a prompt, one piece of a section after the other."""
     room = context - out - 50
-    size = lambda s: len(s) // 4
-    if size(prompt) <= room:
-        return prompt
-    head, *rest = prompt.split("\n\n")
-    if not rest:
-        if room * 4 >= len(prompt):
-            return prompt
-        half = room * 4 // 2
-        return prompt[:half] + " [...content truncated...] " + prompt[len(prompt) - half:]
-    left = room - max(size(head), 1) - 20
-    if left <= 0:
-        return head[: len(head) // 2] + "..."
-    parts = [head]
-    for s in rest:
-        if size(s) > left:
-            parts.append(s[: left * 4] + "...")
-            break
-        parts.append(s)
-        left -= size(s)
-    return "\n\n".join(parts)
+    parts, used = [], 0
+    for section in prompt.split("\n\n"):
+        for piece in [section[k : k + 4 * room] for k in range(0, max(len(section), 1), 4 * room)]:
+            size = len(piece) // 4 + 20
+            if parts and used + size <= room:
+                parts[-1].append(piece)
+                used += size
+            else:
+                parts.append([piece])
+                used = size
+    return ["\n\n".join(p) for p in parts]
 
 
 def test_token_budget_against_model(rows):
@@ -76,15 +67,14 @@ def test_token_budget_against_model(rows):
         "x" * rng.randint(0, 900) + "".join("\n\n" * rng.randint(1, 2) + "é" * rng.randint(0, 400) for _ in range(rng.randint(0, 8)))
         for _ in range(300)
     ] + ["", "\n\n", "a" * 600, "i" * 700 + "\n\nrest", "i" * 40 + "\n\n" + "b" * 320 + "\n\n" + "c" * 4]
-    got = rows("text string", [(p,) for p in prompts]).select(
-        "text", X.fit_token_budget("text", 250, 50).alias("out")
-    ).collect()
+    got = rows("text string", [(p,) for p in prompts]).select("text", X.budget_parts("text", 250, 50).alias("out")).collect()
     for r in got:
         assert r.out == budget_model(r.text, 250, 50)
+        assert "".join(r.out).replace("\n\n", "") == r.text.replace("\n\n", "")
 
 
 def test_token_budget_stays_inside_the_row(rows, plan):
-    text = plan(rows("text string", [("a",)]).select(X.fit_token_budget("text", 250, 50)))
+    text = plan(rows("text string", [("a",)]).select(X.budget_parts("text", 250, 50)))
     assert "Exchange" not in text and "Window" not in text and "EvalPython" not in text
 
 
