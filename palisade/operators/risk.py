@@ -60,9 +60,12 @@ def flow_flags(flows: DataFrame, edges: DataFrame, members: DataFrame) -> DataFr
     Only the existence of a crossing matters, so neither the flow x destination
     pairs nor a window over a source's flows are built.
     """
-    flagged = (
-        crossing_sources(flows, edges, members).select("repo_id", "source").distinct().withColumn("__x", F.lit(True))
-    )
+    return flag_sources(flows, crossing_sources(flows, edges, members))
+
+
+def flag_sources(flows: DataFrame, crossing: DataFrame) -> DataFrame:
+    """Flag the flows of all sources of a crossing table."""
+    flagged = crossing.select("repo_id", "source").distinct().withColumn("__x", F.lit(True))
     return (
         flows.join(flagged, ["repo_id", "source"], "left")
         .withColumn("crosses_boundary", F.coalesce("__x", F.lit(False)))

@@ -126,11 +126,16 @@ def flow_edges(spark, d):
 
 
 def _graph_inputs(spark, d):
-    f = session.stage(flagged(spark, d), "flows")
-    x = Rk.cross_boundary_flows(f, edges(spark, d), members(spark, d))
+    """Flows and crossings are derived once: flags come from the crossings, and a crossing is one row, not one per flow."""
+    base = session.stage(flows(spark, d), "flows")
+    linked = session.stage(edges(spark, d), "relations")
+    crossing = session.stage(Rk.crossing_sources(base, linked, members(spark, d)), "crossings")
+    f = Rk.flag_sources(base, crossing)
+    first = base.groupBy("repo_id", "source").agg(F.min("ord").alias("ord"))
+    x = crossing.join(first, ["repo_id", "source"])
     t = threats(spark, d)
-    repos = f.select("repo_id").distinct()
-    m = members(spark, d).join(edges(spark, d).select("repo_id", F.col("dst").alias("member")).distinct(), "member")
+    repos = base.select("repo_id").distinct()
+    m = members(spark, d).join(linked.select("repo_id", F.col("dst").alias("member")).distinct(), "member")
     named = f.groupBy("repo_id", F.col("source").alias("name")).agg(
         F.min("ord").alias("ord"), F.bool_or("crosses_boundary").alias("is_priority")
     )
@@ -144,14 +149,14 @@ def threat_graph_nodes(spark, d):
 
 def threat_graph_edges(spark, d):
     f, x, t, *_ = _graph_inputs(spark, d)
-    return G.threat_graph_edges(f, x.drop("crosses_boundary"), t)
+    return G.threat_graph_edges(f, x, t)
 
 
 def threat_diagram(spark, d):
     """Size of every section of the threat diagram of every repository."""
     f, x, t, repos, m, named = _graph_inputs(spark, d)
     nodes = G.threat_graph_nodes(m, named, f, x, t)
-    arrows = G.threat_graph_edges(f, x.drop("crosses_boundary"), t)
+    arrows = G.threat_graph_edges(f, x, t)
     lines = G.threat_diagram_lines(nodes, arrows, repos.unionByName(t.select("repo_id")))
     return lines.groupBy("repo_id", "section").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars")
@@ -393,7 +398,7 @@ ORACLE = {
       UNION ALL SELECT repo_id, 'vulnerability_' || ordinal, type || ' (' || severity || ')', 'vulnerability' FROM threats WHERE owner_kind = 'vulnerability'""",
     "threat_graph_edges": _GRAPH + f"""
       SELECT repo_id, {_id('source')} AS src, {_id('function')} AS dst, CASE WHEN crosses THEN chr(128308) || ' ' ELSE '' END || p1 || ', ' || p2 AS label, 'flow' AS kind FROM flagged
-      UNION ALL SELECT repo_id, {_id('source')}, {_id('destination')}, 'Crosses: ' || source_boundary || ' → ' || destination_boundary, 'crossing' FROM xflows
+      UNION ALL SELECT DISTINCT repo_id, {_id('source')}, {_id('destination')}, 'Crosses: ' || source_boundary || ' → ' || destination_boundary, 'crossing' FROM xflows
       UNION ALL SELECT repo_id, {_id('owner')}, tid, '', 'threat' FROM tids
       UNION ALL SELECT repo_id, {_id('owner')}, 'vulnerability_' || ordinal, '', 'vulnerability' FROM threats WHERE owner_kind = 'vulnerability'""",
     "mermaid_text": over_symbols(
