@@ -13,13 +13,20 @@ from .common import TEXT_BATCH_ROWS, only, rows_below, written
 from .components import connected_components
 
 # Frequent shingles that are ordered last: a fixed number, found by counting all shingles.
-FREQUENT, FREQUENT_LEAST, COUNT_EVERY = 1 << 17, 8, 1 << 22
-# Lists up to this length give their pairs; longer ones chain their neighbours, which connects the same sets.
+FREQUENT, FREQUENT_LEAST, COUNT_EVERY = 1 << 17, 3, 1 << 22
+# Shingles that two linked sets share at least among their indexed ones: longer prefixes by as many, far fewer candidates.
+SHARED = 3
+# Lists up to this length give their pairs; longer ones compare bitmaps of their sets.
 PAIRED_LIST = 32
-# Entries of one list that are held at once; a longer list is chained part by part.
-LIST_ROWS = 1 << 16
+# Bits of the bitmap of a set: a power of two, at least so many, and at least so many for each of its shingles, so that two
+# unlike sets differ in more bits than two that link may differ in shingles.
+BITMAP, BITMAP_SHARE = 1024, 0.6
+# Entries up to which a long list compares all its bitmaps, and up to which it compares them to leaders; beyond, it chains.
+PAIRWISE_LIST, LEADER_LIST = 2048, 1 << 18
 # Sets and shingles of a group that is verified in one task; larger clusters meet block by block.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
+# Rows of some 80 bytes each up to which the clustered classes are sent to the texts; beyond, texts are shuffled by id.
+BROADCAST_ROWS = 500_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -37,7 +44,8 @@ class Rule:
         return -(-self.part * n // self.base)
 
     def prefix(self, n):
-        return n - self.least_size(n) + 1
+        """Shingles of a set that are indexed: two sets that link share ``SHARED`` of them, or all they must share."""
+        return min(n, n - self.least_size(n) + SHARED)
 
     def least_overlap(self, n, m):
         return -(-self.part * (n + m) // (self.base + self.part))
@@ -112,8 +120,28 @@ def in_order(tokens: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.
     return tokens[np.lexsort((tokens, weight))] if weight.any() else tokens
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parities of the counts of shingles by their last bits. Sets differ in at least as many shingles as bitmaps in bits.
+
+    Halves of a bitmap, one laid on the other, are the bitmap of half its width.
+    """
+    width = max(BITMAP, 1 << int(np.ceil(np.log2(max(1.0, BITMAP_SHARE * len(tokens))))))
+    return np.packbits(np.bincount((tokens & np.uint64(width - 1)).astype("i8"), minlength=width) & 1).tobytes()
+
+
+def stacked(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of ``width`` bytes or more as rows of 64-bit words, folded to that width."""
+    rows = np.empty((len(bits), width // 8), np.uint64)
+    for k, b in enumerate(bits):
+        words = np.frombuffer(b, np.uint64)
+        while len(words) > width // 8:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        rows[k] = words
+    return rows
+
+
 def describe_sets(texts: DataFrame, rule: Rule, frequent: np.ndarray, times: np.ndarray) -> DataFrame:
-    """``row_id, doc_id, n, cls, prefix`` of every document: set size, fingerprint of the set, and its indexed shingles."""
+    """``row_id, doc_id, n, cls, bits, prefix`` of every document: size, fingerprint and bitmap of its set, indexed shingles."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -126,20 +154,22 @@ def describe_sets(texts: DataFrame, rule: Rule, frequent: np.ndarray, times: np.
                 [
                     batch.column("row_id"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([bitmap(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes))),
                 ],
-                ["row_id", "doc_id", "n", "cls", "prefix"],
+                ["row_id", "doc_id", "n", "cls", "bits", "prefix"],
             )
 
     numbered = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
-    return numbered.mapInArrow(describe, "row_id long, doc_id long, n long, cls binary, prefix array<long>")
+    return numbered.mapInArrow(describe, "row_id long, doc_id long, n long, cls binary, bits binary, prefix array<long>")
 
 
 def candidates_of_list(n: np.ndarray, at: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
     """Pairs of an index list that can link. The list is sorted by (size, position); entries of one size are a block.
 
-    For an entry, blocks of too small sets are never visited, and the rest of a block is skipped at the first position from
-    which the shingles that follow are too few for the overlap that the two sizes ask for.
+    Two sets share at most what lies before the shingle in either, itself, and what follows it in either. For an entry,
+    blocks of too small sets are never visited, and the rest of a block is skipped at the first position from which too
+    few shingles follow for the overlap that the two sizes ask for.
     """
     starts = [0, *(np.flatnonzero(np.diff(n)) + 1).tolist(), len(n)]
     sizes, places = n.tolist(), at.tolist()
@@ -150,81 +180,186 @@ def candidates_of_list(n: np.ndarray, at: np.ndarray, rule: Rule) -> list[tuple[
         while sizes[starts[first]] < rule.least_size(size):
             first += 1
         for k in range(a, b):
-            rest = size - places[k]
+            place = places[k]
+            rest = size - place
             for block in range(first, own + 1):
                 low, high = starts[block], min(starts[block + 1], k)
                 if low >= high:
                     continue
                 other = sizes[low]
                 need = rule.least_overlap(size, other)
-                if rest < need:
-                    continue
                 for j in range(low, high):
-                    if other - places[j] < need:
+                    after = other - places[j]
+                    if after + place < need:
                         break
-                    found.append((j, k))
+                    if min(place, places[j]) + min(rest, after) >= need:
+                        found.append((j, k))
     return found
 
 
-def candidate_edges(entries: DataFrame, rule: Rule) -> DataFrame:
-    """``a, b``: edges that connect all sets which can link, from index entries ``token, n, at, node``.
+def forest_of_list(n: np.ndarray, bits: list[bytes], rule: Rule) -> list[tuple[int, int]]:
+    """Edges that connect all pairs of a long list whose bitmaps allow them to link. The list is sorted by size.
 
-    Short lists give their candidate pairs. A long list chains each entry to the one before it where their sizes could
-    link: two sets of the list that link are joined by such a chain, for the sizes between theirs are closer still.
+    Sets whose bitmaps have the same width or, folded, the next one are compared: sizes of sets that link are too close
+    for more.
+    """
+    widths = np.array([len(b) for b in bits])
+    edges: list[tuple[int, int]] = []
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero((widths == width) | (widths == 2 * width) & (n <= n[widths == width].max() * rule.base // rule.part + 1))
+        rows = stacked([bits[k] for k in own], width)
+        edges += [(int(own[a]), int(own[b])) for a, b in forest_of_width(n[own], rows, rule)]
+    return edges
+
+
+def forest_of_width(n: np.ndarray, bits: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Up to ``PAIRWISE_LIST`` entries, each is compared to those before it and hung on one entry of every tree it may link
+    with. In a longer list an entry leads: what lies within twice the widest distance of a link is hung on it, and what lies
+    within that distance is done, for whatever it links with has been hung on the leader, too. Copies of one text leave
+    after a few leaders.
+    """
+    edges: list[tuple[int, int]] = []
+    if len(n) <= PAIRWISE_LIST:
+        tree = np.arange(len(n))
+        for k in range(1, len(n)):
+            low = int(np.searchsorted(n, rule.least_size(n[k])))
+            apart = np.bitwise_count(bits[low:k] ^ bits[k]).sum(axis=1, dtype="i8")
+            near = np.flatnonzero((n[low:k] + n[k] - apart) // 2 >= rule.least_overlap(n[low:k], n[k])) + low
+            for root, j in dict(zip(tree[near].tolist(), near.tolist(), strict=True)).items():
+                edges.append((j, k))
+                tree[tree == root] = k
+        return edges
+    pool = np.arange(len(n))
+    while len(pool):
+        lead, pool = pool[0], pool[1:]
+        size = int(n[lead])
+        # Sets that link with one of up to size / t differ from it in at most (1 - t) / t ** 2 of the leader's size.
+        reach = size * (rule.base - rule.part) * rule.base // rule.part**2 + 2
+        stop = int(np.searchsorted(n[pool], size * rule.base**2 // rule.part**2 + 2, "right"))
+        apart = np.bitwise_count(bits[pool[:stop]] ^ bits[lead]).sum(axis=1, dtype="i8")
+        edges += [(int(lead), int(k)) for k in pool[:stop][apart <= 2 * reach]]
+        done = (apart <= reach) & (n[pool[:stop]] * rule.part <= size * rule.base)
+        pool = np.concatenate([pool[:stop][~done], pool[stop:]])
+    return edges
+
+
+def by_token(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], most: int) -> Iterator[tuple[dict[str, np.ndarray], bool, bool]]:
+    """Runs of whole index lists from rows sorted by token: (columns, first list goes on from before, last one is cut).
+
+    A list of more than ``most`` rows comes in parts, each beginning with the last row of the part before.
+    """
+    held: list[pa.RecordBatch] = []
+    cut = False
+
+    def columns(table: pa.Table) -> dict[str, np.ndarray]:
+        found = {c: table.column(c).to_numpy() for c in names if c != "bits"}
+        if "bits" in names:
+            found["bits"] = table.column("bits").to_pylist()
+        return found
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        token = table.column("token").to_numpy()
+        last = int(np.searchsorted(token, token[-1]))
+        if last:
+            yield columns(table.slice(0, last)), cut, False
+            cut = False
+        elif len(token) > most:
+            yield columns(table), cut, True
+            last, cut = len(token) - 1, True
+        held = table.slice(last).combine_chunks().to_batches()
+    if held:
+        yield columns(pa.Table.from_batches(held)), cut, False
+
+
+def _lists(token: np.ndarray) -> Iterator[tuple[int, int]]:
+    cuts = np.flatnonzero(np.diff(token)) + 1
+    starts, ends = np.r_[0, cuts], np.r_[cuts, len(token)]
+    several = ends - starts > 1
+    return zip(starts[several].tolist(), ends[several].tolist(), strict=True)
+
+
+def candidate_edges(entries: DataFrame, bitmaps: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b``: edges that connect all sets which can link, from index entries ``token, n, at, node`` and ``node, bits``.
+
+    Short lists give their candidate pairs, and a pair stays if it was found as often as its sets must share indexed
+    shingles, those in long lists taken as shared, and if its bitmaps allow it. The entries of long lists meet again with
+    the bitmaps of their sets and give the edges of a forest, never their pairs.
     """
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[np.ndarray] = []
-        right: list[np.ndarray] = []
-        names = ("token", "n", "at", "node")
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def work(columns: tuple[np.ndarray, ...], goes_on: bool) -> None:
-            token, n, at, node = columns
-            cuts = np.flatnonzero(np.diff(token)) + 1
-            starts, ends = np.r_[0, cuts], np.r_[cuts, len(token)]
-            several = ends - starts > 1
-            for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
-                if b - a <= PAIRED_LIST and not (goes_on and a == 0):
-                    pairs = candidates_of_list(n[a:b], at[a:b], rule)
-                    if pairs:
-                        p = np.array(pairs) + a
-                        left.append(node[p[:, 0]])
-                        right.append(node[p[:, 1]])
-                else:
-                    near = np.flatnonzero(n[a : b - 1] >= rule.least_size(n[a + 1 : b])) + a
-                    left.append(node[near])
-                    right.append(node[near + 1])
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[np.ndarray] = []  # (a, b, shared shingles asked for)
+        longs: list[np.ndarray] = []  # (token, n, at, node) of entries in long lists
 
         def out() -> pa.RecordBatch:
-            pairs = np.stack([np.concatenate([np.zeros(0, "i8"), *left]), np.concatenate([np.zeros(0, "i8"), *right])], axis=1)
-            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            left.clear()
-            right.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-        cut = False  # whether the first token held is the rest of a list that was too long to hold
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(tuple(batch.column(c).to_numpy() for c in names))
-            rows = tuple(np.concatenate(c) for c in zip(*held, strict=True))
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            if last:
-                work(tuple(c[:last] for c in rows), cut)
-                cut = False
-            elif len(rows[0]) > LIST_ROWS:
-                work(rows, True)
-                last, cut = len(rows[0]) - 1, True
-            held = [tuple(c[last:] for c in rows)]
-            if sum(map(len, left)) > 100_000:
+            pair, shared = np.unique(np.concatenate([np.zeros((0, 3), "i8"), *pairs]), axis=0, return_counts=True)
+            entry = np.concatenate([np.zeros((0, 4), "i8"), *longs])
+            pairs.clear()
+            longs.clear()
+            rows = np.concatenate([np.column_stack([pair, shared, np.ones(len(pair), "i8")]), np.column_stack([entry, np.zeros(len(entry), "i8")])])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a", "b", "asked", "shared", "paired"])
+
+        for c, goes_on, cut in by_token(batches, ("token", "n", "at", "node"), 1 << 16):
+            token, n, at, node = (c[k].astype("i8", copy=False) for k in ("token", "n", "at", "node"))
+            for a, b in _lists(token):
+                if b - a <= PAIRED_LIST and not (goes_on and a == 0):
+                    found = candidates_of_list(n[a:b], at[a:b], rule)
+                    if found:
+                        p = np.array(found) + a
+                        x, y = node[p[:, 0]], node[p[:, 1]]
+                        asked = np.minimum(SHARED, rule.least_overlap(n[p[:, 0]], n[p[:, 1]]))
+                        pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y), asked], axis=1))
+                else:
+                    a += goes_on and a == 0  # the first entry was given with the part before
+                    longs.append(np.stack([token[a:b], n[a:b], at[a:b], node[a:b]], axis=1))
+            if sum(map(len, pairs)) + sum(map(len, longs)) > 200_000:
                 yield out()
-        if held:
-            work(held[0], cut)
         yield out()
 
-    ordered = entries.repartition("token").sortWithinPartitions("token", "n", "at", "node")
-    return ordered.select("token", "n", "at", "node").mapInArrow(build, "a long, b long")
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, goes_on, cut in by_token(batches, ("token", "n", "node", "bits"), LEADER_LIST):
+            found = [np.zeros((0, 2), "i8")]
+            for a, b in _lists(c["token"]):
+                n = c["n"][a:b]
+                if goes_on and a == 0 or cut:
+                    near = np.flatnonzero(n[:-1] >= rule.least_size(n[1:]))  # between two sizes that link all sizes do
+                    edges = np.stack([near, near + 1], axis=1)
+                else:
+                    edges = np.array(forest_of_list(n, c["bits"][a:b], rule), "i8").reshape(-1, 2)
+                found.append(c["node"][a:b][edges])
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs.T], ["a", "b"])
+
+    ordered = entries.repartition("token").sortWithinPartitions("token", "n", "at", "node").select("token", "n", "at", "node")
+    found = written(ordered.mapInArrow(short, "a long, b long, asked long, shared long, paired long"), "candidates")
+    entry = found.filter("paired = 0").select(F.col("a").alias("token"), F.col("b").alias("n"), F.col("asked").alias("at"), F.col("shared").alias("node"))
+    met = entry.join(bitmaps.select("node", "bits"), "node").select("token", "n", "at", "node", "bits").repartition("token").sortWithinPartitions("token", "n", "at", "node")
+    from_long = met.mapInArrow(long, "a long, b long")
+
+    in_long = entry.groupBy("node").agg(F.count(F.lit(1)).alias("long"))
+    pairs = found.filter("paired = 1").groupBy("a", "b").agg(F.min("asked").alias("asked"), F.sum("shared").alias("shared"))
+    sides = [in_long.select(F.col("node").alias(x), F.col("long").alias(f"long_{x}")) for x in ("a", "b")]
+    eased = pairs.filter("shared < asked").join(sides[0], "a").join(sides[1], "b").filter(F.col("shared") + F.least("long_a", "long_b") >= F.col("asked"))
+    shared = pairs.filter("shared >= asked").select("a", "b").unionByName(eased.select("a", "b"))
+    sides = [bitmaps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b")]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("bits_a", "bits_b"))
+            sizes = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
+            widths = np.array([min(len(a), len(b)) for a, b in zip(x, y, strict=True)], "i8")
+            apart = np.zeros(len(widths), "i8")
+            for width in np.unique(widths).tolist():
+                at = np.flatnonzero(widths == width)
+                words = stacked([x[k] for k in at], width) ^ stacked([y[k] for k in at], width)
+                apart[at] = np.bitwise_count(words).sum(axis=1, dtype="i8")
+            keep = (sizes[0] + sizes[1] - apart) // 2 >= rule.least_overlap(*sizes)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return shared.join(sides[0], "a").join(sides[1], "b").mapInArrow(near, "a long, b long").unionByName(from_long)
 
 
 def verify_group(left: list[np.ndarray], right: list[np.ndarray] | None, rule: Rule) -> list[np.ndarray]:
@@ -273,21 +408,23 @@ def verified_links(members: DataFrame, texts: DataFrame, rule: Rule) -> DataFram
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        last = None
+        seen = set()
         for batch in rows_below(batches, TEXT_BATCH_ROWS):
             keep, sets = [], []
             for k, (node, cls, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "cls", "text")), strict=True)):
-                if node == last:  # a repeated row of the same document
-                    continue
-                tokens = shingles(text, rule.words)
-                if xxh3_128_digest(tokens.tobytes()) == cls:
-                    last = node
-                    keep.append(k)
-                    sets.append(tokens.tobytes())
+                if node not in seen:  # not a repeated row of the same document
+                    tokens = shingles(text, rule.words)
+                    if xxh3_128_digest(tokens.tobytes()) == cls:
+                        seen.add(node)
+                        keep.append(k)
+                        sets.append(tokens.tobytes())
             rest = batch.select(["node", "copies", "cluster", "blocks"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], ["node", "copies", "cluster", "blocks", "tokens"])
 
-    found = members.join(texts, "doc_id").select("node", "cls", "copies", "cluster", "blocks", "text")
+    members = written(members, "members")
+    if members.count() <= BROADCAST_ROWS:
+        members = F.broadcast(members)
+    found = texts.join(members, "doc_id").select("node", "cls", "copies", "cluster", "blocks", "text")
     sets = found.mapInArrow(read_sets, "node long, copies long, cluster long, blocks long, tokens binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
@@ -348,10 +485,11 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     texts = only(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string")
     described = written(describe_sets(texts, rule, *frequent_shingles(texts, rule.words)), "sets")
     filled = described.filter("n > 0")
-    classes = filled.groupBy("cls").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"))
+    classes = filled.groupBy("cls").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    classes = written(classes, "classes")
     entries = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
-    clusters = connected_components(candidate_edges(entries, rule))
-    known = written(classes.drop("prefix").join(clusters, "node", "left").withColumnRenamed("root", "cluster"), "classes")
+    clusters = connected_components(candidate_edges(entries, classes.select("node", "n", "bits"), rule))
+    known = written(classes.drop("prefix", "bits").join(clusters, "node", "left").withColumnRenamed("root", "cluster"), "clusters")
     many = known.filter("cluster IS NOT NULL")
     blocks = many.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks")
