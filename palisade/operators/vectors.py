@@ -246,24 +246,47 @@ def retrieve(
 # -- approximate nearest neighbours ---------------------------------------------------
 
 
-def knn_lsh(
-    queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.5, tables: int = 8, seed: int = 7,
-    max_distance: float = 2.0,
-) -> DataFrame:
-    """Candidates from random-projection LSH tables, re-ranked by exact distance."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    vec = lambda df, i: df.select(F.col(i), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    q, c = vec(queries, "query_id"), vec(corpus, "id")
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(q)
-    pairs = lsh.approxSimilarityJoin(q, c, max_distance, distCol="l2").select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"),
-        F.round(F.col("l2") * F.col("l2"), DISTANCE_DIGITS).alias("distance"),
+BANDS, BAND_BITS = 32, 6
+
+
+def sign_planes(count: int, dim: int) -> np.ndarray:
+    """Fixed pseudo-random hyperplanes, ``count x dim``, from an integer rule that SQL can state as well."""
+    n = np.arange(1, count * dim + 1, dtype=np.int64)
+    return ((n * n * 1103515245 + n * 12345) % 2147483647 / 1073741823.5 - 1).reshape(count, dim)
+
+
+def band_signatures(df: DataFrame, key: str, bands: int, bits: int) -> DataFrame:
+    """``key, band, signature``: the sides of ``bits`` hyperplanes that a vector lies on, for each band."""
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                v = _matrix(pdf["embedding"])
+                sides = (v @ sign_planes(bands * bits, v.shape[1]).T > 0).reshape(len(v), bands, bits)
+                signatures = (sides << np.arange(bits)).sum(axis=2)
+                yield pd.DataFrame({key: pdf[key].repeat(bands), "band": np.tile(np.arange(bands), len(v)), "signature": signatures.ravel()})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col("embedding").cast("array<double>")).mapInPandas(sign, f"{key} {kind}, band int, signature int")
+
+
+def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int, bands: int = BANDS, bits: int = BAND_BITS) -> DataFrame:
+    """Approximate neighbours: rows that share a band's signature with a query, ranked by exact distance.
+
+    Candidates meet in an equality join on (band, signature), whose skewed keys Spark splits; the pairs carry ids only,
+    and vectors are joined once per distinct pair. More bits make fewer candidates, more bands higher recall; vectors of
+    unit length with an angle of a right angle share a band of 6 bits with a chance of 1 in 64.
+    """
+    near = band_signatures(queries, "query_id", bands, bits).join(band_signatures(corpus, "id", bands, bits), ["band", "signature"])
+    pairs = near.select("query_id", "id").distinct()
+    apart = F.aggregate(F.zip_with("q", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    vector = F.col("embedding").cast("array<double>")
+    measured = (
+        pairs.join(queries.select("query_id", vector.alias("q")), "query_id")
+        .join(corpus.select("id", vector.alias("c")), "id")
+        .select("query_id", "id", F.round(apart, DISTANCE_DIGITS).alias("distance"))
     )
-    return first_per_group(pairs, ["query_id"], [F.asc("distance"), F.asc("id")], k)
+    return first_per_group(measured, ["query_id"], [F.asc("distance"), F.asc("id")], k)
 
 
 def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:

@@ -170,6 +170,16 @@ ORACLE = {
     "knn_filtered": f"""WITH {_CENTROIDS} SELECT query_id, id, distance, again AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS again FROM r WHERE label = query_id)
       WHERE again <= {K_NEAREST}""",
+    "knn_lsh": f"""WITH {_CENTROIDS},
+      planes AS (SELECT (n - 1) // 64 AS plane, (n - 1) % 64 AS pos, (n * n * 1103515245 + n * 12345) % 2147483647 / 1073741823.5 - 1 AS w
+        FROM (SELECT unnest(range(1, {V.BANDS * V.BAND_BITS} * 64 + 1)) AS n)),
+      vs AS (SELECT 0 AS side, query_id AS vid, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM q
+        UNION ALL SELECT 1, id, unnest(v), generate_subscripts(v, 1) - 1 FROM c),
+      sides AS (SELECT side, vid, plane, sum(x * w) > 0 AS up FROM vs JOIN planes USING (pos) GROUP BY 1, 2, 3),
+      sigs AS (SELECT side, vid, plane // {V.BAND_BITS} AS band, sum(CASE WHEN up THEN 1 << (plane % {V.BAND_BITS})::INT ELSE 0 END) AS signature FROM sides GROUP BY 1, 2, 3),
+      met AS (SELECT DISTINCT a.vid AS query_id, b.vid AS id FROM sigs a JOIN sigs b ON a.side = 0 AND b.side = 1 AND a.band = b.band AND a.signature = b.signature)
+      SELECT query_id, id, distance, rank FROM (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
+        FROM d JOIN met USING (query_id, id)) WHERE rank <= {K_NEAREST}""",
     "knn_prefiltered": f"""WITH {_CENTROIDS} SELECT query_id, id, distance, again AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS again FROM d WHERE label IN (1, 3, 5))
       WHERE again <= {K_NEAREST}""",
