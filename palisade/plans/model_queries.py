@@ -201,7 +201,7 @@ def store_roundtrip(spark, d):
     store.save(ingest.chunk_vectors(scanned(spark, d)))
     first = store.load().filter(F.col("repo_id") == "src0")
     store.save(session.stage(first, "replacement"))
-    return store.sizes()
+    return store.load().select("repo_id", "path", "chunk_idx", F.md5("content").alias("content_md5"))
 
 
 def incremental_ingest(spark, d):
@@ -213,9 +213,7 @@ def incremental_ingest(spark, d):
         stream = spark.readStream.schema(results.schemas.FILES).option("maxFilesPerTrigger", 4).parquet(source)
         run = ingest.start(stream, store, session.scratch_path(spark, f"ingest-{attempt}"), available_now=True)
         run.awaitTermination()
-    return store.load().groupBy("repo_id").agg(
-        F.countDistinct("path").alias("files"), F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content")).alias("chars")
-    )
+    return store.load().select("repo_id", "path", "chunk_idx", F.md5("content").alias("content_md5"))
 
 
 def binary_scan(spark, d):
@@ -430,12 +428,11 @@ ORACLE = {
           UNION ALL SELECT repo_id, '    ' || base || ' --> ' || dep FROM deps) GROUP BY 1"""
     ),
     "store_roundtrip": over_files(
-        "SELECT c.repo_id, count(*) AS chunks FROM chunk_texts t JOIN corpus c ON c.ord = t.id GROUP BY 1",
+        "SELECT c.repo_id, c.path, t.idx AS chunk_idx, md5(t.content) AS content_md5 FROM chunk_texts t JOIN corpus c ON c.ord = t.id",
         "texts AS (SELECT ord AS id, content AS text FROM corpus), " + chunk_ctes("texts"),
     ),
     "incremental_ingest": over_files(
-        """SELECT c.repo_id, count(DISTINCT c.path) AS files, count(*) AS chunks, CAST(sum(length(t.content)) AS BIGINT) AS chars
-        FROM chunk_texts t JOIN corpus c ON c.ord = t.id GROUP BY 1""",
+        "SELECT c.repo_id, c.path, t.idx AS chunk_idx, md5(t.content) AS content_md5 FROM chunk_texts t JOIN corpus c ON c.ord = t.id",
         "texts AS (SELECT ord AS id, content AS text FROM corpus), " + chunk_ctes("texts"),
     ),
     "binary_scan": over_files(

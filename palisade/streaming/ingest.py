@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -35,12 +36,13 @@ def chunk_vectors(files: DataFrame, model: Callable[[pd.Series], pd.Series] | No
     return V.encode(C.chunks(described), "content", model=model).select(*[f.name for f in STORED])
 
 
-def ingest_batch(store: ChunkStore, batch: DataFrame) -> None:
-    """Append the files of a batch that are not stored yet.
+def ingest_batch(store: ChunkStore, batch: DataFrame, name: str | None = None) -> None:
+    """Append the files of a batch that no other batch has stored yet.
 
-    A replayed batch finds its files in the store and adds nothing, so the
-    table stays exact when an executor or the driver is lost in between.  The
-    first of equal paths inside a batch is kept.
+    A batch that is replayed under its ``name`` is written anew in the place of
+    whatever its first attempt has left, so the table stays exact when an
+    executor or the driver is lost in between.  The first of equal paths inside
+    a batch is kept.
     """
     accepted = corpus.filter_files(batch)
     first = accepted.groupBy("repo_id", P.normalise("path").alias("__norm")).agg(F.min("ord").alias("ord"))
@@ -48,13 +50,15 @@ def ingest_batch(store: ChunkStore, batch: DataFrame) -> None:
         first, ["repo_id", "__norm", "ord"], "left_semi"
     ).drop("__norm")
     # Only the partitions of the batch's repositories are looked at.
-    stored = store.load().select("repo_id", "path").join(first.select("repo_id").distinct(), "repo_id", "left_semi")
-    store.append(chunk_vectors(S.not_indexed(fresh, stored)))
+    other = store.batches() if name is None else store.batches().filter(F.col("batch") != name)
+    stored = other.select("repo_id", "path").join(first.select("repo_id").distinct(), "repo_id", "left_semi")
+    store.append(chunk_vectors(S.not_indexed(fresh, stored)), name)
 
 
 def start(files: DataFrame, store: ChunkStore, checkpoint: str, available_now: bool = False):
     """Start the stream ``files`` -> chunk store; returns the streaming query."""
-    writer = files.writeStream.foreachBatch(lambda df, _id: ingest_batch(store, df)).option(
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()  # batches are numbered within a stream
+    writer = files.writeStream.foreachBatch(lambda df, n: ingest_batch(store, df, f"{stream}-{n}")).option(
         "checkpointLocation", checkpoint
     )
     if available_now:

@@ -1,4 +1,5 @@
 import glob
+import os
 
 from palisade import session
 from palisade.plans import lifecycle
@@ -33,6 +34,21 @@ def test_ingest_twice_adds_nothing(spark, rows, tmp_path):
     assert once == store.load().count() == 1 + 1  # "a\\x.py" belongs to repository "r"
 
 
+def test_a_replayed_batch_is_made_whole(spark, rows, tmp_path):
+    store = ingest.open_store(spark, str(tmp_path / "store"))
+    ingest.ingest_batch(store, files(rows, "a/x.py"), "s-0")
+    batch = rows(FILES, [("a", f"d/{i}.py", "\n".join(["t" * 90] * 60), 10, i) for i in range(40)]).repartition(4)
+    ingest.ingest_batch(store, batch, "s-1")
+    whole = sorted((r.path, r.chunk_idx) for r in store.load().collect())
+    parts = sorted(glob.glob(str(tmp_path / "store/repo_id=a/batch=s-1/*.parquet")))
+    for part in parts[: max(1, len(parts) // 2)]:
+        os.remove(part)
+    ingest.ingest_batch(store, batch, "s-1")
+    assert sorted((r.path, r.chunk_idx) for r in store.load().collect()) == whole
+    ingest.ingest_batch(store, batch, "s-2")
+    assert store.load().count() == len(whole)
+
+
 def test_stream_restarts_where_it_stopped(spark, rows, tmp_path):
     store = ingest.open_store(spark, str(tmp_path / "store"))
     source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
