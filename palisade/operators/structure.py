@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths as P
 from ..functions.nested import items
+from ..session import stage
 
 FAMILIES = ("python", "php", "javascript")
 
@@ -264,6 +265,7 @@ def dependency_edges(comps: DataFrame, gram: int = 4) -> DataFrame:
         .select("repo_id", "dst_path", F.explode(_grams(F.col("dst_path"), F.col("n"))).alias("gram"))
         .join(probes.select("repo_id", "gram").distinct(), ["repo_id", "gram"], "left_semi")
     )
+    index = stage(index, "gram-index")  # counted and probed
     frequency = index.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
     # A gram that no path has rules its dependency out.
     rarest = (
