@@ -90,4 +90,5 @@ def test_default_boundary(rows):
     files = rows("repo_id string, path string, ord long", [(r, f"f{i:02d}", i) for r in "ab" for i in range(40)])
     named = rows("repo_id string, boundary string", [("a", "Web")])
     got = A.default_boundary(files, named).orderBy("position").collect()
-    assert [(g.repo_id, g.member) for g in got] == [("b", f"f{i:02d}") for i in range(30)]
+    assert [(g.repo_id, g.member) for g in got] == [("b", f"f{i:02d}") for i in range(40)]
+    assert A.default_boundary(files, named, limit=3).count() == 3
