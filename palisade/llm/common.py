@@ -26,9 +26,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to shared storage and return it as a scan: cuts the lineage, survives lost executors."""
+    """Write a table to shared storage and return it as a scan: cuts the lineage, survives lost executors.
+
+    The table goes when the session's driver ends.
+    """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
     return spark.read.schema(df.schema).parquet(path)
 
 

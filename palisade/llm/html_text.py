@@ -24,6 +24,7 @@ _TAG = re.compile(
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -164,12 +165,12 @@ def strip_markup(html: str) -> list[tuple[str, int, bool]]:
 def keep_between(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE_CHARS) -> list[str]:
     """Lines between the points where the text of sliding windows surges and where it dives.
 
-    A window's weight is the sum of its lines' characters outside of links; where a page marks its content, only those
-    lines weigh, and any weight is a surge. A run begins with the first window that reaches ``surge`` (on a page that
+    A window's weight is the sum of its lines' characters outside of links, copyright lines aside; where a page marks its
+    content, only those lines weigh, and any weight is a surge. A run begins with the first window that reaches ``surge`` (on a page that
     never does: its largest) and ends where a window has nothing left.
     """
     content = any(inside for _, _, inside in lines)
-    weights = [(len(t) if inside else 0) if content else free for t, free, inside in lines]
+    weights = [(len(t) if inside else 0) if content else 0 if _RIGHTS.match(t) else free for t, free, inside in lines]
     sums = [0, *accumulate(weights)]
     blocks = [sums[min(k + window, len(weights))] - sums[k] for k in range(len(weights))]
     if not blocks or not max(blocks):

@@ -111,6 +111,14 @@ STORY = "<h1>A  title</h1><p>First\n&amp; long paragraph of the story, which goe
 TEXT = "A title\n\nFirst & long paragraph of the story, which goes on for a while to be found.\n\nSecond.\n\nThird line <b>."
 
 
+def test_a_page_without_marks():
+    links = "".join(f"<div><a href='/{k}'>Section {k}</a></div>" for k in range(8))
+    story = "".join(f"<div>Sentence number {k} of a story that is told at some length, as stories are.</div>" for k in range(6))
+    page = f"<body>{links}<div><h2>Head</h2></div>{story}{links}<div>&copy; 2024 Site, all rights reserved</div>"
+    want = ["Head", *(f"Sentence number {k} of a story that is told at some length, as stories are." for k in range(6))]
+    assert html_text.main_text(page) == "\n\n".join(want)
+
+
 @pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main><div>%s</div></main>", "<div class='content'>%s</div>", "%s"])
 def test_noise_around_the_story(wrap):
     assert html_text.main_text(PAGE % (wrap % STORY)) == TEXT
