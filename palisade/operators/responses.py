@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schemas
 from ..functions import constants as K, text as X
 from ..functions.ordering import with_position
+from . import rollups as R
 
 
 def _key(line: Column) -> Column:
@@ -191,6 +192,19 @@ def default_boundary(files: DataFrame, boundaries: DataFrame, limit: int | None
     )
 
 
+def minimal_models(files: DataFrame) -> DataFrame:
+    """The model of a repository without components: no owners, unknown risk, and what its files' names tell.
+
+    One row per extension, ``(repo_id, overall_risk, architecture_pattern, ext, entry)``; a repository without extensions
+    keeps a row.
+    """
+    return (
+        R.architecture_pattern(files)
+        .join(R.stack_entries(files).drop("files"), "repo_id", "left")
+        .select("repo_id", F.lit("Unknown").alias("overall_risk"), "architecture_pattern", "ext", "entry")
+    )
+
+
 def placeholder_threats(comps: DataFrame, flows: DataFrame) -> DataFrame:
     """The fixed threat of every component and flow when there are no model answers."""
     fields = [F.lit(v).alias(k) for k, v in K.PLACEHOLDER_THREAT.items()]

@@ -246,7 +246,8 @@ def _grams(text: Column, n: Column) -> Column:
 
 
 def dependency_edges(comps: DataFrame, gram: int = 4) -> DataFrame:
-    """For every dependency of a file, the other files whose path contains it.
+    """For every dependency of a file, the other files whose path contains it or whose ``module_name``, if there is such
+    a column, equals it.
 
     Substring matching without a nested loop.  Each *distinct* dependency is
     looked up by its single rarest gram of ``gram`` characters (one shorter than
@@ -280,6 +281,10 @@ def dependency_edges(comps: DataFrame, gram: int = 4) -> DataFrame:
         .filter(F.contains("dst_path", F.col("dep")))
         .select("repo_id", "dep", "dst_path")
     )
+    if "module_name" in comps.columns:
+        named = comps.select("repo_id", F.col("module_name").alias("dep"), F.col("path").alias("dst_path")).filter(F.col("dep") != "")
+        asked = named.join(wanted.select("repo_id", "dep"), ["repo_id", "dep"], "left_semi")
+        hits = hits.unionByName(asked.filter(~F.contains("dst_path", F.col("dep"))))
     return (
         deps.join(hits, ["repo_id", "dep"])
         .filter(F.col("src_path") != F.col("dst_path"))

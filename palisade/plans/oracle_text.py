@@ -59,7 +59,7 @@ FILES = (
   SELECT DISTINCT path FROM (SELECT path, unnest(string_split(path, '/')) AS piece FROM files) p
   JOIN ignores ON piece GLOB word
 ), corpus AS (
-  SELECT f.* FROM files f WHERE length <= 10485760 AND NOT contains(lower(path), 'test')
+  SELECT f.* FROM files f WHERE NOT contains(lower(path), 'test')
     AND path NOT IN (SELECT path FROM ignored)
 ), comps AS (
   SELECT c.*, coalesce(d.language, 'Unknown') AS type FROM corpus c LEFT JOIN display d ON d.ext = c.ext

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K, text as X
 from ..operators import chunks as C, prompts as Q, responses as A, risk as Rk, select as S, structure as T
-from ..session import stage
+from ..session import scratch_path, stage
+from ..sources import corpus
 from .corpus_queries import CHOSEN, CRITICAL_CTES, comps, flat_comps, parsed, scanned
 from .oracle_text import in_list, over_files, over_symbols, values
 from .views import ANALYSES, BOUNDARY_ANSWERS, ctes, table, view
 
 CONTEXT_SIZE, OUTPUT_TOKENS = 700, 100
+INGEST_DIRS = ["src/", "lib/Tests/", "", "docs/é "]
 
 
 def documents(spark, d):
@@ -136,6 +138,24 @@ def placeholder_model(spark, d):
     )
 
 
+def document_ingest(spark, d):
+    """All texts written as JSON documents, with the path in one of its two places, and read back as documents."""
+    location = scratch_path(spark, "documents")
+    path = F.concat(F.element_at(F.array(*(F.lit(x) for x in INGEST_DIRS)), (F.col("doc_id") % len(INGEST_DIRS) + 1).cast("int")), F.col("doc_id").cast("string"))
+    own = F.col("doc_id") % 2 == 0
+    table(spark, d, "documents").select(
+        F.col("source").alias("repo_id"), F.when(own, path).alias("file_path"), F.col("text").alias("content"),
+        F.struct(F.when(~own & (F.col("doc_id") % 7 != 0), path).alias("file_path"), F.col("lang").alias("language")).alias("metadata"), F.col("doc_id").alias("ord"),
+    ).write.json(location)
+    return corpus.read_documents(spark, location).select("repo_id", "path", "ord", F.md5("content").alias("content_md5"))
+
+
+def decoded_texts(spark, d):
+    """Texts as bytes with a broken sequence before and after, decoded with replacement characters."""
+    broken = F.concat(F.unhex(F.lit("41FF")), F.col("text").cast("binary"), F.unhex(F.lit("C3")))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.md5(corpus.decode(broken)).alias("content_md5"))
+
+
 def flow_boundary_context(spark, d):
     flows = view(spark, d, "star_flows")
     members = view(spark, d, "star_members")
@@ -163,6 +183,9 @@ QUERIES = {
     "vulnerability_rows": vulnerability_rows,
     "default_boundary": default_boundary,
     "placeholder_model": placeholder_model,
+    "minimal_models": lambda s, d: A.minimal_models(scanned(s, d)),
+    "document_ingest": document_ingest,
+    "decoded_texts": decoded_texts,
     "flow_boundary_context": flow_boundary_context,
 }
 
@@ -400,6 +423,18 @@ ORACLE = {
         + """ FROM (SELECT repo_id, 'component' AS owner_kind, path AS owner FROM comps UNION ALL
         SELECT repo_id, 'flow', source || ' -> ' || function FROM dflows)"""
     ),
+    "minimal_models": over_files(
+        """, exts AS (SELECT repo_id, ext, count(*) AS n FROM corpus WHERE ext <> '' GROUP BY ALL),
+        kinds AS (SELECT repo_id, list(ext) AS xs FROM corpus GROUP BY 1)
+        SELECT k.repo_id, 'Unknown' AS overall_risk, CASE WHEN list_contains(xs, '.php') THEN 'PHP Web Application'
+          WHEN list_contains(xs, '.py') THEN 'Python Application' WHEN len(list_intersect(xs, ['.js', '.jsx', '.ts'])) > 0 THEN 'JavaScript/TypeScript Application'
+          ELSE 'Unknown' END AS architecture_pattern, ext, ext || ' (' || n || ' files)' AS entry
+        FROM kinds k LEFT JOIN exts e ON e.repo_id = k.repo_id"""
+    ).replace(" , exts AS", ", exts AS"),
+    "document_ingest": f"""SELECT source AS repo_id, path, doc_id AS ord, md5(text) AS content_md5 FROM (
+      SELECT *, CASE WHEN doc_id % 2 = 0 OR doc_id % 7 <> 0 THEN [{", ".join(f"'{x}'" for x in INGEST_DIRS)}][doc_id % {len(INGEST_DIRS)} + 1] || doc_id ELSE '' END AS path
+      FROM documents) WHERE coalesce(text, '') <> '' AND path <> '' AND NOT contains(lower(path), 'test')""",
+    "decoded_texts": "SELECT doc_id AS ord, md5('A' || chr(65533) || text || chr(65533)) AS content_md5 FROM documents",
     "flow_boundary_context": ctes("star_flows", "star_edges", "star_members", "star_boundaries")
     + f""", crossing AS (SELECT DISTINCT e.repo_id, e.src FROM star_edges e JOIN star_members a ON a.member = e.src JOIN star_members b ON b.member = e.dst
         WHERE a.boundary <> b.boundary)

@@ -152,3 +152,12 @@ def test_structure_is_a_narrow_map_without_python(rows, plan):
     df = rows("repo_id string, path string, content string, length long, ord long", [("r", "a.py", PY, 1, 1)])
     text = plan(T.components(df))
     assert "Exchange" not in text and "EvalPython" not in text
+
+
+def test_dependencies_by_module_name(rows):
+    df = rows(
+        "repo_id string, path string, dependencies array<string>, module_name string",
+        [("r", "a.py", ["core", "other"], ""), ("r", "b.py", [], "core"), ("r", "core/c.py", [], "core"), ("q", "d.py", [], "core")],
+    )
+    got = {(e.src_path, e.dep, e.dst_path) for e in T.dependency_edges(df).collect()}
+    assert got == {("a.py", "core", "b.py"), ("a.py", "core", "core/c.py")}
