@@ -6,7 +6,7 @@ question table for it, ``threat_model`` takes the answers as a response table.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -120,6 +120,15 @@ def threat_model(analysis: Analysis, boundary_answers: DataFrame, threat_answers
     return ThreatModel(boundaries, placed, flows, cross, threats, vulns, Rk.overall_risk(scored, analysis.components))
 
 
+def save_model(spark: SparkSession, model: ThreatModel, location: str) -> None:
+    """The whole model, boundaries, members, flows, crossings, threats, vulnerabilities and risk, as JSON tables."""
+    results.save_tables(spark, {f.name: getattr(model, f.name) for f in fields(ThreatModel)}, location)
+
+
+def load_model(spark: SparkSession, location: str) -> ThreatModel:
+    return ThreatModel(**results.load_tables(spark, location, [f.name for f in fields(ThreatModel)]))
+
+
 def owners(analysis: Analysis) -> DataFrame:
     """Report owners: every component and every (source -> function) flow."""
     comps = analysis.components.select(

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import constants as K, text as X
-from ..operators import graph as G, prompts as Q, report as Rp, risk as Rk, select as S, structure as T
+from ..operators import graph as G, prompts as Q, report as Rp, responses as A, risk as Rk, select as S, structure as T
 from ..sources import corpus, results
 from ..streaming import ingest
 from .corpus_queries import code_files, comps, flat_comps, parsed, scanned
 from .oracle_text import over_files, over_symbols, quote
+from . import text_queries
 from .text_queries import chunk_ctes
-from .views import ctes, view
+from .views import VIEWS, ctes, view
 
 
 def flows(spark, d):
@@ -185,6 +186,30 @@ def sink_roundtrip(spark, d):
     )
 
 
+def model_tables(spark, d):
+    """Boundaries, members, crossings and vulnerabilities of a model, saved as JSON tables and read back."""
+    tables = {
+        "boundaries": view(spark, d, "star_boundaries"),
+        "members": members(spark, d),
+        "cross_flows": Rk.crossing_sources(flows(spark, d), edges(spark, d), members(spark, d)),
+        "vulnerabilities": A.vulnerability_rows(view(spark, d, "vulnerability_answers")),
+    }
+    location = session.scratch_path(spark, "model-tables")
+    results.save_tables(spark, tables, location)
+    back = results.load_tables(spark, location, list(tables))
+
+    def rows(name, a, b, c):
+        return back[name].select(F.lit(name).alias("kind"), *(x.cast("string").alias(n) for n, x in zip("abc", (a, b, c), strict=True)))
+
+    col = F.col
+    return (
+        rows("boundaries", col("boundary"), col("description"), F.lit(""))
+        .unionByName(rows("members", col("boundary"), col("member"), col("ord")))
+        .unionByName(rows("cross_flows", F.concat("repo_id", F.lit(" "), "source"), col("destination"), F.concat("source_boundary", F.lit(" "), "destination_boundary")))
+        .unionByName(rows("vulnerabilities", F.concat("response_id", F.lit(" "), "ordinal", F.lit(" "), "type"), F.array_join("components", "|"), col("attack_vector")))
+    )
+
+
 def text_sink(spark, d):
     """Diagram lines written as ordered text per repository and read back."""
     location = session.scratch_path(spark, "diagrams")
@@ -250,6 +275,7 @@ QUERIES = {
     "threat_diagram": threat_diagram,
     "mermaid_text": mermaid_text,
     "sink_roundtrip": sink_roundtrip,
+    "model_tables": model_tables,
     "text_sink": text_sink,
     "store_roundtrip": store_roundtrip,
     "incremental_ingest": incremental_ingest,
@@ -450,3 +476,11 @@ ORACLE["threat_diagram"] = f"""WITH n AS ({ORACLE['threat_graph_nodes']}), e AS
     UNION ALL SELECT repo_id, 0, unnest(['flowchart TD', '    %% Threat Model Diagram', {", ".join(quote(s) for s in K.THREAT_STYLES)}]) FROM fixed
     UNION ALL SELECT repo_id, 3, unnest([{", ".join(quote(s) for s in K.THREAT_LEGEND)}]) FROM fixed)
   SELECT repo_id, section, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM all_lines GROUP BY 1, 2"""
+
+ORACLE["model_tables"] = star(
+    """SELECT 'boundaries' AS kind, boundary AS a, description AS b, '' AS c FROM star_boundaries
+    UNION ALL SELECT 'members', boundary, member, CAST(ord AS VARCHAR) FROM star_members
+    UNION ALL SELECT DISTINCT 'cross_flows', repo_id || ' ' || source, destination, source_boundary || ' ' || destination_boundary FROM xflows
+    UNION ALL SELECT 'vulnerabilities', response_id || ' ' || ordinal || ' ' || type, components, attack_vector FROM vulns""",
+    f"star_boundaries AS ({VIEWS['star_boundaries']})", f"vulns AS ({text_queries.ORACLE['vulnerability_rows']})",
+)

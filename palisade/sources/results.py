@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from .. import schemas
@@ -65,6 +67,23 @@ def model_threats(model: DataFrame) -> DataFrame:
     )
 
 
+def save_tables(spark: SparkSession, tables: dict[str, DataFrame], location: str) -> None:
+    """Tables of a model as JSON lines below ``location/<name>/rows``, each with its schema beside it."""
+    for name, table in tables.items():
+        table.hint("rebalance").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{location}/{name}/rows")
+        spark.createDataFrame([(table.schema.json(),)], "value string").write.mode("overwrite").text(f"{location}/{name}/schema")
+
+
+def load_tables(spark: SparkSession, location: str, names: list[str]) -> dict[str, DataFrame]:
+    """Tables saved by :func:`save_tables`, with the types they had."""
+
+    def load(name: str) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(spark.read.text(f"{location}/{name}/schema").head()[0]))
+        return spark.read.schema(schema).json(f"{location}/{name}/rows")
+
+    return {name: load(name) for name in names}
+
+
 def save_text(lines: DataFrame, location: str, order: list[str], files: int | None = None) -> None:
     """Write line tables as text below ``location/repo_id=<id>/``.
 

@@ -110,6 +110,10 @@ def test_lifecycle(spark, rows, tmp_path):
     m = lifecycle.threat_model(a, bounds, threats, vulns)
     assert {(f.source, f.crosses_boundary) for f in m.flows.collect()} == {("src/main.py", True), ("src/util_b.py", False)}
     assert m.risk.first().overall_risk == "High"  # Medium on a crossing flow weighs 3
+    lifecycle.save_model(spark, m, str(tmp_path / "model"))
+    back = lifecycle.load_model(spark, str(tmp_path / "model"))
+    for name in ("boundaries", "members", "flows", "cross_flows", "threats", "vulnerabilities", "risk"):
+        assert sorted(map(str, getattr(back, name).collect())) == sorted(map(str, getattr(m, name).collect())), name
     lifecycle.save_report(a, m, str(tmp_path / "report"), "today")
     text = "".join(open(p).read() for p in sorted(glob.glob(str(tmp_path / "report/repo_id=r/*.txt"))))
     assert text.startswith("# Security Threat Analysis Report\n") and "**Overall Risk Level:** High" in text
