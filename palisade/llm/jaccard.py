@@ -13,7 +13,7 @@ from .common import TEXT_BATCH_ROWS, only, rows_below, written
 from .components import connected_components
 
 # Frequent shingles that are ordered last: a fixed number, found by counting all shingles.
-FREQUENT, FREQUENT_LEAST, COUNT_EVERY = 1 << 17, 3, 1 << 22
+FREQUENT, FREQUENT_LEAST, COUNT_EVERY = 1 << 17, 3, 1 << 21
 # Shingles that two linked sets share at least among their indexed ones: longer prefixes by as many, far fewer candidates.
 SHARED = 3
 # Lists up to this length give their pairs; longer ones compare bitmaps of their sets.
@@ -81,7 +81,7 @@ def _binary(values: np.ndarray) -> np.ndarray:
 def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, at most ``FREQUENT``, sorted by hash, with their counts over all texts.
 
-    Tasks count everything they read and pass on what occurs ``FREQUENT_LEAST`` times among a few million shingles; Spark adds
+    Tasks count everything they read and pass on what occurs ``FREQUENT_LEAST`` times among some two million shingles; Spark adds
     up. Any order of shingles gives the same links, frequent ones last make the index lists short.
     """
 
@@ -104,8 +104,13 @@ def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndar
         if held:
             yield flush()
 
-    top = texts.select("text").mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    rows = top.orderBy(F.desc("times"), "token").limit(FREQUENT).toPandas()
+    counts = texts.select("text").mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    counts = written(counts.withColumn("level", F.floor(F.log2("times") * 16).cast("int")), "frequent")
+    # Levels of counts, at most some hundred, tell from which on the table fits its fixed size.
+    levels = sorted(counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    sizes = np.cumsum([r["n"] for r in levels])
+    fitting = [r["level"] for r, n in zip(levels, sizes, strict=True) if n <= FREQUENT]
+    rows = counts.filter(F.col("level") >= (fitting[-1] if fitting else 1 << 20)).select("token", "times").toPandas()
     tokens = rows["token"].to_numpy("i8").view("u8")
     order = np.argsort(tokens)
     return tokens[order], rows["times"].to_numpy("i8")[order]
