@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Texts can be large, so an Arrow batch that carries them holds few rows.
 TEXT_BATCH_ROWS = 256
+BATCH_SETTING, WRITTEN_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -31,12 +33,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The table goes when the session's driver ends.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with short_batches(spark):
+        df.write.parquet(path)
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to Python in batches of few rows while a table is written; the session's own setting comes back after."""
+    own = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(int(own), WRITTEN_BATCH_ROWS) if int(own) > 0 else WRITTEN_BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, own)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under fixed names and types, and nothing else: ``only(df, doc_id="id:long")``.
 

@@ -25,10 +25,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         small = written(small, "edges")
-        # A forest of stars: no root hangs on another, and every leaf hangs on one root.
-        leaves = small.select(F.col("u").alias("leaf")).distinct()
-        several = small.groupBy("u").count().filter("count > 1")
-        if small.join(leaves, small["v"] == leaves["leaf"], "left_semi").isEmpty() and several.isEmpty():
+        # Stars: no root hangs on another, and every leaf hangs on one root; one pass over both roles of each node tells.
+        roles = small.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+            small.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+        )
+        mixed = roles.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs > 1 OR hangs + holds > 1")
+        if mixed.isEmpty():
             roots = small.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
             return small.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         pairs = small
