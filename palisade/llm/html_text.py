@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from itertools import accumulate
@@ -14,6 +15,8 @@ from .common import TEXT_BATCH_ROWS, only, rows_below
 
 # Lines per window, and text a window needs before a page without marked-up content counts as having surged.
 WINDOW, SURGE_CHARS = 3, 80
+# A line of rights that is longer is text.
+RIGHTS_CHARS = 100
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>"
@@ -46,17 +49,19 @@ NOISE = frozenset(
 )
 NOISE_STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "promo", "sidebar", "sponsor")
 UNLESS_AFTER = frozenset("has with no without".split())
+# Reasons of skips whose text no reader sees; it is no text of the page.
+UNSEEN = frozenset("hidden head noscript template svg math canvas object".split())
 # Parts in which an article element is still not the article of the page.
 CLOSED = ("comment", "respond", "repl", "disqus", "related", "recommend", "teaser", "aside", "footer")
 
 
-def noise_word(attributes: str) -> str:
-    """The word of class, id or role that marks an element as noise, else an empty text."""
+def noise_word(attributes: str, spared: frozenset[str] = frozenset()) -> str:
+    """The word of class, id or role that marks an element as noise and is not ``spared``, else an empty text."""
     for m in _NAMES.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").lower().split():
             words = _SPLIT.split(name)
             for k, word in enumerate(words):
-                if (word in NOISE or word.startswith(NOISE_STARTS)) and not (k and words[k - 1] in UNLESS_AFTER):
+                if (word in NOISE or word.startswith(NOISE_STARTS)) and word not in spared and not (k and words[k - 1] in UNLESS_AFTER):
                     return word
     return "hidden" if _HIDDEN.search(attributes) else ""
 
@@ -65,11 +70,26 @@ def strip_markup(html: str) -> list[tuple[str, int, bool]]:
     """Lines of a page in order: (text, characters outside of links, inside marked content).
 
     Every block is a line. Scripts, styles, comments, and elements that are noise by name or by class leave an empty line
-    where they stood, so that the text around them stays apart.
+    where they stood, so that the text around them stays apart. On a page without marked content, a class word under which
+    most of the page's text outside of links stands (``widget`` on a page built of widgets) is no noise there.
     """
+    spared: frozenset[str] = frozenset()
+    while True:
+        lines, held, total = _lines(html, spared)
+        found = set() if any(inside for _, _, inside in lines) else {w for w, n in held.items() if 2 * n > total}
+        if not found:
+            return lines
+        spared |= found
+
+
+def _lines(html: str, spared: frozenset[str]) -> tuple[list[tuple[str, int, bool]], Counter[str], int]:
+    """Lines of a page; characters outside of links below each noise word that is not ``spared``, and in all."""
     lines: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, int]] = []  # (tag, 0 plain, 1 skipped, 2 marked content, 3 header in content: headings only)
     why: list[str] = []  # reason of each skip on the stack
+    named: list[str] = []  # noise word of each skip, empty for one by tag
+    held: Counter[str] = Counter()
+    total = 0
     buffer: list[str] = []
     links: list[str] = []
     marked = headings_only = heading = in_link = 0
@@ -84,6 +104,12 @@ def strip_markup(html: str) -> list[tuple[str, int, bool]]:
             links.clear()
 
     def take(text: str) -> None:
+        nonlocal total
+        if not in_link and UNSEEN.isdisjoint(why):
+            n = len(text.strip())
+            total += n
+            for word in set(named):
+                held[word] += n
         if not why and (not headings_only or heading):
             buffer.append(text)
             if in_link:
@@ -95,6 +121,7 @@ def strip_markup(html: str) -> list[tuple[str, int, bool]]:
             _, kind = stack.pop()
             if kind == 1:
                 why.pop()
+                named.pop()
                 lines.append(("", 0, False))
             elif kind == 2:
                 marked -= 1
@@ -142,7 +169,7 @@ def strip_markup(html: str) -> list[tuple[str, int, bool]]:
             pop(len(stack) - 1)
         if tag == "body" and stack and stack[-1][0] == "head":
             pop(len(stack) - 1)
-        word = "" if tag in PLAIN else noise_word(attributes)
+        word = "" if tag in PLAIN else noise_word(attributes, spared)
         kind = 0
         if tag in MARKED and not word:
             if why and not any(w.startswith(CLOSED) for w in why):
@@ -156,31 +183,44 @@ def strip_markup(html: str) -> list[tuple[str, int, bool]]:
             stack.append((tag, kind))
             if kind == 1:
                 why.append(word or tag)
+                named.append(word if word != "hidden" else "")
             marked += kind == 2
             headings_only += kind == 3
     flush()
-    return lines
+    del held[""]
+    return lines, held, total
 
 
 def keep_between(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE_CHARS) -> list[str]:
     """Lines between the points where the text of sliding windows surges and where it dives.
 
-    A window's weight is the sum of its lines' characters outside of links, copyright lines aside; where a page marks its
-    content, only those lines weigh, and any weight is a surge. A run begins with the first window that reaches ``surge`` (on a page that
-    never does: its largest) and ends where a window has nothing left.
+    A window's weight is the sum of its lines' characters outside of links, short copyright lines at the page's end aside;
+    where a page marks its content, only those lines weigh, and any weight is a surge. A run begins with the first line that
+    weighs of the first window that reaches ``surge`` (on a page that never does: of its largest) and ends with the last line
+    that weighs before a window has nothing left; lines in between are kept whatever they weigh, if not outside of marked content.
     """
     content = any(inside for _, _, inside in lines)
-    weights = [(len(t) if inside else 0) if content else 0 if _RIGHTS.match(t) else free for t, free, inside in lines]
+    weights = [(len(t) if inside else 0) if content else free for t, free, inside in lines]
+    for k in range(len(lines) - 1, -1, -1):
+        if weights[k] and (content or len(lines[k][0]) > RIGHTS_CHARS or not _RIGHTS.match(lines[k][0])):
+            break
+        weights[k] = 0
     sums = [0, *accumulate(weights)]
     blocks = [sums[min(k + window, len(weights))] - sums[k] for k in range(len(weights))]
     if not blocks or not max(blocks):
         return []
     enough = 1 if content else min(surge, max(blocks))
-    kept, inside = [], False
-    for k, block in enumerate(blocks):
+    kept, light, inside, begun = [], [], False, False  # light: lines without weight since the last that weighs
+    for (text, _, _), weight, block in zip(lines, weights, blocks, strict=True):
         inside = block > 0 and (inside or block >= enough)
-        if inside and weights[k]:
-            kept.append(lines[k][0])
+        begun = inside and (begun or weight > 0)
+        if not begun:
+            light = []
+        elif weight:
+            kept += [*light, text]
+            light = []
+        elif text and not content:
+            light.append(text)
     return kept
 
 

@@ -124,6 +124,24 @@ def test_noise_around_the_story(wrap):
     assert html_text.main_text(PAGE % (wrap % STORY)) == TEXT
 
 
+def test_all_lines_between_surge_and_dive():
+    long = "Copyright is what this paragraph is about, and it says so at its start before it goes on for quite a while longer."
+    story = ["The first paragraph of a story that is told at some length, as most of the stories are.", "A link of its own", "(c) stands for it", long, "All rights reserved? No.", "An end."]
+    page = "<body><p>%s<p><a href='/x'>%s</a><p>%s<p>%s<p>%s<p>%s<div>&copy; 2024 Site</div>" % tuple(story)
+    assert html_text.main_text(page) == "\n\n".join(story)
+    last = "<body><p>%s<p>%s<p><a href='/a'>About</a>" % (story[0], long)  # long, so it is text even at the end
+    assert html_text.main_text(last) == f"{story[0]}\n\n{long}"
+
+
+@pytest.mark.parametrize("name", ["elementor-widget-container", "sidebar-right", "search alert", "share"])
+def test_a_wrapper_with_a_noise_word(name):
+    paragraphs = [f"Paragraph {k} of a story inside of a wrapper that is named like something else." for k in range(4)]
+    parts = "".join(f"<div class='{name}'><p>{p}</p></div>" for p in paragraphs)
+    for body in (f"<div id='{name}'>{''.join(f'<p>{p}' for p in paragraphs)}</div>", f"<div class='{name}'>{parts}</div>", parts):
+        page = f"<body><nav>Go to one of the places</nav><div class='cookie'>We use cookies.</div>{body}<div style='display:none'>{'hidden ' * 200}</div>"
+        assert html_text.main_text(page) == "\n\n".join(paragraphs)
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "no markup"), (4, "u", "<p>" * 5000 + "x"), (5, "u", "<article><p>a &lt <b 'unclosed> c"), (5, "u", "<nav>a")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'z' AS text", "1 AS n_chars")
