@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -84,39 +85,50 @@ def search_block(
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_score)
 
 
-def valid_vectors(df: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
-    """``vec_id, vec``: rows with an id and a vector of ``size`` finite components that are not all zero."""
+def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``vec_id, vec``: rows with an id and a vector of finite components that are not all zero."""
     vec = F.col(f"`{vec_col}`").cast("array<double>")
     limit = float("inf")
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)) & F.exists("vec", lambda x: x != 0)
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vec.alias("vec")).filter((F.size("vec") == size) & F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vec.alias("vec")).filter(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
 
 
-def blocks(df: DataFrame, size: int, rows: int, turn: np.ndarray | None) -> DataFrame:
-    """Blocks of at most ``rows`` vectors of a partition: ``ids, vectors`` and, with a rotation, ``codes, norms, fit``."""
+def blocks(df: DataFrame, rows: int, seed: int | None) -> DataFrame:
+    """Blocks of at most ``rows`` vectors of one length of a partition: ``size, ids, vectors`` and, with a seed, ``codes, norms, fit``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray] = {}
+
         def block(ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+            size = vectors.shape[1]
             cells = [ids.tobytes(), vectors.tobytes()]
-            if turn is not None:
-                codes, norms, fit = encode(vectors, turn)
+            if seed is not None:
+                if size not in turns:
+                    turns[size] = rotation(size, seed)
+                codes, norms, fit = encode(vectors, turns[size])
                 cells += [codes.tobytes(), norms.tobytes(), fit.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names)
+            return pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names)
 
-        held_ids, held, n = [], [], 0
+        held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for batch in batches:
-            held_ids.append(batch.column("vec_id").to_numpy())
-            held.append(batch.column("vec").flatten().to_numpy().reshape(-1, size))
-            n += batch.num_rows
-            while n >= rows:
-                ids, vectors = np.concatenate(held_ids), np.concatenate(held)
-                yield block(ids[:rows], np.ascontiguousarray(vectors[:rows]))
-                held_ids, held, n = [ids[rows:]], [vectors[rows:]], n - rows
-        if n:
-            yield block(np.concatenate(held_ids), np.ascontiguousarray(np.concatenate(held)))
-
-    names = ["ids", "vectors"] + (["codes", "norms", "fit"] if turn is not None else [])
-    return df.mapInArrow(build, ", ".join(f"{n} binary" for n in names))
+            all_ids, lists = batch.column("vec_id").to_numpy(), batch.column("vec")
+            lengths = lists.value_lengths().to_numpy()
+            for size in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == size)
+                held_ids, held_vectors = held.setdefault(size, ([], []))
+                held_ids.append(all_ids[own])
+                held_vectors.append(lists.take(pa.array(own)).flatten().to_numpy().reshape(-1, size))
+                n = sum(map(len, held_ids))
+                while n >= rows:
+                    ids, vectors = np.concatenate(held_ids), np.concatenate(held_vectors)
+                    yield block(ids[:rows], np.ascontiguousarray(vectors[:rows]))
+                    held_ids[:], held_vectors[:], n = [ids[rows:]], [vectors[rows:]], n - rows
+        for held_ids, held_vectors in held.values():
+            if sum(map(len, held_ids)):
+                yield block(np.concatenate(held_ids), np.ascontiguousarray(np.concatenate(held_vectors)))
+
+    names = ["size", "ids", "vectors"] + (["codes", "norms", "fit"] if seed is not None else [])
+    return df.mapInArrow(build, ", ".join(["size int", *(f"{n} binary" for n in names[1:])]))
 
 
 def search(
@@ -130,33 +142,37 @@ def search(
     block of candidates in a task of its own; a task scans one-bit codes and reranks only rows whose error bound can reach the
     k nearest so far, however many those are, so ties and copies are never cut off. A query keeps k rows per block.
 
-    Vectors that are null, zero, of another length than the longest, or hold a null or non-finite component take no part; with
-    fewer than k candidates all are returned; repeated ids are separate candidates; an empty table gives an empty result;
+    Vectors of one length are a set of their own: a query's candidates are the rows as long as itself. Vectors that are null,
+    empty, zero, or hold a null or non-finite component take no part; with fewer than k candidates all are returned; repeated ids are separate candidates; an empty table gives an empty result;
     other columns are not carried along.
     """
     spark = df.sparkSession
-    size = df.select(F.max(F.size(F.col(f"`{vec_col}`")))).head()[0] or 0
     schema = "query_id long, vec_id long, score double"
-    if size < 1:
-        return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    turn = rotation(size, seed)
-    index = written(blocks(valid_vectors(df, id_col, vec_col, size), size, candidate_rows, turn), "ann-index")
-    asked = written(blocks(valid_vectors(queries, id_col, vec_col, size).repartition(1 + queries.count() // query_rows), size, query_rows, None), "ann-queries")
-    numbered = asked.select(F.monotonically_increasing_id().alias("at"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    asked = written(blocks(valid_vectors(queries, id_col, vec_col).repartition(1 + queries.count() // query_rows), query_rows, None), "ann-queries")
+    numbered = asked.select(F.monotonically_increasing_id().alias("at"), F.col("size").alias("query_size"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
     numbered = written(numbered, "ann-query-blocks")
-    places = [r["at"] for r in numbered.select("at").collect()]  # one number per block of queries
+    places: dict[int, list[int]] = {}  # one number per block of queries, by length
+    for r in numbered.select("query_size", "at").collect():
+        places.setdefault(r["query_size"], []).append(r["at"])
     if not places:
         return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    dealt = index.withColumn("at", F.explode(F.array(*(F.lit(p) for p in places))))
+    candidates = valid_vectors(df, id_col, vec_col).filter(F.size("vec").isin(*places))  # other lengths need no codes
+    index = written(blocks(candidates, candidate_rows, seed), "ann-index")
+    met = reduce(lambda rest, p: F.when(F.col("size") == p[0], F.array(*(F.lit(n) for n in p[1]))).otherwise(rest), places.items(), F.lit(None))
+    dealt = index.withColumn("at", F.explode(met))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
+                size = row["size"]
+                if size not in turns:
+                    turns[size] = rotation(size, seed)
                 ids = np.frombuffer(row["ids"], "i8")
                 code = (np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["norms"]), np.frombuffer(row["fit"]))
                 found = search_block(
                     ids, np.frombuffer(row["vectors"]).reshape(-1, size), code, np.frombuffer(row["query_ids"], "i8"),
-                    np.frombuffer(row["query_vectors"]).reshape(-1, size), turn, k,
+                    np.frombuffer(row["query_vectors"]).reshape(-1, size), turns[size], k,
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 

@@ -68,6 +68,19 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(df.limit(0), df).collect() == [] == ann.search(df, df.limit(0)).collect()
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    vectors = {i: rng.normal(size=(3, 8, 5)[i % 3]) for i in range(300)} | {999: np.ones(50)}  # the last is malformed
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, vec array<double>")
+    found = {}
+    for r in ann.search(df, df.filter("vec_id < 30 OR vec_id = 999"), k=6, candidate_rows=20, query_rows=7).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    alike = lambda q: [i for i, v in vectors.items() if len(v) == len(vectors[q])]
+    want = {q: nearest(alike(q), [vectors[i] for i in alike(q)], q, vectors[q], 6) for q in range(30)}
+    assert set(found) == set(want) and all(len(found[q]) == 6 for q in want)
+    assert sum(len(set(found[q]) & set(want[q])) for q in want) >= 0.95 * 6 * len(want)
+
+
 def test_copies_are_ranked_by_id(spark):
     df = spark.createDataFrame([(i, [0.3, 0.1, -0.2] if i % 3 else [0.1 * i, 1.0, 0.0]) for i in range(600)], "vec_id long, vec array<float>")
     got = ann.search(df, df.filter("vec_id = 1"), k=5, candidate_rows=50).orderBy("rank").collect()
