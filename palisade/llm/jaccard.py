@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import TEXT_BATCH_ROWS, only, rows_below, written
 from .components import connected_components
@@ -145,8 +145,14 @@ def stacked(bits: list[bytes], width: int) -> np.ndarray:
     return rows
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart that differ in id or text, the same in every plan; null for a null text."""
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(ident, F.lit(":"), F.col(f"`{text_col}`").cast("string"))))
+
+
 def describe_sets(texts: DataFrame, rule: Rule, frequent: np.ndarray, times: np.ndarray) -> DataFrame:
-    """``row_id, doc_id, n, cls, bits, prefix`` of every document: size, fingerprint and bitmap of its set, indexed shingles."""
+    """``row_id, doc_id, key, n, cls, bits, prefix`` of every document: size, fingerprint and bitmap of its set, indexed shingles."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -157,16 +163,16 @@ def describe_sets(texts: DataFrame, rule: Rule, frequent: np.ndarray, times: np.
             offsets = np.cumsum([0, *map(len, prefixes)]).astype("i4")
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row_id"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column("row_id"), batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([bitmap(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes))),
                 ],
-                ["row_id", "doc_id", "n", "cls", "bits", "prefix"],
+                ["row_id", "doc_id", "key", "n", "cls", "bits", "prefix"],
             )
 
-    numbered = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
-    return numbered.mapInArrow(describe, "row_id long, doc_id long, n long, cls binary, bits binary, prefix array<long>")
+    numbered = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", row_key().alias("key"), "text")
+    return numbered.mapInArrow(describe, "row_id long, doc_id long, key binary, n long, cls binary, bits binary, prefix array<long>")
 
 
 def candidates_of_list(n: np.ndarray, at: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
@@ -405,7 +411,7 @@ def verify_group(left: list[np.ndarray], right: list[np.ndarray] | None, rule: R
 def verified_links(members: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """``a, b, copies_a, copies_b``: for each group that meets in a task a forest of its links, and every set's links counted.
 
-    ``members``: ``node, doc_id, cls, copies, cluster, blocks``. A cluster is cut by hash into blocks of bounded size, and every
+    ``members``: ``node, key, cls, copies, cluster, blocks``. A cluster is cut by hash into blocks of bounded size, and every
     two blocks meet in a task of their own, so no task holds an unbounded cluster. Rows with ``b`` null carry in ``copies_b`` the
     number of documents that link with ``a`` in that task.
     """
@@ -429,7 +435,7 @@ def verified_links(members: DataFrame, texts: DataFrame, rule: Rule) -> DataFram
     members = written(members, "members")
     if members.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
-    found = texts.join(members, "doc_id").select("node", "cls", "copies", "cluster", "blocks", "text")
+    found = texts.withColumn("key", row_key()).join(members, "key").select("node", "cls", "copies", "cluster", "blocks", "text")
     sets = found.mapInArrow(read_sets, "node long, copies long, cluster long, blocks long, tokens binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
@@ -487,10 +493,27 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     other; a null ``doc_id`` takes part (its component is the smallest id that is not null, else null); an empty table gives
     an empty result; other columns are not carried along.
     """
+    described, placed = placed_sets(docs, rule, id_col, text_col)
+    result = placed.select("cls", F.col("first.doc_id").alias("component_id"), "n_links")
+    full = described.filter("n > 0").select("doc_id", "n", "cls").join(result, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    empty = described.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return full.unionByName(empty)
+
+
+def repeated_rows(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``key`` (see :func:`row_key`) of every row that is not the first of its component: of the smallest id, null last, then of the smallest key."""
+    described, placed = placed_sets(docs, rule, id_col, text_col)
+    rows = described.filter("n > 0").select("key", "cls").join(placed.select("cls", F.col("first.key").alias("first")), "cls")
+    return rows.filter("key <> first").select("key").distinct()
+
+
+def placed_sets(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The described documents, and for each class of equal sets ``cls, first, n_links``: the first row of its component."""
     texts = only(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string")
     described = written(describe_sets(texts, rule, *frequent_shingles(texts, rule.words)), "sets")
     filled = described.filter("n > 0")
-    classes = filled.groupBy("cls").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    classes = filled.groupBy("cls").agg(F.min("row_id").alias("node"), F.min(order).alias("low"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     classes = written(classes, "classes")
     entries = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
     clusters = connected_components(candidate_edges(entries, classes.select("node", "n", "bits"), rule))
@@ -499,13 +522,10 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     blocks = many.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks")
     )
-    members = many.join(blocks, "cluster").filter("low IS NOT NULL").select("node", F.col("low").alias("doc_id"), "cls", "copies", "cluster", "blocks")
+    members = many.join(blocks, "cluster").select("node", "low.key", "cls", "copies", "cluster", "blocks")
     links = written(verified_links(members, texts, rule), "links")
     groups = connected_components(links.filter("b IS NOT NULL"))
     degree = links.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     placed = known.join(groups, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    result = placed.join(lowest, "root").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = filled.select("doc_id", "n", "cls").join(result, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    empty = described.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.unionByName(empty)
+    lowest = placed.groupBy("root").agg(F.min("low").alias("first"))
+    return described, placed.join(lowest, "root").select("cls", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

@@ -87,6 +87,15 @@ def test_no_documents(docs):
     assert joined(jaccard.similar_documents(docs([(1, None), (2, "")]))) == [(1, 0, 1, 0), (2, 0, 2, 0)]
 
 
+def test_chains_through_rows_without_an_id(docs):
+    words = [f"w{k}" for k in range(60)]
+    middle, left, right = (" ".join(w) for w in (words, ["x", *words[1:]], [*words[:-1], "y"]))
+    rows = [(None, middle), (7, left), (9, right), (None, middle + " z"), (None, "alone " * 2)]
+    rule = jaccard.Rule(3, 96, 100)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.similar_documents(docs(rows), rule).collect()}
+    assert got == {(None, 58, 7, 3), (7, 58, 7, 1), (9, 58, 7, 1), (None, 59, 7, 1), (None, 1, None, 0)}
+
+
 def test_similarity_of_the_table(spark, sf, table):
     rows = [(r["doc_id"], r["text"]) for r in table("documents").collect()]
     assert joined(queries.op9_ngram_jaccard(spark, sf)) == groups(rows, jaccard.Rule())
