@@ -19,7 +19,7 @@ MIN_SCORE = 0.3
 # Near duplicates: shingles of five words, similarity of 0.8 or more.
 NEAR = jaccard.Rule(words=5, part=80, base=100)
 
-# Ids of documents to drop that are sent to the texts; more are joined by a shuffle.
+# Keys of rows to drop that are sent to the texts; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
 
@@ -40,14 +40,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of similar documents the one with the smallest ``doc_id``.
 
-    Groups are connected by links of similarity 0.8 or more. Rows that repeat id and text are one document; texts without
-    words and rows without an id are alone in their groups.
+    Groups are connected by links of similarity 0.8 or more, and of rows, for an id may repeat with other texts: such rows are
+    told apart by their texts, and a row without an id comes last. Rows that repeat id and text are one document; texts
+    without words are alone in their groups.
     """
-    groups = jaccard.similar_documents(docs, NEAR)
-    dropped = written(groups.filter(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct(), "near-duplicates")
+    key = "__row_key"
+    dropped = written(jaccard.repeated_rows(docs, NEAR).withColumnRenamed("key", key), "near-duplicates")
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).dropDuplicates(["doc_id", "text"])
+    return docs.withColumn(key, jaccard.row_key()).join(dropped, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

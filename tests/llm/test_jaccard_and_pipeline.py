@@ -168,6 +168,16 @@ def test_pipeline_stages(spark, sf, table):
     assert len(read(corpus_pipeline.run(spark, sf))) == len(five)
 
 
+def test_near_duplicates_go_by_row(spark, docs, sf):
+    words = [f"w{k}" for k in range(60)]
+    first, second, third = (" ".join(w) for w in (words, [*words, "x"], [*words, "y"]))
+    other, more = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, first), (2, second), (2, other), (3, more), (3, more + " z"), (None, third), (None, "one of its own without an id"), (4, None), (4, None)]
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs(rows), sf).collect()]
+    assert sorted(t for i, t in kept if i == 3) in ([more], [more + " z"])
+    assert {k for k in kept if k[0] != 3} == {(1, first), (2, other), (None, "one of its own without an id"), (4, None)} and len(kept) == 5
+
+
 def test_pipeline_on_odd_documents(spark, docs, sf):
     text = "the quick brown fox jumps over the lazy dog and runs away from the house of the bear"
     rows = [(1, text), (1, text), (2, text.upper()), (3, None), (4, ""), (5, "12"), (6, "other words that are not the same as any of those before"), (7, "w " * 100_000)]
