@@ -83,9 +83,11 @@ def best_distance(segment: Segment, text: str) -> int:
     return best
 
 
-def matches(automaton, parts: list[Segment], text: str) -> Iterator[tuple[int, int, int]]:
+def matches(automaton, parts: list[Segment], text: str, whole_words: bool = False) -> Iterator[tuple[int, int, int]]:
     """(item, distance, budget) of every item that lies in the text within its budget; ``text`` is normalized.
 
+    With ``whole_words`` a segment without a budget counts only where it begins and ends with a word of the text.
+
     A piece's hit places its segment on a diagonal; stretches of near diagonals are merged, so that a stretch of text is
     verified once per segment however many pieces hit it.
     """
@@ -96,6 +98,10 @@ def matches(automaton, parts: list[Segment], text: str) -> Iterator[tuple[int, i
     found: dict[int, tuple[int, int]] = {}
     for part, diagonals in starts.items():
         segment = parts[part]
+        if whole_words and not segment.budget:  # its hits are the segment itself
+            diagonals = {at for at in diagonals if text[max(0, at - 1) : at] in ("", " ") and text[at + len(segment.text) :][:1] in ("", " ")}
+            if not diagonals:
+                continue
         reach, low, high = segment.budget, None, None
         stretches: list[tuple[int, int]] = []
         for at in sorted(diagonals):
@@ -130,7 +136,7 @@ def build_automaton(parts: list[Segment]):
 
 def find_items(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    rate: float = ERROR_RATE, pass_chars: int = PASS_CHARS,
+    rate: float = ERROR_RATE, pass_chars: int = PASS_CHARS, whole_words: bool = False,
 ) -> DataFrame:
     """Documents that hold a benchmark item: ``doc_id, item_id, distance, budget``, one row per document row and item.
 
@@ -139,7 +145,10 @@ def find_items(
     pigeonhole rule. Items travel in passes of bounded size, each an Aho-Corasick automaton in the tasks; documents never
     move, and no join or group can be hot.
 
-    Null texts, and items without letters or digits, match nothing; equal items are reported each; repeated document rows
+    Items so short that they may have no edits are part of any text that holds their characters, be it in the midst of words;
+    with ``whole_words`` they match whole words only.
+
+    Null texts, items without letters or digits, and items without an id, which no row could name, match nothing; equal items are reported each; repeated document rows
     are reported each; empty tables give an empty result; other columns are not carried along.
     """
     texts = only(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string").filter("text IS NOT NULL")
@@ -150,23 +159,25 @@ def find_items(
             for batch in rows_below(batches, TEXT_BATCH_ROWS):
                 out: list[tuple] = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    out += [(doc_id, *m) for m in matches(automaton, parts, normalize(text))]
+                    out += [(doc_id, *m) for m in matches(automaton, parts, normalize(text), whole_words)]
                 columns = list(zip(*out, strict=True)) if out else [()] * 4
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "distance", "budget"])
 
         return detect
 
-    found = [texts.mapInArrow(detector(listed), SCHEMA) for listed in item_passes(benchmark, item_col, item_text_col, pass_chars)]
+    found = [texts.mapInArrow(detector(listed), SCHEMA) for listed in item_passes(benchmark.filter(F.col(f"`{item_col}`").isNotNull()), item_col, item_text_col, pass_chars)]
     return reduce(DataFrame.unionByName, found)
 
 
 def remove_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    rate: float = ERROR_RATE, pass_chars: int = PASS_CHARS,
+    rate: float = ERROR_RATE, pass_chars: int = PASS_CHARS, whole_words: bool = False,
 ) -> DataFrame:
     """Documents that hold no benchmark item, with all their columns; see :func:`find_items`. Null texts stay.
 
+    Items without an id count as well.
+
     Each pass of items filters what the pass before it has kept, where the documents are: nothing is shuffled or joined.
     """
     at = next(k for k, f in enumerate(docs.schema.fields) if f.name == text_col)
@@ -175,7 +186,7 @@ def remove_contaminated(
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts, automaton = prepare(listed, rate)
             for batch in rows_below(batches, TEXT_BATCH_ROWS):
-                kept = [t is None or next(matches(automaton, parts, normalize(t)), None) is None for t in batch.column(at).to_pylist()]
+                kept = [t is None or next(matches(automaton, parts, normalize(t), whole_words), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(kept, pa.bool_()))
 
         return clean
@@ -187,7 +198,7 @@ def remove_contaminated(
 
 def item_passes(benchmark: DataFrame, item_col: str, item_text_col: str, pass_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items in passes of about ``pass_chars`` characters each; at least one pass, if an empty one."""
-    items = only(benchmark, item_id=f"{item_col}:long", text=f"{item_text_col}:string").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = only(benchmark, item_id=f"{item_col}:long", text=f"{item_text_col}:string").filter("text IS NOT NULL")
     passes = 1 + (items.select(F.sum(F.length("text"))).head()[0] or 0) // pass_chars
     for k in range(passes):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()

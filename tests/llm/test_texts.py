@@ -168,6 +168,15 @@ def test_bit_vectors_equal_the_matrix():
         assert decontaminate.best_distance(decontaminate.segments(1, item, 0.1)[0], text) == edit_distance_within(item, text)
 
 
+def test_short_items_and_items_without_an_id(spark, docs):
+    rows = [(1, "banana bread"), (2, "A, b."), (3, "not a  b but"), (4, "a ba b"), (5, "tuna b"), (6, "a text that no item is part of, though it has words")]
+    bench = spark.createDataFrame([(7, "a b"), (None, "that no item is part of")], "item_id long, text string")
+    got = decontaminate.find_items(docs(rows), bench, whole_words=True).collect()
+    assert sorted(map(tuple, got)) == [(2, 7, 0, 0), (3, 7, 0, 0)]
+    left = decontaminate.remove_contaminated(docs(rows), bench, whole_words=True)
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 4, 5]
+
+
 def test_items_with_edits_are_found(spark, docs):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
