@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate, html_text, jaccard, language, packing, pii, sharding, token_counts, url_filter
+from . import ann, decontaminate, hard_negatives, html_text, jaccard, language, packing, pii, sharding, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole_words=True)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def _url_sql() -> str:
     rules = ", ".join(f"('{rule}', split_part('{rule}', '/', 1), substr('{rule}', strpos('{rule}', '/')), '{verdict}')" for verdict, rule in url_filter.RULES)
     terms = ", ".join(f"('{t}', {'true' if t in url_filter.STRICT_TERMS else 'false'})" for t in sorted({*url_filter.STRICT_TERMS, *url_filter.SOFT_TERMS}))
@@ -131,6 +137,26 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM docs LEFT JOIN rolled USING (row_no)"""
 
 
+HARD_NEGATIVES_SQL = """
+WITH usable AS (
+  SELECT row_number() OVER () AS row_no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.row_no, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.row_no <> b.row_no AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT row_no, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id) AS no
+  FROM scored WHERE same QUALIFY no <= 5),
+negatives AS (
+  SELECT p.row_no, no, anchor_id, positive_id, positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.row_no, no ORDER BY n.score DESC, n.vec_id) AS INT) AS rank
+  FROM positives p JOIN scored n USING (row_no, anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language": op2_language,
@@ -142,9 +168,11 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_decontamination": op10_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLE = {
     "op1_url_filter": _url_sql(),
     "op3_pii": _pii_sql(),
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
 }
