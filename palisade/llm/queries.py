@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate, hard_negatives, html_text, jaccard, language, packing, pii, sharding, token_counts, url_filter
+from . import ann, decontaminate, hard_negatives, html_text, jaccard, language, packing, pii, sharding, token_counts, turn_repair, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.with_every_conversation(turn_repair.repair(turn_repair.damaged(conversations)), conversations)
+
+
 def _url_sql() -> str:
     rules = ", ".join(f"('{rule}', split_part('{rule}', '/', 1), substr('{rule}', strpos('{rule}', '/')), '{verdict}')" for verdict, rule in url_filter.RULES)
     terms = ", ".join(f"('{t}', {'true' if t in url_filter.STRICT_TERMS else 'false'})" for t in sorted({*url_filter.STRICT_TERMS, *url_filter.SOFT_TERMS}))
@@ -137,6 +142,72 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM docs LEFT JOIN rolled USING (row_no)"""
 
 
+def _turn_repair_sql() -> str:
+    """One fold over a conversation's turns. ``st`` holds for each end of the text so far (nothing, s, u, pairs) the least {cost, audit, text}."""
+
+    def bound(value: str, name: str, body: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    def go(state: str, cost: str, letter: str, line: str = "''") -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}}"
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+
+    def inserted(st: str) -> str:
+        after_insert = [go(f"{st}[{k}]", "5", "I", user) for k in (1, 2, 4)]
+        return f"[{st}[1], {st}[2], {least(f'{st}[3]', *after_insert)}, {least(f'{st}[4]', go(f'{st}[3]', '5', 'I', assistant))}]"
+
+    dead = "1000000000000"
+    stays = "CASE WHEN r.gone THEN " + dead + " WHEN r.cut THEN 5 ELSE 0 END"
+    keeps = f"{stays} + CASE WHEN r.initial <> '{{}}' THEN {dead} ELSE 0 END"
+    kept = "chr(10) || r.role || ':' || r.text"
+    deleted = [go(f"q[{k}]", "2", "D") for k in (1, 2, 3, 4)]
+    shifted = "[" + ", ".join([
+        deleted[0],
+        least(deleted[1], go("q[1]", keeps.format("s"), "K", kept)),
+        least(deleted[2], *(way for k in (1, 2, 4) for way in (go(f"q[{k}]", keeps.format("u"), "K", kept), go(f"q[{k}]", f"1 + {stays}", "R", user + " || r.text")))),
+        least(deleted[3], go("q[3]", keeps.format("a"), "K", kept), go("q[3]", f"1 + {stays}", "R", assistant + " || r.text")),
+    ]) + "]"
+    step = bound(inserted("acc"), "p", bound(inserted("p"), "q", shifted))
+    start = f"[{{'c': 0::BIGINT, 'a': '', 't': ''}}, " + ", ".join([f"{{'c': {dead}::BIGINT, 'a': '', 't': ''}}"] * 3) + "]"
+    finish = bound(inserted("folded"), "p", bound(inserted("p"), "q", least("q[1]", "q[4]")))
+    checksum = (
+        "xor(4294967295, list_reduce(list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT), "
+        "lambda crc, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, b)), 4294967295))"
+    )
+    return f"""
+WITH named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+dealt AS (SELECT *, {checksum} % 20 AS way FROM named),
+turns AS (
+  SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN way = 1 THEN '' WHEN way = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN way = 0 THEN 0 WHEN way = 3 THEN 2 ELSE 1 END)) AS copy FROM dealt),
+keyed AS (SELECT *, md5(coalesce(CAST(conv_id AS VARCHAR), '') || ':' || role || ':' || md5(text)) AS key FROM turns),
+judged AS (
+  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS empty,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key, copy) || left(role, 1) AS pair
+  FROM keyed),
+rolled AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (empty) AS blank,
+    count(*) FILTER (again AND NOT empty) AS duplicate, count(*) FILTER (open AND NOT again AND NOT empty) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{'role': role, 'text': text, 'initial': initial, 'gone': empty OR again, 'cut': open}} ORDER BY turn NULLS FIRST, role, key, copy) AS rows
+  FROM judged GROUP BY conv_id),
+parsed AS (SELECT * EXCLUDE (rows), list_reduce(rows, lambda acc, r: {step}, {start}) AS folded FROM rolled),
+ended AS (SELECT * EXCLUDE (folded), {finish} AS best FROM parsed),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM every e LEFT JOIN ended d ON e.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
 HARD_NEGATIVES_SQL = """
 WITH usable AS (
   SELECT row_number() OVER () AS row_no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
@@ -169,10 +240,12 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_decontamination": op10_decontamination,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_turn_repair": op12_turn_repair,
 }
 
 ORACLE = {
     "op1_url_filter": _url_sql(),
     "op3_pii": _pii_sql(),
     "op11_hard_negatives": HARD_NEGATIVES_SQL,
+    "op12_turn_repair": _turn_repair_sql(),
 }
