@@ -27,13 +27,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write a table to shared storage and return it as a scan: cuts the lineage, survives lost executors.
 
-    The table goes when the session's driver ends.
+    Python gets ``batch_rows`` rows at once, else few. The table goes when the session's driver ends.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    with short_batches(spark):
+    with short_batches(spark, batch_rows):
         df.write.parquet(path)
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
@@ -41,10 +41,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def short_batches(spark: SparkSession) -> Iterator[None]:
-    """Texts go to Python in batches of few rows while a table is written; the session's own setting comes back after."""
+def short_batches(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    """Texts go to Python in batches of few rows, or of ``rows``, while a table is written; the session's own setting comes back after."""
     own = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(min(int(own), WRITTEN_BATCH_ROWS) if int(own) > 0 else WRITTEN_BATCH_ROWS))
+    spark.conf.set(BATCH_SETTING, str(rows or (min(int(own), WRITTEN_BATCH_ROWS) if int(own) > 0 else WRITTEN_BATCH_ROWS)))
     try:
         yield
     finally:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate, hard_negatives, html_text, jaccard, language, packing, pii, sharding, token_counts, turn_repair, url_filter
+from . import ann, decontaminate, hard_negatives, html_text, jaccard, language, language_model, packing, pii, sharding, token_counts, turn_repair, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.with_every_conversation(turn_repair.repair(turn_repair.damaged(conversations)), conversations)
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def _url_sql() -> str:
     rules = ", ".join(f"('{rule}', split_part('{rule}', '/', 1), substr('{rule}', strpos('{rule}', '/')), '{verdict}')" for verdict, rule in url_filter.RULES)
     terms = ", ".join(f"('{t}', {'true' if t in url_filter.STRICT_TERMS else 'false'})" for t in sorted({*url_filter.STRICT_TERMS, *url_filter.SOFT_TERMS}))
@@ -189,9 +193,9 @@ turns AS (
     unnest(range(CASE WHEN way = 0 THEN 0 WHEN way = 3 THEN 2 ELSE 1 END)) AS copy FROM dealt),
 keyed AS (SELECT *, md5(coalesce(CAST(conv_id AS VARCHAR), '') || ':' || role || ':' || md5(text)) AS key FROM turns),
 judged AS (
-  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS empty,
+  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS empty,
     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
-    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open,
+    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS open,
     lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key, copy) || left(role, 1) AS pair
   FROM keyed),
 rolled AS (
@@ -241,6 +245,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_turn_repair": op12_turn_repair,
+    "op13_language_model": op13_language_model,
 }
 
 ORACLE = {
