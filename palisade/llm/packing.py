@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,14 +20,20 @@ GROUP_PIECES, SEED = 2048, 20261
 # Entries of the cache of encoded words in a Python worker, and the longest word that it keeps.
 CACHE_WORDS, CACHE_BYTES = 600_000, 48
 
+# How a tokenizer file says that it takes words apart at white space and drops it.
+SPLIT = {
+    "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True,
+}
+
 PIECES = "doc_id long, row_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordEncoder:
-    """Ids of a text as little-endian 32-bit integers, through a cache of its words.
+    """Ids of a text as little-endian 32-bit integers, through a cache of its words where the tokenizer allows it.
 
-    The tokenizer never merges across white space and drops it, so a text's ids are those of its words (between ASCII
-    white space) in order. It lower-cases, so words are cached in lower case.
+    A tokenizer that splits at white space, drops it and merges nothing across it gives a text the ids of its words (between
+    ASCII white space) in order. Where it lower-cases, words of ASCII alone are cached in lower case; in others a capital may
+    first compose with what follows. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str | None) -> None:
@@ -39,11 +46,18 @@ class WordEncoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        form = json.loads(self.tokenizer.to_str())
+        steps = (form["normalizer"] or {}).get("normalizers", [form["normalizer"]]), (form["pre_tokenizer"] or {}).get("pretokenizers", [form["pre_tokenizer"]])
+        self.by_words = bool(steps[1][0]) and {k: steps[1][0].get(k) for k in SPLIT} == SPLIT and all(n and n["type"] in ("NFC", "Lowercase", "Replace") for n in steps[0])
+        self.by_words = self.by_words and all(n["type"] != "Replace" or (n["pattern"], n["content"]) == ({"Regex": r"\s+"}, " ") for n in steps[0])
+        self.lowers = self.by_words and any(n["type"] == "Lowercase" for n in steps[0])
 
     def encode(self, text: bytes) -> bytes:
-        if b"<|" not in text:  # special tokens are told apart by case, the rest is not
-            text = text.lower()
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         words = text.split()
+        if self.lowers and b"<|" not in text:  # special tokens are told apart by case, the rest is not
+            words = text.lower().split() if text.isascii() else [w.lower() if w.isascii() else w for w in words]
         parts = list(map(self.known.get, words))
         if None in parts:
             new = list(dict.fromkeys(word for word, part in zip(words, parts, strict=True) if part is None))

@@ -169,11 +169,21 @@ def test_packing_is_whole_and_tight(spark, sf, table, docs):
     assert packing.pack_documents(docs([])).collect() == []
 
 
-def check_packs(rows, texts):
+def test_decomposed_letters_and_another_tokenizer(spark, docs):
+    import public_tokenizers
+
+    odd = [(k, f"A {x} b{x}c, {x.lower()}D e") for k, x in enumerate(["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "K\u212a", "E\u0301", "I\u0307", "\u1e9e"])]
+    odd += [(20, "Plain WORDS\x1cand\x85more\u00a0of\u2028them"), (21, " \u0301x\n\u0301Y"), (22, "It's  THE\tend "), (23, "")]
+    check_packs(packing.pack_documents(docs(odd)).collect(), odd)
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    check_packs(packing.pack_documents(docs(odd), tokenizer=other).collect(), odd, other)
+
+
+def check_packs(rows, texts, path=None):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
     want = []
     for doc_id, text in texts:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
