@@ -14,8 +14,6 @@ from .common import TEXT_BATCH_ROWS, only, rows_below
 
 # Edits allowed per character of an item.
 ERROR_RATE = 0.07
-# Longer items are tested in consecutive segments of this length, each with its own budget.
-SEGMENT_CHARS = 4096
 # Characters of items whose pieces are searched in one pass over the documents; more items take further passes.
 PASS_CHARS = 8_000_000
 
@@ -29,27 +27,21 @@ def normalize(text: str) -> str:
 
 
 @dataclass
-class Segment:
-    """A part of an item, its error budget, and the occurrences of each character as bits."""
+class Item:
+    """A benchmark item, its error budget, and the occurrences of each character as bits, however many."""
 
-    item_id: int
+    item_id: int | None
     text: str
     budget: int
     masks: dict[str, int]
 
 
-def segments(item_id: int, text: str, rate: float = ERROR_RATE, size: int = SEGMENT_CHARS) -> list[Segment]:
+def item_of(item_id: int | None, text: str, rate: float = ERROR_RATE) -> Item:
     whole = normalize(text)
-    parts = max(1, -(-len(whole) // size))
-    found = []
-    for k in range(parts):
-        part = whole[len(whole) * k // parts : len(whole) * (k + 1) // parts]
-        if part:
-            masks: dict[str, int] = {}
-            for at, c in enumerate(part):
-                masks[c] = masks.get(c, 0) | 1 << at
-            found.append(Segment(item_id, part, int(len(part) * rate), masks))
-    return found
+    places: dict[str, bytearray] = {}
+    for at, c in enumerate(whole):
+        places.setdefault(c, bytearray(-(-len(whole) // 8)))[at >> 3] |= 1 << (at & 7)
+    return Item(item_id, whole, int(len(whole) * rate), {c: int.from_bytes(bits, "little") for c, bits in places.items()})
 
 
 def pieces(text: str, budget: int) -> list[tuple[int, str]]:
@@ -59,11 +51,11 @@ def pieces(text: str, budget: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def best_distance(segment: Segment, text: str) -> int:
-    """Smallest edit distance of the segment to any part of the text (Myers' bit vectors, one step per character)."""
-    size = len(segment.text)
+def best_distance(item: Item, text: str) -> int:
+    """Smallest edit distance of the item to any part of the text (Myers' bit vectors, one step per character)."""
+    size = len(item.text)
     full, top = (1 << size) - 1, 1 << (size - 1)
-    masks, plus, minus, score = segment.masks, full, 0, size
+    masks, plus, minus, score = item.masks, full, 0, size
     best = size
     for c in text:
         eq = masks.get(c, 0)
@@ -83,29 +75,28 @@ def best_distance(segment: Segment, text: str) -> int:
     return best
 
 
-def matches(automaton, parts: list[Segment], text: str, whole_words: bool = False) -> Iterator[tuple[int, int, int]]:
+def matches(automaton, items: list[Item], text: str, whole_words: bool = False) -> Iterator[tuple[int, int, int]]:
     """(item, distance, budget) of every item that lies in the text within its budget; ``text`` is normalized.
 
-    With ``whole_words`` a segment without a budget counts only where it begins and ends with a word of the text.
+    With ``whole_words`` an item without a budget counts only where it begins and ends with a word of the text.
 
-    A piece's hit places its segment on a diagonal; stretches of near diagonals are merged, so that a stretch of text is
-    verified once per segment however many pieces hit it.
+    A piece's hit places its item on a diagonal; stretches of near diagonals are merged, so that a stretch of text is
+    verified once per item however many pieces hit it.
     """
     starts: dict[int, set[int]] = {}
     for end, places in automaton.iter(text) if automaton is not None else ():
-        for part, offset, length in places:
-            starts.setdefault(part, set()).add(end + 1 - length - offset)
-    found: dict[int, tuple[int, int]] = {}
-    for part, diagonals in starts.items():
-        segment = parts[part]
-        if whole_words and not segment.budget:  # its hits are the segment itself
-            diagonals = {at for at in diagonals if text[max(0, at - 1) : at] in ("", " ") and text[at + len(segment.text) :][:1] in ("", " ")}
+        for k, offset, length in places:
+            starts.setdefault(k, set()).add(end + 1 - length - offset)
+    for k, diagonals in starts.items():
+        item = items[k]
+        if whole_words and not item.budget:  # its hits are the item itself
+            diagonals = {at for at in diagonals if text[max(0, at - 1) : at] in ("", " ") and text[at + len(item.text) :][:1] in ("", " ")}
             if not diagonals:
                 continue
-        reach, low, high = segment.budget, None, None
+        reach, low, high = item.budget, None, None
         stretches: list[tuple[int, int]] = []
         for at in sorted(diagonals):
-            a, b = max(0, at - reach), at + len(segment.text) + reach
+            a, b = max(0, at - reach), at + len(item.text) + reach
             if high is not None and a < high:
                 high = b
             else:
@@ -113,19 +104,17 @@ def matches(automaton, parts: list[Segment], text: str, whole_words: bool = Fals
                     stretches.append((low, high))
                 low, high = a, b
         stretches.append((low, high))
-        distance = min(best_distance(segment, text[a:b]) for a, b in stretches)
-        if distance <= segment.budget:
-            found[segment.item_id] = min(found.get(segment.item_id, (distance, segment.budget)), (distance, segment.budget))
-    for item, (distance, budget) in found.items():
-        yield item, distance, budget
+        distance = min(best_distance(item, text[a:b]) for a, b in stretches)
+        if distance <= item.budget:
+            yield item.item_id, distance, item.budget
 
 
-def build_automaton(parts: list[Segment]):
+def build_automaton(items: list[Item]):
     import ahocorasick
 
     by_piece: dict[str, list[tuple[int, int, int]]] = {}
-    for k, segment in enumerate(parts):
-        for offset, piece in pieces(segment.text, segment.budget):
+    for k, item in enumerate(items):
+        for offset, piece in pieces(item.text, item.budget):
             by_piece.setdefault(piece, []).append((k, offset, len(piece)))
     automaton = ahocorasick.Automaton()
     for piece, places in by_piece.items():
@@ -155,11 +144,11 @@ def find_items(
 
     def detector(listed: list[tuple[int, str]]):
         def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts, automaton = prepare(listed, rate)
+            items, automaton = prepare(listed, rate)
             for batch in rows_below(batches, TEXT_BATCH_ROWS):
                 out: list[tuple] = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    out += [(doc_id, *m) for m in matches(automaton, parts, normalize(text), whole_words)]
+                    out += [(doc_id, *m) for m in matches(automaton, items, normalize(text), whole_words)]
                 columns = list(zip(*out, strict=True)) if out else [()] * 4
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "distance", "budget"])
@@ -184,9 +173,9 @@ def remove_contaminated(
 
     def remover(listed: list[tuple[int, str]]):
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts, automaton = prepare(listed, rate)
+            items, automaton = prepare(listed, rate)
             for batch in rows_below(batches, TEXT_BATCH_ROWS):
-                kept = [t is None or next(matches(automaton, parts, normalize(t), whole_words), None) is None for t in batch.column(at).to_pylist()]
+                kept = [t is None or next(matches(automaton, items, normalize(t), whole_words), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(kept, pa.bool_()))
 
         return clean
@@ -206,6 +195,6 @@ def item_passes(benchmark: DataFrame, item_col: str, item_text_col: str, pass_ch
 
 
 def prepare(listed: list[tuple[int, str]], rate: float):
-    """Segments of the items and the automaton of their pieces, in a task."""
-    parts = [s for item_id, text in listed for s in segments(item_id, text, rate)]
-    return parts, build_automaton(parts) if parts else None
+    """The items and the automaton of their pieces, in a task; those without letters or digits match nothing."""
+    items = [item for item_id, text in listed if (item := item_of(item_id, text, rate)).text]
+    return items, build_automaton(items) if items else None

@@ -149,8 +149,8 @@ def test_pipeline_stages(spark, sf, table):
     rows = [(r["doc_id"], r["text"]) for r in read(one)]
     assert sorted(r["doc_id"] for r in read(two)) == sorted(i for i, _, c, _ in groups(rows, corpus_pipeline.NEAR) if i == c)
     three = corpus_pipeline.written(stage3(spark, two, sf), "t")
-    parts = [s for i, t in bench for s in decontaminate.segments(i, t)]
-    dirty = lambda t: any(decontaminate.best_distance(s, decontaminate.normalize(t)) <= s.budget for s in parts)
+    items = [decontaminate.item_of(i, t) for i, t in bench]
+    dirty = lambda t: any(decontaminate.best_distance(s, decontaminate.normalize(t)) <= s.budget for s in items)
     assert sorted(r["doc_id"] for r in read(three)) == sorted(r["doc_id"] for r in read(two) if not dirty(r["text"]))
     four = corpus_pipeline.written(stage4(spark, three, sf), "t")
     before, after = ({r["doc_id"]: r for r in read(df)} for df in (three, four))
