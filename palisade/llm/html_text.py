@@ -25,7 +25,8 @@ _TAG = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 
@@ -48,6 +49,8 @@ NOISE = frozenset(
     "pagination pager toolbar copyright disclaimer complementary contentinfo search skip teaser".split()
 )
 NOISE_STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "promo", "sidebar", "sponsor")
+# Words for bars of links and fields; a part of marked content so called that holds a whole paragraph is no bar.
+BARS = frozenset("social share sharing search skip pagination pager toolbar menu nav navbar navigation widget widgets".split())
 UNLESS_AFTER = frozenset("has with no without".split())
 # Reasons of skips whose text no reader sees; it is no text of the page.
 UNSEEN = frozenset("hidden head noscript template svg math canvas object".split())
@@ -63,7 +66,18 @@ def noise_word(attributes: str, spared: frozenset[str] = frozenset()) -> str:
             for k, word in enumerate(words):
                 if (word in NOISE or word.startswith(NOISE_STARTS)) and word not in spared and not (k and words[k - 1] in UNLESS_AFTER):
                     return word
-    return "hidden" if _HIDDEN.search(attributes) else ""
+    return "hidden" if is_hidden(attributes) else ""
+
+
+def is_hidden(attributes: str) -> bool:
+    """Whether an element has the attribute ``hidden``, is hidden from readers by ``aria-hidden``, or is not displayed by its style."""
+    if "hidden" not in (lower := attributes.lower()) and "display" not in lower:
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
 
 
 def strip_markup(html: str) -> list[tuple[str, int, bool]]:
@@ -71,31 +85,38 @@ def strip_markup(html: str) -> list[tuple[str, int, bool]]:
 
     Every block is a line. Scripts, styles, comments, and elements that are noise by name or by class leave an empty line
     where they stood, so that the text around them stays apart. On a page without marked content, a class word under which
-    most of the page's text outside of links stands (``widget`` on a page built of widgets) is no noise there.
+    most of the page's text outside of links stands (``widget`` on a page built of widgets) is no noise there; inside marked
+    content, a word for bars of links is none if a block of ``SURGE_CHARS`` outside of links stands below it.
     """
     spared: frozenset[str] = frozenset()
     while True:
-        lines, held, total = _lines(html, spared)
-        found = set() if any(inside for _, _, inside in lines) else {w for w, n in held.items() if 2 * n > total}
+        lines, held, total, prose = _lines(html, spared)
+        found = prose & BARS if any(inside for _, _, inside in lines) else {w for w, n in held.items() if 2 * n > total}
         if not found:
             return lines
         spared |= found
 
 
-def _lines(html: str, spared: frozenset[str]) -> tuple[list[tuple[str, int, bool]], Counter[str], int]:
-    """Lines of a page; characters outside of links below each noise word that is not ``spared``, and in all."""
+def _lines(html: str, spared: frozenset[str]) -> tuple[list[tuple[str, int, bool]], Counter[str], int, set[str]]:
+    """Lines of a page; characters outside of links below each noise word that is not ``spared``, and in all; noise words inside
+    marked content with a long block below them."""
     lines: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, int]] = []  # (tag, 0 plain, 1 skipped, 2 marked content, 3 header in content: headings only)
     why: list[str] = []  # reason of each skip on the stack
     named: list[str] = []  # noise word of each skip, empty for one by tag
     held: Counter[str] = Counter()
-    total = 0
+    total = block = 0
+    prose: set[str] = set()
     buffer: list[str] = []
     links: list[str] = []
     marked = headings_only = heading = in_link = 0
     at, size = 0, len(html)
 
     def flush() -> None:
+        nonlocal block
+        if marked and block >= SURGE_CHARS:
+            prose.update(named)
+        block = 0
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             if text:
@@ -104,10 +125,11 @@ def _lines(html: str, spared: frozenset[str]) -> tuple[list[tuple[str, int, bool
             links.clear()
 
     def take(text: str) -> None:
-        nonlocal total
+        nonlocal total, block
         if not in_link and UNSEEN.isdisjoint(why):
             n = len(text.strip())
             total += n
+            block += n
             for word in set(named):
                 held[word] += n
         if not why and (not headings_only or heading):
@@ -188,7 +210,7 @@ def _lines(html: str, spared: frozenset[str]) -> tuple[list[tuple[str, int, bool
             headings_only += kind == 3
     flush()
     del held[""]
-    return lines, held, total
+    return lines, held, total, prose
 
 
 def keep_between(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE_CHARS) -> list[str]:

@@ -142,6 +142,26 @@ def test_a_wrapper_with_a_noise_word(name):
         assert html_text.main_text(page) == "\n\n".join(paragraphs)
 
 
+PARAGRAPH = "A paragraph of the story that is told at some length, so that it is surely no bar of links."
+
+
+@pytest.mark.parametrize("opened", [
+    "article class='overflow-hidden p-4'", "article", "main", "article data-x='hidden'", "article aria-hidden='false'", "div class='overflow-hidden rounded'", "div title='not display : none'",
+])
+def test_what_looks_hidden(opened):
+    tag = opened.split()[0]
+    hidden = "".join(f"<div {a}>{PARAGRAPH} Unseen.</div>" for a in ("hidden", "HIDDEN=''", 'aria-hidden="true"', "style='color:red; display: none'", "class=x hidden id=y"))
+    page = f"<body><nav><a href='/'>Home</a></nav><{opened}><p>{PARAGRAPH}</p>{hidden}<p class='visually-hidden-not'>{PARAGRAPH} More.</p></{tag}><footer>Foot</footer>"
+    assert html_text.main_text(page) == f"{PARAGRAPH}\n\n{PARAGRAPH} More."
+
+
+def test_noise_words_inside_content():
+    bars = "<div class='social-links'><a href='/f'>Share</a> or <a href='/t'>send</a></div><div class='search'>Find it here</div><div class='comments'><p>%s I disagree.</p></div>" % PARAGRAPH
+    page = f"<body><article><h1>Title</h1><p class='social-science'>{PARAGRAPH}</p><div class='search-results'><p>{PARAGRAPH} Two.</p><p>Short.</p></div>%s</article>"
+    assert html_text.main_text(page % "") == f"Title\n\n{PARAGRAPH}\n\n{PARAGRAPH} Two.\n\nShort."
+    assert html_text.main_text(f"<body><article><h1>Title</h1><p>{PARAGRAPH}</p>{bars}</article>") == f"Title\n\n{PARAGRAPH}"
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "no markup"), (4, "u", "<p>" * 5000 + "x"), (5, "u", "<article><p>a &lt <b 'unclosed> c"), (5, "u", "<nav>a")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'z' AS text", "1 AS n_chars")
@@ -165,7 +185,7 @@ def test_bit_vectors_equal_the_matrix():
     for _ in range(500):
         item = "".join(rng.choice("abc") for _ in range(rng.randint(1, 80)))
         text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))
-        assert decontaminate.best_distance(decontaminate.segments(1, item, 0.1)[0], text) == edit_distance_within(item, text)
+        assert decontaminate.best_distance(decontaminate.item_of(1, item, 0.1), text) == edit_distance_within(item, text)
 
 
 def test_short_items_and_items_without_an_id(spark, docs):
@@ -177,6 +197,21 @@ def test_short_items_and_items_without_an_id(spark, docs):
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 4, 5]
 
 
+def test_a_half_of_a_long_item_is_not_the_item(spark, docs):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(1000)]
+    near = list(words)
+    for k in range(0, 1000, 40):
+        near[k] = "other"
+    rows = [(1, " ".join(words[:520])), (2, "Before. " + ", ".join(words) + " after"), (3, " ".join(near)), (4, " ".join(words[500:] + words[:500]))]
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    size = len(" ".join(words))
+    assert size > 5000
+    got = {r["doc_id"]: r for r in decontaminate.find_items(docs(rows), bench, whole_words=True).collect()}
+    assert set(got) == {2, 3} and got[2]["distance"] == 0 < got[3]["distance"] <= got[3]["budget"] == int(size * decontaminate.ERROR_RATE)
+    assert sorted(r["doc_id"] for r in decontaminate.remove_contaminated(docs(rows), bench).collect()) == [1, 4]
+
+
 def test_items_with_edits_are_found(spark, docs):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
@@ -196,10 +231,10 @@ def test_items_with_edits_are_found(spark, docs):
     want = []
     for doc_id, text in rows:
         for item_id, item in items:
-            for part in decontaminate.segments(item_id, item or ""):
-                distance = edit_distance_within(part.text, decontaminate.normalize(text or ""))
-                if text is not None and distance <= part.budget:
-                    want.append((doc_id, item_id, distance, part.budget))
+            whole = decontaminate.item_of(item_id, item or "")
+            distance = edit_distance_within(whole.text, decontaminate.normalize(text or ""))
+            if whole.text and text is not None and distance <= whole.budget:
+                want.append((doc_id, item_id, distance, whole.budget))
     got = sorted(map(tuple, decontaminate.find_items(docs(rows), bench).collect()))
     assert got == sorted(want) and len({w[2] for w in want}) > 3
     assert sorted(map(tuple, decontaminate.find_items(docs(rows), bench, pass_chars=300).collect())) == got
