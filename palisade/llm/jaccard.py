@@ -14,9 +14,7 @@ from .components import connected_components
 
 # Frequent shingles that are ordered last: a fixed number, found by counting all shingles.
 FREQUENT, FREQUENT_LEAST, COUNT_EVERY = 1 << 17, 3, 1 << 21
-# Shingles that two linked sets share at least among their indexed ones: longer prefixes by as many, far fewer candidates.
-SHARED = 3
-# Lists up to this length give their pairs; longer ones compare bitmaps of their sets.
+# Lists up to this length compare the bitmaps of pairs that sizes and positions allow; longer ones those of all their sets.
 PAIRED_LIST = 32
 # Bits of the bitmap of a set: a power of two, at least so many, and at least so many for each of its shingles, so that two
 # unlike sets differ in more bits than two that link may differ in shingles.
@@ -44,8 +42,8 @@ class Rule:
         return -(-self.part * n // self.base)
 
     def prefix(self, n):
-        """Shingles of a set that are indexed: two sets that link share ``SHARED`` of them, or all they must share."""
-        return min(n, n - self.least_size(n) + SHARED)
+        """Shingles of a set that are indexed: two sets that link share one of them."""
+        return n - self.least_size(n) + 1
 
     def least_overlap(self, n, m):
         return -(-self.part * (n + m) // (self.base + self.part))
@@ -293,84 +291,69 @@ def _lists(token: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(starts[several].tolist(), ends[several].tolist(), strict=True)
 
 
+def may_link(n: np.ndarray, bits: list[bytes], pairs: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which pairs of sets have bitmaps that allow them to link; of two widths the wider one is folded."""
+    x, y = pairs.T
+    widths = np.array([min(len(bits[a]), len(bits[b])) for a, b in pairs.tolist()], "i8")
+    apart = np.zeros(len(pairs), "i8")
+    for width in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == width)
+        words = stacked([bits[k] for k in x[at]], width) ^ stacked([bits[k] for k in y[at]], width)
+        apart[at] = np.bitwise_count(words).sum(axis=1, dtype="i8")
+    return (n[x] + n[y] - apart) // 2 >= rule.least_overlap(n[x], n[y])
+
+
+def forest_of_pairs(n: np.ndarray, at: np.ndarray, bits: list[bytes], rule: Rule) -> list[tuple[int, int]]:
+    """Edges that connect all pairs of a short list that block, position and bitmaps allow to link."""
+    found = np.array(candidates_of_list(n, at, rule), "i8").reshape(-1, 2)
+    tree = list(range(len(n)))
+    edges = []
+    for a, b in found[may_link(n, bits, found, rule)].tolist():
+        if tree[a] != tree[b]:
+            edges.append((a, b))
+            old = tree[b]
+            tree = [tree[a] if t == old else t for t in tree]
+    return edges
+
+
 def candidate_edges(entries: DataFrame, bitmaps: DataFrame, rule: Rule) -> DataFrame:
     """``a, b``: edges that connect all sets which can link, from index entries ``token, n, at, node`` and ``node, bits``.
 
-    Short lists give their candidate pairs, and a pair stays if it was found as often as its sets must share indexed
-    shingles, those in long lists taken as shared, and if its bitmaps allow it. The entries of long lists meet again with
-    the bitmaps of their sets and give the edges of a forest, never their pairs.
+    An index list keeps the entries that may have a partner in it: in a short list those that size blocks and positions do not
+    rule out, in a long one all. They meet again with the bitmaps of their sets, and every list gives the edges of a
+    forest over the pairs that its bitmaps allow; no list gives its pairs, so rows never outnumber the index's entries.
     """
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[np.ndarray] = []  # (a, b, shared shingles asked for)
-        longs: list[np.ndarray] = []  # (token, n, at, node) of entries in long lists
-
-        def out() -> pa.RecordBatch:
-            pair, shared = np.unique(np.concatenate([np.zeros((0, 3), "i8"), *pairs]), axis=0, return_counts=True)
-            entry = np.concatenate([np.zeros((0, 4), "i8"), *longs])
-            pairs.clear()
-            longs.clear()
-            rows = np.concatenate([np.column_stack([pair, shared, np.ones(len(pair), "i8")]), np.column_stack([entry, np.zeros(len(entry), "i8")])])
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a", "b", "asked", "shared", "paired"])
-
-        for c, goes_on, cut in by_token(batches, ("token", "n", "at", "node"), 1 << 16):
-            token, n, at, node = (c[k].astype("i8", copy=False) for k in ("token", "n", "at", "node"))
-            for a, b in _lists(token):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, goes_on, _ in by_token(batches, ("token", "n", "at", "node"), 1 << 16):
+            kept = [np.zeros(0, "i8")]
+            for a, b in _lists(c["token"]):
                 if b - a <= PAIRED_LIST and not (goes_on and a == 0):
-                    found = candidates_of_list(n[a:b], at[a:b], rule)
-                    if found:
-                        p = np.array(found) + a
-                        x, y = node[p[:, 0]], node[p[:, 1]]
-                        asked = np.minimum(SHARED, rule.least_overlap(n[p[:, 0]], n[p[:, 1]]))
-                        pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y), asked], axis=1))
-                else:
-                    a += goes_on and a == 0  # the first entry was given with the part before
-                    longs.append(np.stack([token[a:b], n[a:b], at[a:b], node[a:b]], axis=1))
-            if sum(map(len, pairs)) + sum(map(len, longs)) > 200_000:
-                yield out()
-        yield out()
-
-    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, goes_on, cut in by_token(batches, ("token", "n", "node", "bits"), LEADER_LIST):
+                    found = candidates_of_list(c["n"][a:b].astype("i8"), c["at"][a:b].astype("i8"), rule)
+                    kept.append(np.unique(np.array(found, "i8")) + a)
+                else:  # the first entry of a list that goes on was given with the part before
+                    kept.append(np.arange(a + (goes_on and a == 0), b))
+            own = np.concatenate(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(c[k][own]) for k in ("token", "n", "at", "node")], ["token", "n", "at", "node"])
+
+    def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, goes_on, cut in by_token(batches, ("token", "n", "at", "node", "bits"), LEADER_LIST):
             found = [np.zeros((0, 2), "i8")]
             for a, b in _lists(c["token"]):
-                n = c["n"][a:b]
+                n, bits = c["n"][a:b].astype("i8"), c["bits"][a:b]
                 if goes_on and a == 0 or cut:
                     near = np.flatnonzero(n[:-1] >= rule.least_size(n[1:]))  # between two sizes that link all sizes do
                     edges = np.stack([near, near + 1], axis=1)
                 else:
-                    edges = np.array(forest_of_list(n, c["bits"][a:b], rule), "i8").reshape(-1, 2)
-                found.append(c["node"][a:b][edges])
+                    edges = forest_of_pairs(n, c["at"][a:b].astype("i8"), bits, rule) if b - a <= PAIRED_LIST else forest_of_list(n, bits, rule)
+                found.append(c["node"][a:b][np.array(edges, "i8").reshape(-1, 2)])
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs.T], ["a", "b"])
 
     ordered = entries.repartition("token").sortWithinPartitions("token", "n", "at", "node").select("token", "n", "at", "node")
-    found = written(ordered.mapInArrow(short, "a long, b long, asked long, shared long, paired long"), "candidates")
-    entry = found.filter("paired = 0").select(F.col("a").alias("token"), F.col("b").alias("n"), F.col("asked").alias("at"), F.col("shared").alias("node"))
-    met = entry.join(bitmaps.select("node", "bits"), "node").select("token", "n", "at", "node", "bits").repartition("token").sortWithinPartitions("token", "n", "at", "node")
-    from_long = met.mapInArrow(long, "a long, b long")
-
-    in_long = entry.groupBy("node").agg(F.count(F.lit(1)).alias("long"))
-    pairs = found.filter("paired = 1").groupBy("a", "b").agg(F.min("asked").alias("asked"), F.sum("shared").alias("shared"))
-    sides = [in_long.select(F.col("node").alias(x), F.col("long").alias(f"long_{x}")) for x in ("a", "b")]
-    eased = pairs.filter("shared < asked").join(sides[0], "a").join(sides[1], "b").filter(F.col("shared") + F.least("long_a", "long_b") >= F.col("asked"))
-    shared = pairs.filter("shared >= asked").select("a", "b").unionByName(eased.select("a", "b"))
-    sides = [bitmaps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b")]
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in ("bits_a", "bits_b"))
-            sizes = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
-            widths = np.array([min(len(a), len(b)) for a, b in zip(x, y, strict=True)], "i8")
-            apart = np.zeros(len(widths), "i8")
-            for width in np.unique(widths).tolist():
-                at = np.flatnonzero(widths == width)
-                words = stacked([x[k] for k in at], width) ^ stacked([y[k] for k in at], width)
-                apart[at] = np.bitwise_count(words).sum(axis=1, dtype="i8")
-            keep = (sizes[0] + sizes[1] - apart) // 2 >= rule.least_overlap(*sizes)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return shared.join(sides[0], "a").join(sides[1], "b").mapInArrow(near, "a long, b long").unionByName(from_long)
+    met = written(ordered.mapInArrow(meet, "token long, n int, at int, node long"), "met")
+    marked = met.join(bitmaps.select("node", "bits"), "node").select("token", "n", "at", "node", "bits")
+    return marked.repartition("token").sortWithinPartitions("token", "n", "at", "node").mapInArrow(hang, "a long, b long")
 
 
 def verify_group(left: list[np.ndarray], right: list[np.ndarray] | None, rule: Rule) -> list[np.ndarray]:
