@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import session
 from ..functions import constants as K, text as X
 from ..operators import graph as G, prompts as Q, report as Rp, responses as A, risk as Rk, select as S, structure as T
-from ..sources import corpus, results
+from ..sources import corpus, results, tree
 from ..streaming import ingest
 from .corpus_queries import code_files, comps, flat_comps, parsed, scanned
 from .oracle_text import over_files, over_symbols, quote
@@ -242,16 +242,13 @@ def incremental_ingest(spark, d):
 
 
 def binary_scan(spark, d):
-    """Every document text as a file below ``root/<repository>/``, scanned back with the corpus scan."""
+    """Every document as a file of its own below ``root/<repository>/``, some hidden by their names, scanned back."""
     root = session.scratch_path(spark, "tree")
-    texts = code_files(spark, d).select(
-        "repo_id", F.regexp_replace("content", "\r", " ").alias("value")
-    )
-    texts.write.partitionBy("repo_id").option("maxRecordsPerFile", 1).text(root)
+    mark = F.when(F.col("ord") % 7 == 0, "_").when(F.col("ord") % 11 == 0, ".").otherwise("")
+    named = F.concat(F.regexp_extract("path", "^(.*/)?[^/]*$", 1), mark, F.regexp_extract("path", "([^/]*)$", 1))
+    tree.write_files(code_files(spark, d).withColumn("path", named), root)
     found = corpus.scan_files(spark, root)
-    return found.select(
-        F.regexp_extract("repo_id", "([^=]*)$", 1).alias("repo_id"), F.col("length").alias("bytes"), F.md5("content").alias("content_md5")
-    )
+    return found.select("repo_id", "path", F.col("length").alias("bytes"), F.md5("content").alias("content_md5"))
 
 
 QUERIES = {
@@ -462,7 +459,8 @@ ORACLE = {
         "texts AS (SELECT ord AS id, content AS text FROM corpus), " + chunk_ctes("texts"),
     ),
     "binary_scan": over_files(
-        """SELECT repo_id, strlen(content) + 1 AS bytes, md5(replace(content, chr(13), ' ') || chr(10)) AS content_md5 FROM files"""
+        """SELECT repo_id, regexp_extract(path, '^(.*/)?[^/]*$', 1) || CASE WHEN ord % 7 = 0 THEN '_' WHEN ord % 11 = 0 THEN '.' ELSE '' END
+      || regexp_extract(path, '([^/]*)$', 1) AS path, strlen(content) AS bytes, md5(content) AS content_md5 FROM corpus"""
     ),
 }
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import session
 from ..functions import paths as P
+from . import tree
 
 
 def keep_path(path: Column | str, strict_globs: bool = False) -> Column:
@@ -33,52 +33,33 @@ def filter_files(files: DataFrame, strict_globs: bool = False, max_bytes: int |
     return kept
 
 
-def _listed(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root/<repo_id>/``: repository, path below it, and the columns of the binary reader."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    # The qualified root as the file system spells it in the names of its files: encoded, and with its scheme.
-    shell = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = shell.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(shell).toUri().toString().rstrip("/") + "/"
-    located = F.col("_metadata.file_path")
-    plain = F.regexp_replace(located, "^([a-z0-9]+):/+", "$1:/")
-    prefix = re.sub("^([a-z0-9]+):/+", r"\1:/", base)
-    below = F.replace(plain.substr(F.lit(len(prefix) + 1), F.length(plain)), F.lit("+"), F.lit("%2B"))
-    relative = F.url_decode(below)
-    return files.select(
-        F.substring_index(relative, "/", 1).alias("repo_id"),
-        F.when(F.contains(relative, F.lit("/")), relative.substr(F.length(F.substring_index(relative, "/", 1)) + 2, F.length(relative))).otherwise("").alias("path"),
-        F.col("_metadata.file_size").alias("length"), "content",
-    ).filter("path <> ''")
-
-
 def scan_files(
     spark: SparkSession, root: str, strict_globs: bool = False, max_bytes: int | None = None
 ) -> DataFrame:
     """Text files below ``root/<repo_id>/``: ``repo_id, path, content, length``, paths relative to the repository.
 
-    Path and size conditions are written on the file metadata, so Spark drops files while listing and never opens them;
-    they look at the path below the repository, whose name may be anything. ``max_bytes`` leaves out larger files; none
-    is left out by default, and :func:`skipped_files` tells which and why. :func:`numbered` adds the order of files.
+    Every name is listed, also those with a leading dot or underscore. Ignored directories are not entered, and files that
+    the conditions on path and size leave out are never opened; they look at the path below the repository, whose name may
+    be anything. ``max_bytes`` leaves out larger files; none is left out by default, and :func:`skipped_files` tells which and
+    why. :func:`numbered` adds the order of files.
     """
-    listed = _listed(spark, root).filter(_reasons(F.col("path"), F.col("length"), strict_globs, max_bytes).isNull())
+    listed = tree.list_files(spark, root, enter=keep_path("path", strict_globs))
+    kept = listed.filter(_reasons(F.col("path"), F.col("length"), strict_globs, max_bytes).isNull())
     raw = F.col("content").cast("string")
-    return listed.filter(F.is_valid_utf8(raw)).select("repo_id", "path", raw.alias("content"), "length")
+    return tree.read_files(kept, root).filter(F.col("content").isNotNull() & F.is_valid_utf8(raw)).select("repo_id", "path", raw.alias("content"), "length")
 
 
 def skipped_files(
     spark: SparkSession, root: str, strict_globs: bool = False, max_bytes: int | None = None
 ) -> DataFrame:
-    """``repo_id, path, reason`` of every file that :func:`scan_files` leaves out.
-
-    Files and folders with a leading dot or underscore are hidden: no listing of the file system reader shows them.
-    """
+    """``repo_id, path, reason`` of every file that :func:`scan_files` leaves out, ignored directories included."""
     why = _reasons(F.col("path"), F.col("length"), strict_globs, max_bytes)
+    listed = session.stage(tree.list_files(spark, root).withColumn("reason", why), "skipped")
     text = F.is_valid_utf8(F.col("content").cast("string"))
-    return (
-        _listed(spark, root)
-        .select("repo_id", "path", F.coalesce(why, F.when(~text, "not text")).alias("reason"))
-        .filter("reason IS NOT NULL")
+    opened = tree.read_files(listed.filter("reason IS NULL"), root).select(
+        "repo_id", "path", F.when(F.col("content").isNull(), "unreadable").when(~text, "not text").alias("reason")
     )
+    return listed.select("repo_id", "path", "reason").unionByName(opened).filter("reason IS NOT NULL")
 
 
 def numbered(files: DataFrame) -> DataFrame:

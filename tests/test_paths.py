@@ -3,7 +3,7 @@ import re
 import pytest
 
 from palisade.functions import paths as P
-from palisade.sources import corpus
+from palisade.sources import corpus, tree
 
 
 def values(df, *cols):
@@ -101,7 +101,7 @@ def test_document_ingest(rows):
 
 def test_binary_scan(spark, tmp_path):
     for name, data in {
-        "r1/src/a b.py": b"hello", "r1/.git/x": b"no", "r1/bad.py": b"\xff\xfe", "r2/é.js": "ü".encode(),
+        "r1/src/a b.py": b"hello", "r1/.git/x": b"no", "r1/.env": b"a=1\r\n", "r1/pkg/__init__.py": b"", "r1/pkg/_a.py": b"a", "r1/pkg/_posts/x.md": b"p", "r1/bad.py": b"\xff\xfe", "r2/é.js": "ü".encode(),
         "r2/unit_test.py": b"no", "latest/a.py": b"l", "env/b+c%20.py": b"e", "r1/tree/r1/deep.py": b"d", "top.py": b"no",
     }.items():
         f = tmp_path / "tree" / name
@@ -110,17 +110,37 @@ def test_binary_scan(spark, tmp_path):
     got = {(r.repo_id, r.path, r.content, r.length) for r in corpus.scan_files(spark, str(tmp_path / "tree")).collect()}
     assert got == {
         ("r1", "src/a b.py", "hello", 5), ("r2", "é.js", "ü", 2), ("latest", "a.py", "l", 1), ("env", "b+c%20.py", "e", 1),
-        ("r1", "tree/r1/deep.py", "d", 1),
+        ("r1", "tree/r1/deep.py", "d", 1), ("r1", ".env", "a=1\r\n", 5), ("r1", "pkg/__init__.py", "", 0), ("r1", "pkg/_a.py", "a", 1),
+        ("r1", "pkg/_posts/x.md", "p", 1),
     }
     why = {(r.repo_id, r.path, r.reason) for r in corpus.skipped_files(spark, str(tmp_path / "tree"), max_bytes=4).collect()}
-    assert why == {("r1", "bad.py", "not text"), ("r2", "unit_test.py", "test"), ("r1", "src/a b.py", "too large")}
+    assert why == {
+        ("r1", "bad.py", "not text"), ("r2", "unit_test.py", "test"), ("r1", "src/a b.py", "too large"), ("r1", ".git/x", "ignored"), ("r1", ".env", "too large"),
+    }
     order = corpus.numbered(corpus.scan_files(spark, str(tmp_path / "tree"))).orderBy("ord").collect()
     assert [(r.repo_id, r.path) for r in order] == sorted((g[0], g[1]) for g in got)
 
 
-def test_binary_scan_drops_files_while_listing(spark, tmp_path, plan):
-    (tmp_path / "r").mkdir()
-    (tmp_path / "r/a.py").write_bytes(b"x")
-    text = plan(corpus.scan_files(spark, str(tmp_path), max_bytes=10))
-    assert "file_path" in text.split("FileScan")[1] and "file_size" in text.split("FileScan")[1]
-
+def test_binary_scan_opens_only_what_it_keeps(spark, tmp_path, monkeypatch):
+    for name in ("r/a.py", "r/node_modules/x/b.py", "r/large.py", "s/.git/deep/c", "s/link.py"):
+        f = tmp_path / "tree" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"x" * (100 if "large" in name else 1))
+    (tmp_path / "tree/r/again").symlink_to(tmp_path / "tree/r")  # a link that leads back
+    listed = {(r.repo_id, r.path) for r in tree.list_files(spark, str(tmp_path / "tree"), corpus.keep_path("path")).collect()}
+    assert listed == {("r", "a.py"), ("r", "large.py"), ("s", "link.py")}  # ignored directories are not entered
+    kept = corpus.scan_files(spark, f"file://{tmp_path}/tree", max_bytes=10)
+    (tmp_path / "tree/s/link.py").unlink()
+    assert [(r.repo_id, r.path) for r in kept.collect()] == [("r", "a.py")]
+    text = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("MapInArrow") < text.index("too large")  # sizes are asked below the step that reads bytes
+    assert tree.list_files(spark, str(tmp_path)).filter("path LIKE '%again%'").count() == 0
+
+
+def test_written_files_come_back(spark, tmp_path):
+    rows = [("r", "a/b.py", "x\r\ny\x00é"), ("r", "_c/.d", ""), ("q", "e f+%.py", "1"), ("q", None, "no"), (None, "p", "no"), ("q", "n", None)]
+    root = str(tmp_path / "out")
+    for _ in range(2):  # a task that runs again
+        assert tree.write_files(spark.createDataFrame(rows, "repo_id string, path string, content string"), root) == 3
+    back = tree.read_files(tree.list_files(spark, root), root).collect()
+    assert {(r.repo_id, r.path, r.content.decode()) for r in back} == set(rows[:3]) and all(r.length == len(r.content) for r in back)
