@@ -11,6 +11,24 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Files with classes that inherit: along chains, over files of one name, in cycles, and from outside.
+CLASS_FILES = """
+SELECT repo_id, ord, 'm' || CAST(ord % 7 AS STRING) || '/k' || CAST(ord AS STRING) || ext AS path,
+  concat_ws(chr(10),
+    'import lib/k' || CAST(CAST(floor(ord / 3) AS BIGINT) AS STRING),
+    CASE ext
+      WHEN '.py' THEN 'class N' || half || '(N' || fifth || ', pkg.Mixin' || CAST(ord % 3 AS STRING) || '[T], metaclass=Meta):' || chr(10) || '    pass'
+      ELSE 'class N' || half || ' extends N' || fifth || ' implements Shape, N' || here || ' ' || chr(123) || chr(10) || chr(125) END,
+    CASE ext WHEN '.py' THEN 'class N' || here || '(N' || there || '):' || chr(10) || '    pass'
+      ELSE 'abstract class N' || here || ' extends lib.N' || there || ' ' || chr(123) || chr(10) || chr(125) END,
+    text) AS content
+FROM (
+  SELECT source AS repo_id, doc_id AS ord, text, CASE lang WHEN 'fr' THEN '.js' WHEN 'de' THEN '.php' ELSE '.py' END AS ext,
+    CAST(CAST(floor(doc_id / 2) AS BIGINT) AS STRING) AS half, CAST(CAST(floor(doc_id / 5) AS BIGINT) AS STRING) AS fifth,
+    CAST(doc_id % 40 AS STRING) AS here, CAST((doc_id + 13) % 40 AS STRING) AS there
+  FROM documents) shaped
+"""
+
 CODE_FILES = """
 SELECT repo_id, path, content, CAST(length(content) AS BIGINT) AS length, ord FROM (
   SELECT repo_id, ord,
@@ -184,6 +202,7 @@ FROM (
 """
 
 VIEWS = {
+    "class_files": CLASS_FILES,
     "code_files": CODE_FILES,
     "star_flows": STAR_FLOWS,
     "star_edges": STAR_EDGES,
