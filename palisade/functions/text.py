@@ -45,7 +45,9 @@ def json_array(text: Column | str) -> Column:
 
 
 def _valid_json(raw: Column) -> Column:
-    return F.when((raw != "") & F.try_parse_json(raw).isNotNull(), raw)
+    # The parser ignores what follows a value; nothing but one value fits both an array and a field.
+    whole = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}"))).isNotNull()
+    return F.when((raw != "") & whole, raw)
 
 
 def normalise_severity(severity: Column | str) -> Column:

@@ -82,3 +82,11 @@ def test_token_budget_stays_inside_the_row(rows, plan):
 def test_token_count(rows, text, tokens):
     assert one(rows, text, X.token_count("text")) == tokens
 
+
+
+def test_nothing_follows_a_json_value(spark):
+    texts = ['{"a": 1} {"b": 2}', 'x {"a": [1, {}]} y', '{"a": 1}, {"b": 2}', '{"a": 1},"w":{"b": 2}', '{"a": 1}}, {{"b": 2}', '{"a": 1', "{}", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(X.json_object("t")).collect()] == [None, '{"a": [1, {}]}', None, None, None, None, "{}", None]
+    lists = spark.createDataFrame([(t.replace("{", "[").replace("}", "]").replace('"a": ', "").replace('"b": ', ""),) for t in texts], "t string")
+    assert [r[0] for r in lists.select(X.json_array("t")).collect()] == [None, "[1, []]".join("[]"), None, None, None, None, "[]", None]
