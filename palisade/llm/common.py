@@ -18,12 +18,15 @@ BATCH_SETTING, WRITTEN_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatc
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh place below the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Local sessions without that setting (tests) get a folder below the warehouse.
+    Without that setting a folder below the warehouse serves local sessions (tests), and any session whose warehouse is not on a
+    machine's own disk; others are refused, since their executors would each write to a folder that no other one sees.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.shared"
-        spark.conf.set("spark.checkpoint.dir", base)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        base = f"{warehouse.rstrip('/')}/.shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

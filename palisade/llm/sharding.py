@@ -132,10 +132,28 @@ def shard_documents(
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", rows_per_file: int = 100_000) -> None:
-    """Write documents as shards, sorted by slot in files of bounded size: ``path/shard=n/part-*``. Ids must be unique."""
+def write_shards(
+    docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 100_000
+) -> None:
+    """Write documents as shards, sorted by slot in files of bounded size: ``path/shard=n/part-*``.
+
+    ``placed`` comes from :func:`shard_documents` over the same documents. Rows meet by id, size and checksum; rows that have
+    all of them in common, or no id, are paired off one to one, so every row is written once. A column ``shard`` of the input
+    gives way to the folder's.
+    """
     files = max(1, -(-placed.count() // rows_per_file))
-    spots = placed.select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    joined = docs.join(spots, docs[f"`{id_col}`"] == spots["__id"]).drop("__id")
-    ordered = joined.repartitionByRange(files, "__shard", "__slot").sortWithinPartitions("__shard", "__slot")
-    ordered.withColumnRenamed("__shard", "shard").drop("__slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    key = F.struct(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).cast("long").alias("crc")
+    )
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"]
+    rows = docs.select(F.struct(*kept).alias("row"), key.alias("key"))
+    spots = placed.select(F.struct("doc_id", "size", F.col("text_crc32").alias("crc")).alias("key"), "shard", "slot")
+
+    def numbered(df: DataFrame, by: Column) -> DataFrame:
+        return df.withColumn("no", F.row_number().over(Window.partitionBy("key").orderBy(by)))
+
+    left, right = numbered(rows, F.xxhash64("row")), numbered(spots, F.col("slot") + F.col("shard") * F.lit(1 << 40))
+    met = left.join(right, (left["key"].eqNullSafe(right["key"])) & (left["no"] == right["no"])).select("row", "shard", "slot")
+    ordered = met.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.select("row.*", "shard").write.partitionBy("shard").mode("overwrite").parquet(path)

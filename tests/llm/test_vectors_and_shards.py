@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from palisade.llm import ann, language, packing, queries, sharding, token_counts
+from palisade.llm import ann, common, language, packing, queries, sharding, token_counts
 
 
 def test_language_of_held_out_documents(spark, sf, table):
@@ -157,6 +157,29 @@ def test_written_shards_prune(spark, docs, tmp_path):
     assert len(sources) == 24
 
 
+def test_written_shards_hold_every_row_once(spark, docs, tmp_path):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (None, None), (2, None), (3, "")]
+    df = docs(rows)
+    sharding.write_shards(df, sharding.shard_documents(df, shards=3), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == set(df.columns)
+    assert sorted(map(repr, back.drop("shard").select(*[c for c in df.columns if c != "shard"]).collect())) == sorted(map(repr, df.drop("shard").collect()))
+    assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [2, 3, 3]
+
+
+def test_a_folder_of_one_machine_is_refused(monkeypatch):
+    class Session:
+        def __init__(self, master, **conf):
+            self.sparkContext = type("Context", (), {"master": master})
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: conf.get(key.replace(".", "_"), default))})
+
+    with pytest.raises(ValueError):
+        common.shared_path(Session("spark://x", spark_sql_warehouse_dir="file:/tmp/w"), "t")
+    assert common.shared_path(Session("spark://x", spark_sql_warehouse_dir="hdfs://n/w"), "t").startswith("hdfs://n/w/.shared/t-")
+    assert common.shared_path(Session("local[2]", spark_sql_warehouse_dir="/tmp/w"), "t").startswith("/tmp/w/.shared/t-")
+    assert common.shared_path(Session("spark://x", spark_checkpoint_dir="s3a://b/", spark_sql_warehouse_dir="/w"), "t").startswith("s3a://b/t-")
+
+
 def test_packing_is_whole_and_tight(spark, sf, table, docs):
     texts = [(r["doc_id"], r["text"]) for r in table("documents").collect()]
     rows = check_packs(queries.op7_packing(spark, sf).collect(), texts)
