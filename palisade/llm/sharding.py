@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import only
+from .common import only, written
 
 SHARDS, BITS = 24, 5
 # Rows of a cell that are ranked together; a cell with more is ranked in parts.
@@ -75,24 +75,32 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(bits * n - 1)), begin, weave, lambda acc: acc["at"])
 
 
-def curve_order(df: DataFrame, axes: list[Column], order: list[str], total: int, bits: int = BITS) -> DataFrame:
-    """Add ``cell``, the place on the curve, and ``place``, the exact rank of a row by cell, then hash and values of ``order``.
+def curve_order(df: DataFrame, axes: list[Column], order: list[str], total: int, bits: int = BITS, copies: str | None = None) -> DataFrame:
+    """Add ``cell``, the place on the curve, and ``place``, the exact rank of a row by cell, then by the hash and the values of
+    ``order``.
 
     Rows are ranked within parts of cells; a part's first rank is the number of rows before it. Only the counts of parts
-    meet: those of one cell in one task, and one count per cell in the last.
+    meet: those of one cell in one task, and one count per cell in the last. With ``copies``, a column that says how many rows share
+    the first column of ``order``, such rows lie side by side, and a group larger than a part is ranked in parts of its own.
     """
     parts = max(1, -(-total // PART_ROWS))
-    cut = df.withColumn("cell", hilbert_index(axes, bits)).withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)))
-    keys = ["cell", "__part"]
+    cut = df.withColumn("cell", hilbert_index(axes, bits)).withColumn("__part", F.pmod(F.xxhash64(*(order[:1] if copies else order)), F.lit(parts)))
+    large = F.col(copies) > PART_ROWS if copies else F.lit(False)
+    cut = cut.withColumns({
+        "__group": F.when(large, F.xxhash64(order[0])).otherwise(F.lit(0)),
+        "__piece": F.when(large, F.pmod(F.xxhash64(*order), F.ceil(F.col(copies) / PART_ROWS) if copies else F.lit(1))).otherwise(F.lit(0)).cast("long"),
+    })
+    inside = ["__part", "__group", "__piece"]
+    keys = ["cell", *inside]
     counts = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("cell").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("cell").orderBy(*inside).rowsBetween(Window.unboundedPreceding, -1)
     within = counts.withColumn("__inner", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     earlier = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = counts.groupBy("cell").agg(F.sum("__n").alias("__size"))
     cells = cells.select("cell", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__outer"))
     first = within.join(cells, "cell").select(*keys, (F.col("__inner") + F.col("__outer")).alias("__first"))
     ranked = cut.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.join(first, keys).withColumn("place", F.col("__first") + F.col("__rank") - 1).drop("__part", "__rank", "__first")
+    return ranked.join(first, keys).withColumn("place", F.col("__first") + F.col("__rank") - 1).drop(*inside, "__rank", "__first")
 
 
 def cut_runs(df: DataFrame, total: int, shards: int = SHARDS) -> DataFrame:
@@ -113,20 +121,28 @@ def shard_documents(
 
     The curve runs over the classes of the columns ``names`` and of the size, so a shard holds few names and sizes and
     its files' minima and maxima rule it out for others. Law ``rows``: shards are runs of the curve with row counts at
-    most one apart, whatever the skew; a hot name fills several shards. Texts are read once for size and checksum and
-    do not travel.
+    most one apart, whatever the skew; a hot name fills several shards. Equal texts take the least of their names for their
+    cell and lie side by side on the curve, so a group of them is in one shard unless a run ends within it. Texts are read once, for
+    size and checksums, which are written; they do not travel.
 
-    A null text has no bytes and the checksum of an empty one; nulls in ``names`` are a class of their own; repeated rows
-    get a slot each; an empty table gives an empty result; other columns are not carried along.
+    A null text has no bytes and the checksum of an empty one, and counts as one; nulls in ``names`` are a class of their own;
+    repeated rows get a slot each; an empty table gives an empty result; other columns are not carried along.
     """
-    total = docs.count()
     own = {f"__name{k}": f"{c}:string" for k, c in enumerate(names)}
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = only(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string", **own).select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).cast("long").alias("text_crc32"), *own
+    read = only(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string", **own).select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).cast("long").alias("text_crc32"),
+        F.unhex(F.md5(text)).alias("text_key"), *own,
     )
-    axes = [*(name_class(F.col(c), bits) for c in own), size_class(F.col("size"), bits)]
-    placed = curve_order(rows, axes, ["doc_id", "size", "text_crc32"], total, bits)
+    rows = written(read, "shard-rows")
+    total = rows.count()
+    # Of a group the least name that is not null, so that rows of one text agree.
+    least = [F.min(c).alias(f"{c}_least") for c in own]
+    groups = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), *least).filter("copies > 1")
+    rows = rows.join(groups, "text_key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    agreed = [F.when(F.col("copies") > 1, F.col(f"{c}_least")).otherwise(F.col(c)) for c in own]
+    axes = [*(name_class(c, bits) for c in agreed), size_class(F.col("size"), bits)]
+    placed = curve_order(rows, axes, ["text_key", "doc_id", "size", "text_crc32"], total, bits, "copies")
     return cut_runs(placed, total, shards).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell"
     )

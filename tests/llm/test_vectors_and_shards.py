@@ -134,6 +134,20 @@ def test_shards(spark, sf, table, docs):
     check_shards(sharding.shard_documents(docs(rows[:5])).collect(), rows[:5])
 
 
+@pytest.mark.parametrize("part", [1 << 20, 16])
+def test_equal_texts_share_a_shard(spark, monkeypatch, part):
+    monkeypatch.setattr(sharding, "PART_ROWS", part)
+    texts = [f"text {k} " * (k % 9) for k in range(40)] + ["hot"] * 70 + [None, ""]
+    rows = [(k, texts[k % len(texts)] if k % 3 else "hot") for k in range(900)]
+    full = [(k, t, ["de", "en", None][k % 3], f"s{k % 7}") for k, t in rows]
+    got = sharding.shard_documents(spark.createDataFrame(full, "doc_id long, text string, lang string, source string").repartition(5)).collect()
+    check_shards(got, rows)
+    shards = {}
+    for r in got:
+        shards.setdefault((r["size"], r["text_crc32"]), set()).add(r["shard"])
+    assert sum(len(s) - 1 for s in shards.values()) <= 23
+
+
 def check_shards(got, rows):
     size = lambda t: len((t or "").encode()) + 8
     assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((d, size(t), zlib.crc32((t or "").encode())) for d, t in rows)
@@ -144,8 +158,11 @@ def check_shards(got, rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     counts = [len(slots.get(k, [])) for k in range(24)]
     assert max(counts) - min(counts) <= 1
-    cells = sorted((r["shard"], r["slot"], r["cell"]) for r in got)
+    cells = sorted((r["shard"], r["slot"], r["cell"], r["size"], r["text_crc32"]) for r in got)
     assert [c[2] for c in cells] == sorted(c[2] for c in cells)
+    # Equal texts lie side by side, so that the ends of the runs alone cut their groups.
+    together = [c[3:] for c in cells]
+    assert len(set(together)) == 1 + sum(a != b for a, b in zip(together, together[1:])) if together else True
 
 
 def test_written_shards_prune(spark, docs, tmp_path):
