@@ -19,12 +19,13 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: str, name: str, tier: str | None = None, width: int = 1 << 16
+    df: DataFrame, keys: Sequence[str], order: str, name: str, tier: str | None = None, width: int = 1 << 16,
+    then: Sequence[str] = (),
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, ordered by (tier, order).
 
-    ``order`` is an integer that is unique within a group.  Rows are cut into
-    ranges of ``width`` order values; a position is the row's rank inside its
+    ``order`` is an integer that is unique within a group, or is so together with
+    the columns ``then``.  Rows are cut into ranges of ``width`` order values; a position is the row's rank inside its
     range plus the sizes of the earlier ranges.  Only the range *counts* of a
     group meet in one task, so a group may hold any share of the rows.
     """
@@ -38,7 +39,7 @@ def with_position(
         .agg(F.count(F.lit(1)).alias("__n"))
         .select(*cells, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(offset))
     )
-    inside = F.row_number().over(Window.partitionBy(*cells).orderBy(order))
+    inside = F.row_number().over(Window.partitionBy(*cells).orderBy(order, *then))
     return (
         sliced.withColumn(name, inside)
         .join(starts, cells)

@@ -11,7 +11,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import session
-from ..operators import graph as G, prompts as Q, report as Rp, responses as A, risk as Rk, rollups as R
+from ..functions.ordering import with_position
+from ..operators import drawing as D, graph as G, prompts as Q, report as Rp, responses as A, risk as Rk, rollups as R
 from ..operators import select as S, structure as T
 from ..sources import corpus, results
 from ..streaming import ingest
@@ -148,12 +149,28 @@ def save_report(analysis: Analysis, model: ThreatModel, location: str, date: str
     results.save_text(lines, location, ["section", "owner", "ord", "step"])
 
 
-def save_diagrams(analysis: Analysis, location: str) -> None:
+def save_component_diagrams(comps: DataFrame, data_flows: DataFrame, location: str) -> None:
     """Class and flow diagrams of every repository as ordered text."""
     order = ["section", "ord", "step"]
-    results.save_text(G.class_diagram_lines(analysis.components), f"{location}/class_diagram", order)
-    flows = analysis.data_flows.withColumn("ord", F.col("ord") * 1000 + F.col("seq"))
-    results.save_text(G.flow_diagram_lines(analysis.components, flows), f"{location}/flow_diagram", order)
+    results.save_text(G.class_diagram_lines(comps), f"{location}/class_diagram", order)
+    results.save_text(G.flow_diagram_lines(comps, data_flows), f"{location}/flow_diagram", order)
+
+
+def threat_lines(analysis: Analysis, model: ThreatModel) -> DataFrame:
+    """The threat diagram of a model: priority components, flows, crossings, threats and vulnerabilities around its boundaries."""
+    comps = analysis.components.select("repo_id", F.col("path").alias("name"), S.is_priority().alias("is_priority"), "ord")
+    listed = model.members.groupBy("repo_id", "boundary").agg(F.min("ord").alias("ord"))
+    bounds = model.boundaries.join(listed, ["repo_id", "boundary"], "left").withColumn("ord", F.coalesce("ord", F.lit(D.LAST)))
+    # Answers number their vulnerabilities from 0; a diagram numbers those of all answers.
+    vulns = with_position(model.vulnerabilities.withColumnRenamed("ordinal", "at"), ["repo_id"], "response_id", "ordinal", then=["at"])
+    return D.threat_drawing(bounds, model.members, comps, model.flows, model.cross_flows, model.threats, vulns, analysis.components)
+
+
+def save_diagrams(analysis: Analysis, location: str, model: ThreatModel | None = None) -> None:
+    """Class and flow diagrams of every repository as ordered text, and the threat diagram if there is a model."""
+    save_component_diagrams(analysis.components, analysis.data_flows, location)
+    if model is not None:
+        results.save_text(threat_lines(analysis, model), f"{location}/threat_diagram", [*D.PLACE, "line"])
 
 
 def report_from_saved(spark: SparkSession, model_location: str, location: str, stacks: DataFrame | None = None) -> None:

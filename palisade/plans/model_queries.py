@@ -110,10 +110,15 @@ def report_text(spark, d):
     )
 
 
+def _one_order(edges):
+    """Edges that are ordered by (file, position in it), with a digest of both as one number."""
+    first, second = edges.schema["ord"].dataType.fieldNames()
+    digest = F.col(f"ord.{first}") * 1000 + F.col(f"ord.{second}")
+    return edges.select("repo_id", "src", "dst", "label", digest.alias("ord"))
+
+
 def class_edges(spark, d):
-    return G.dedupe_edges(
-        G.class_edges(comps(spark, d)).withColumn("ord", F.col("ord") * 1000 + F.col("pos"))
-    ).select("repo_id", "src", "dst", "label", "ord")
+    return _one_order(G.dedupe_edges(G.class_edges(comps(spark, d)).withColumn("ord", F.struct("ord", "pos"))))
 
 
 def class_members(spark, d):
@@ -122,8 +127,8 @@ def class_members(spark, d):
 
 def flow_edges(spark, d):
     c = parsed(spark, d)
-    ordered = T.data_flows(c).withColumn("ord", F.col("ord") * 1000 + F.col("seq"))
-    return G.flow_edges(ordered, c).unionByName(G.flow_edges(flows(spark, d)))
+    ordered = T.data_flows(c).withColumn("ord", F.struct("ord", "seq"))
+    return _one_order(G.flow_edges(ordered, c)).unionByName(G.flow_edges(flows(spark, d)))
 
 
 def _graph_inputs(spark, d):
@@ -167,9 +172,8 @@ def threat_diagram(spark, d):
 def mermaid_text(spark, d):
     """Lines of the class and flow diagrams of every repository."""
     c = parsed(spark, d)
-    flow_rows = T.data_flows(c).withColumn("ord", F.col("ord") * 1000 + F.col("seq"))
     both = G.class_diagram_lines(c).withColumn("diagram", F.lit("class")).unionByName(
-        G.flow_diagram_lines(c, flow_rows).withColumn("diagram", F.lit("flow"))
+        G.flow_diagram_lines(c, T.data_flows(c)).withColumn("diagram", F.lit("flow"))
     )
     return both.select("repo_id", "diagram", "section", "line")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from .. import schemas
@@ -101,3 +101,17 @@ def save_text(lines: DataFrame, location: str, order: list[str], files: int | No
 
 def load_text(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.option("basePath", location).text(location)
+
+
+def load_lines(spark: SparkSession, location: str) -> DataFrame:
+    """``(repo_id, line_no, line)`` of texts written by :func:`save_text`, lines numbered from 1 in the order of the files.
+
+    A line's number is its rank in its part file plus the lines of the part files before; only those counts meet.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    read = load_text(spark, location).select("repo_id", F.col("_metadata.file_name").alias("file"), at.alias("at"), F.col("value").alias("line"))
+    files = read.groupBy("repo_id", "file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("repo_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("repo_id", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = read.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id", "file").orderBy("at")))
+    return inside.join(starts, ["repo_id", "file"]).select("repo_id", (F.col("start") + F.col("rank")).alias("line_no"), "line")

@@ -134,11 +134,3 @@ def test_threat_numbers_restart_per_owner(rows):
     cross = rows("repo_id string, source string, destination string, source_boundary string, destination_boundary string, ord long", [])
     got = {(e.src, e.dst) for e in G.threat_graph_edges(flows, cross, df).collect()}
     assert got == {("a_b", "a_b_threat_1"), ("a_b", "a_b_threat_0"), ("f", "flow_f_threat_0")}
-
-
-def test_boundary_subgraphs(rows):
-    b = rows("repo_id string, boundary string, ord long", [("r", "Web", 0), ("r", "Db", 1)])
-    m = rows("repo_id string, member string, ord long", [("r", "a.py", 0), ("r", "a.py", 1), ("r", "d e", 1)])
-    lines = [x.line for x in G.boundary_subgraph_lines(b, m).orderBy("section", "ord", "step").collect()]
-    assert lines == ["    subgraph security_boundary_0[Web]", "        a_py[a.py]", "    end", "    class security_boundary_0 boundary;",
-                     "    subgraph security_boundary_1[Db]", "        d_e[d e]", "    end", "    class security_boundary_1 boundary;"]

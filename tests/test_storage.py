@@ -120,3 +120,27 @@ def test_lifecycle(spark, rows, tmp_path):
     assert text.index("## Components Analysis") < text.index("### src/main.py (Python)") < text.index("## Recommendations")
     lifecycle.save_diagrams(a, str(tmp_path / "diagrams"))
     assert glob.glob(str(tmp_path / "diagrams/class_diagram/repo_id=r/*.txt"))
+    assert not glob.glob(str(tmp_path / "diagrams/threat_diagram"))
+    lifecycle.save_diagrams(a, str(tmp_path / "drawn"), m)
+    drawn = [x.line for x in results.load_lines(spark, str(tmp_path / "drawn/threat_diagram")).orderBy("line_no").collect()]
+    assert drawn[0] == "flowchart TD" and drawn[-1] == "    end"
+    assert drawn.index("    subgraph security_boundary_0[Lib]") < drawn.index("        src/main_py[src/main.py]")
+    assert "    src/main_py -->|Crosses: Web → Lib| src/util_b_py" in drawn
+
+
+def test_report_of_a_saved_model(spark, rows, tmp_path):
+    threats = rows("repo_id string, owner_kind string, owner string, ordinal long, type string, description string, severity string, impact string, "
+                   "mitigation string, code_snippet string, crosses_boundary boolean",
+                   [("r", "component", "a", 0, "Spoofing", "d", "High", "i", None, None, False), ("r", "flow", "f", 0, "Leak", "e", "Low", None, "m", None, True)])
+    risk = rows("repo_id string, overall_risk string", [("r", "High"), ("quiet", "Low")])
+    owners = rows("repo_id string, owner_kind string, owner string", [("r", "component", "a"), ("r", "flow", "f"), ("r", "component", "b"), ("quiet", "component", "c")])
+    results.save_threat_model(results.threat_model(owners, threats, risk), str(tmp_path / "model"))
+    lifecycle.report_from_saved(spark, str(tmp_path / "model"), str(tmp_path / "report"))
+    lines = results.load_lines(spark, str(tmp_path / "report")).orderBy("repo_id", "line_no").collect()
+    text = {r: "\n".join(x.line for x in lines if x.repo_id == r) for r in ("r", "quiet")}
+    assert "**Overall Risk Level:** High" in text["r"] and "Address Spoofing threat: d" in text["r"] and text["r"].index("### a") < text["r"].index("### b")
+    assert "**Overall Risk Level:** Low" in text["quiet"] and "No threats identified." in text["quiet"]
+    stacks = rows("repo_id string", [("lost",)])
+    lifecycle.report_from_saved(spark, str(tmp_path / "nothing"), str(tmp_path / "empty"), stacks)
+    empty = [x.line for x in results.load_lines(spark, str(tmp_path / "empty")).collect()]
+    assert any("Unknown" in x for x in empty)
