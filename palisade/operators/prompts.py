@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, paths as P, text as X
-from ..functions.ordering import first_per_group
+from ..functions.ordering import first_per_group, with_position
 
 
 def component_parts(comps: DataFrame, classes: int = K.LIMIT_CLASSES, items: int = K.LIMIT_ITEMS, chars: int = K.CONTEXT_CHARS) -> DataFrame:
@@ -121,6 +121,28 @@ def flow_boundary_context(flows: DataFrame, members: DataFrame, boundaries: Data
     )
 
 
+def boundary_context_lines(flows: DataFrame, members: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """``(repo_id, source, line_no, line)``: the lines of :func:`flow_boundary_context` as rows, numbered from 1.
+
+    One text per crossing *source*, not per flow, and never put together: a source in any number of boundaries stays
+    spread.  The last line is the warning; a source in no boundary has only that.
+    """
+    shared = [c for c in ["repo_id"] if c in members.columns]
+    crossing = flows.filter("crosses_boundary").select("repo_id", "source").distinct()
+    described = members.join(boundaries, [*shared, "boundary"]).select(
+        *shared, F.col("member").alias("source"), "boundary", F.coalesce("description", F.lit("")).alias("description"), "ord"
+    ).distinct()
+    inside = crossing.join(described, [*shared, "source"]).select(
+        "repo_id", "source", F.lit(0).alias("last"), F.col("ord").cast("long").alias("ord"),
+        F.concat(F.lit("Source is within security boundary: "), "boundary", F.lit(" - "), "description").alias("line"),
+    )
+    warning = crossing.select(
+        "repo_id", "source", F.lit(1).alias("last"), F.lit(0).cast("long").alias("ord"), F.lit(K.BOUNDARY_WARNING).alias("line")
+    )
+    placed = with_position(inside.unionByName(warning), ["repo_id", "source"], "ord", "line_no", tier="last", then=["line"])
+    return placed.select("repo_id", "source", "line_no", "line")
+
+
 def cross_flow_samples(cross: DataFrame, limit: int = 5) -> DataFrame:
     """First cross-boundary flows of each repository as context lines."""
     ranked = first_per_group(cross, ["repo_id"], [F.asc("ord"), F.asc("source"), F.asc("destination")], limit, "position")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, paths as P
-from ..functions.ordering import with_position
+from ..functions.ordering import first_per_group, with_position
 
 
 def path_search(files: DataFrame, pattern: str, max_results: int | None = None) -> DataFrame:
@@ -97,3 +97,41 @@ def best_related(edges: DataFrame) -> DataFrame:
         F.min_by("dst_path", F.struct(other, "ord", "dst_path")).alias("dst_path"),
         F.count(F.lit(1)).alias("related"),
     )
+
+
+def restricted_halves(deps: DataFrame, hits: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The halves of the dependency relation over the files of a list, test paths removed, before any pair is made."""
+    keep = files.filter(~P.is_test_path("path")).select("repo_id", "path").distinct()
+    return (
+        deps.join(keep.withColumnRenamed("path", "src_path"), ["repo_id", "src_path"], "left_semi"),
+        hits.join(keep.withColumnRenamed("path", "dst_path"), ["repo_id", "dst_path"], "left_semi"),
+    )
+
+
+ANY = "*"  # no extension, for those begin with a dot
+
+
+def best_of_dependencies(deps: DataFrame, hits: DataFrame, files: DataFrame) -> DataFrame:
+    """:func:`best_related` of the dependency relation, made from its halves without the pairs of files.
+
+    ``files(repo_id, path, ord[, module_name])`` has every path once.  A dependency
+    keeps its two first files of each extension and of all, two because one of them may be the
+    asking file itself; a source looks at four candidates a dependency, however many files that names.
+    """
+    itself = F.contains("src_path", F.col("dep"))
+    own = files.select("repo_id", F.col("path").alias("src_path"), *(["module_name"] if "module_name" in files.columns else []))
+    placed = hits.join(files.select("repo_id", F.col("path").alias("dst_path"), "ord"), ["repo_id", "dst_path"])
+    if "module_name" in files.columns:
+        deps = deps.join(own, ["repo_id", "src_path"])
+        itself = itself | F.coalesce(F.col("module_name") == F.col("dep"), F.lit(False))
+    both = placed.withColumn("want", F.explode(F.array(P.extension("dst_path"), F.lit(ANY))))
+    firsts = first_per_group(both, ["repo_id", "dep", "want"], [F.asc("ord"), F.asc("dst_path")], 2).drop("rank")
+    named = hits.groupBy("repo_id", "dep").agg(F.count(F.lit(1)).alias("n"))
+    counts = deps.join(named, ["repo_id", "dep"]).groupBy("repo_id", "src_path").agg(
+        F.sum(F.col("n") - itself.cast("long")).alias("related")
+    )
+    asked = deps.select("repo_id", "src_path", "dep", F.explode(F.array(P.extension("src_path"), F.lit(ANY))).alias("want"))
+    found = asked.join(firsts, ["repo_id", "dep", "want"]).filter(F.col("src_path") != F.col("dst_path"))
+    other = P.extension("src_path") != P.extension("dst_path")
+    best = found.groupBy("repo_id", "src_path").agg(F.min_by("dst_path", F.struct(other, "ord", "dst_path")).alias("dst_path"))
+    return best.join(counts, ["repo_id", "src_path"])

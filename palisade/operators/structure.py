@@ -245,9 +245,10 @@ def _grams(text: Column, n: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def dependency_edges(comps: DataFrame, gram: int = 4) -> DataFrame:
-    """For every dependency of a file, the other files whose path contains it or whose ``module_name``, if there is such
-    a column, equals it.
+def dependency_tables(comps: DataFrame, gram: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The two halves of the dependency relation: ``(repo_id, src_path, dep_pos, dep)``, one row per dependency of a file,
+    and ``(repo_id, dep, dst_path)``, the files whose path contains the dependency or whose ``module_name``, if there is
+    such a column, equals it.  Both grow with their input; only their join has a row for every pair of files.
 
     Substring matching without a nested loop.  Each *distinct* dependency is
     looked up by its single rarest gram of ``gram`` characters (one shorter than
@@ -285,13 +286,23 @@ def dependency_edges(comps: DataFrame, gram: int = 4) -> DataFrame:
         named = comps.select("repo_id", F.col("module_name").alias("dep"), F.col("path").alias("dst_path")).filter(F.col("dep") != "")
         asked = named.join(wanted.select("repo_id", "dep"), ["repo_id", "dep"], "left_semi")
         hits = hits.unionByName(asked.filter(~F.contains("dst_path", F.col("dep"))))
+    return deps.withColumn("dep_pos", F.col("dep_pos").cast("long")), hits
+
+
+def related_files(deps: DataFrame, hits: DataFrame) -> DataFrame:
+    """Pairs of files: the halves of the dependency relation joined, files related to themselves left out."""
     return (
         deps.join(hits, ["repo_id", "dep"])
         .filter(F.col("src_path") != F.col("dst_path"))
-        .select("repo_id", "src_path", F.col("dep_pos").cast("long").alias("dep_pos"), "dep", "dst_path")
+        .select("repo_id", "src_path", "dep_pos", "dep", "dst_path")
     )
 
 
+def dependency_edges(comps: DataFrame, gram: int = 4) -> DataFrame:
+    """For every dependency of a file, the other files that it names."""
+    return related_files(*dependency_tables(comps, gram))
+
+
 def relationships(comps: DataFrame, edges: DataFrame) -> DataFrame:
     """Every file with its related files; files without any keep one row."""
     return (

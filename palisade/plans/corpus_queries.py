@@ -133,7 +133,7 @@ def capped_files(spark, d):
 def restricted_edges(spark, d):
     c = parsed(spark, d)
     files = S.capped_files(S.tiered_files(c))
-    return S.restricted_edges(T.dependency_edges(c), files).select("repo_id", "src_path", "dst_path", "dep_pos")
+    return T.related_files(*S.restricted_halves(*T.dependency_tables(c), files)).select("repo_id", "src_path", "dst_path", "dep_pos")
 
 
 QUERIES = {

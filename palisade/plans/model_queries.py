@@ -72,10 +72,8 @@ def risky_relationships(spark, d):
 
 def best_related(spark, d):
     c = parsed(spark, d)
-    related = T.dependency_edges(c).join(
-        c.select("repo_id", F.col("path").alias("dst_path"), "ord"), ["repo_id", "dst_path"]
-    )
-    return S.best_related(related)
+    deps, hits = T.dependency_tables(c)
+    return S.best_of_dependencies(deps, session.stage(hits, "dependency-hits"), c)
 
 
 def context_samples(spark, d):

@@ -13,6 +13,7 @@ from .oracle_text import in_list, over_files, over_symbols, values
 from .views import ANALYSES, BOUNDARY_ANSWERS, ctes, table, view
 
 CONTEXT_SIZE, OUTPUT_TOKENS = 700, 100
+SECOND_REGION = "ASIA"
 INGEST_DIRS = ["src/", "lib/Tests/", "", "docs/é "]
 
 
@@ -165,7 +166,16 @@ def flow_boundary_context(spark, d):
     )
 
 
+def boundary_context_lines(spark, d):
+    """Members of every second nation are listed in a further region."""
+    flows, members = view(spark, d, "star_flows"), view(spark, d, "star_members")
+    flagged = Rk.flow_flags(flows, view(spark, d, "star_edges"), members)
+    again = members.filter("ord % 2 = 1").select(F.lit(SECOND_REGION).alias("boundary"), "member", (F.col("ord") + 100).alias("ord"))
+    return Q.boundary_context_lines(flagged, members.unionByName(again), view(spark, d, "star_boundaries"))
+
+
 QUERIES = {
+    "boundary_context_lines": boundary_context_lines,
     "chunks": chunks,
     "large_chunks": large_chunks,
     "file_summaries": file_summaries,
@@ -442,4 +452,12 @@ ORACLE = {
         || b.description || {_NL} || 'WARNING: This data flow crosses security boundaries!' END AS boundary_context
       FROM star_flows f LEFT JOIN crossing c ON c.repo_id = f.repo_id AND c.src = f.source JOIN star_members m ON m.member = f.source
       JOIN star_boundaries b ON b.boundary = m.boundary""",
+    "boundary_context_lines": ctes("star_flows", "star_edges", "star_members", "star_boundaries")
+    + f""", crossing AS (SELECT DISTINCT e.repo_id, e.src AS source FROM star_edges e JOIN star_members a ON a.member = e.src
+        JOIN star_members b ON b.member = e.dst JOIN star_flows f ON f.repo_id = e.repo_id AND f.source = e.src WHERE a.boundary <> b.boundary),
+      listed AS (SELECT boundary, member, ord FROM star_members UNION ALL SELECT '{SECOND_REGION}', member, ord + 100 FROM star_members WHERE ord % 2 = 1),
+      rows_ AS (SELECT repo_id, source, 0 AS last, ord, 'Source is within security boundary: ' || boundary || ' - ' || description AS line
+          FROM crossing JOIN listed ON member = source JOIN star_boundaries USING (boundary)
+        UNION ALL SELECT repo_id, source, 1, 0, 'WARNING: This data flow crosses security boundaries!' FROM crossing)
+      SELECT repo_id, source, row_number() OVER (PARTITION BY repo_id, source ORDER BY last, ord, line) AS line_no, line FROM rows_""",
 }

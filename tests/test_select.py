@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.functions.ordering import first_per_group, with_position
-from palisade.operators import rollups as R, select as S
+from palisade.operators import prompts as Q, rollups as R, select as S, structure as T
 
 FILES = "repo_id string, path string, ord long"
 
@@ -83,6 +83,25 @@ def test_best_related(rows):
     assert {(r.src_path, r.dst_path) for r in S.best_related(edges).collect()} == {("a.py", "y.py"), ("b.rb", "p.js")}
 
 
+def test_best_of_dependencies_is_that_of_the_pairs(rows):
+    """Against the pairs of files, over paths that name themselves, ties of order, empty names and several extensions."""
+    rng = random.Random(5)
+    names = ["a", "ab", "abc", "core", "core_a", "x"]
+    for with_modules in (False, True):
+        files = []
+        for n in range(60):
+            path = f"{rng.choice(names)}/{rng.choice(names)}{n}{rng.choice(['.py', '.js', '.go', ''])}"
+            deps = [rng.choice([*names, "core/a", "none", "", path]) for _ in range(rng.randrange(4))]
+            files.append((rng.choice("rs"), path, n // 3, deps, rng.choice([*names, "mod", ""])))
+        comps = rows("repo_id string, path string, ord long, dependencies array<string>, module_name string", files)
+        comps = comps if with_modules else comps.drop("module_name")
+        deps, hits = T.dependency_tables(comps)
+        pairs = T.related_files(deps, hits).join(comps.select("repo_id", F.col("path").alias("dst_path"), "ord"), ["repo_id", "dst_path"])
+        wanted = {(x.repo_id, x.src_path, x.dst_path, x.related) for x in S.best_related(pairs).collect()}
+        got = {(x.repo_id, x.src_path, x.dst_path, x.related) for x in S.best_of_dependencies(deps, hits, comps).collect()}
+        assert got == wanted and len(wanted) > 10
+
+
 def test_languages_and_stack(rows):
     df = rows(FILES, [("r", "a.zig", 1), ("r", "b.zig", 2), ("r", "c.go", 3), ("r", ".hidden.py", 4), ("r", "build/x.py", 5),
                       ("r", "venvs/y.py", 6), ("e", "README", 1)])
@@ -106,3 +125,15 @@ def test_key_directories(rows):
                ("r", "qq/a", "Go", False), ("r", "qq/b", "Go", False), ("r", "api/a", "Go", True)])
     got = {r.directory: (r.file_count, r.languages, r.contains_entry_point) for r in R.key_directories(df).collect()}
     assert got == {"SRC": (2, ["Go", "PHP"], False), "zz": (2, ["Go"], True)}
+
+
+def test_boundary_lines_stay_rows(rows, spark):
+    flows = rows("repo_id string, source string, crosses_boundary boolean", [("r", "a", True), ("r", "a", True), ("r", "b", False), ("s", "lone", True)])
+    many = spark.range(70_000).select(F.lit("a").alias("member"), F.concat(F.lit("B"), "id").alias("boundary"), F.col("id").alias("ord"))
+    members = many.unionByName(rows("member string, boundary string, ord long", [("b", "B1", 0)]))
+    named = many.select("boundary", F.when(F.col("ord") > 0, F.lit("d")).alias("description"))
+    got = Q.boundary_context_lines(flows, members, named)
+    first = {(x.repo_id, x.source, x.line_no, x.line) for x in got.filter("line_no < 3").collect()}
+    warning = "WARNING: This data flow crosses security boundaries!"
+    assert first == {("s", "lone", 1, warning), ("r", "a", 1, "Source is within security boundary: B0 - "), ("r", "a", 2, "Source is within security boundary: B1 - d")}
+    assert got.count() == 70_002 and got.filter("line_no = 70001").first().line == warning
