@@ -15,6 +15,7 @@ from .views import table
 
 K_NEAREST = 10
 CHUNK_STRIDE = 1 << 20  # more chunks than any accepted file can have
+CONTEXT_TOKENS = 1500
 QUESTION_STRIDE = 64  # more questions than are asked about a component
 
 
@@ -109,13 +110,26 @@ def path_context(spark, d):
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "distance", "id", "path")
 
 
-def question_retrieval(spark, d):
-    """Five chunks of the same repository for every exploration question, in one batch."""
+def asked_vectors(spark, d):
     texts = asked(spark, d).select(
         "repo_id", (F.col("ord") * QUESTION_STRIDE + F.col("pos")).alias("query_id"), F.concat("path", F.lit(" "), "question").alias("q")
     )
-    queries = stage(V.encode(texts, "q").select("repo_id", "query_id", "embedding"), "questions")
-    return neighbours(V.knn(queries, code_chunks(spark, d).drop("content"), 5, scope="repo_id"))
+    return stage(V.encode(texts, "q").select("repo_id", "query_id", "embedding"), "questions")
+
+
+def question_retrieval(spark, d):
+    """Five chunks of the same repository for every exploration question, in one batch."""
+    return neighbours(V.knn(asked_vectors(spark, d), code_chunks(spark, d).drop("content"), 5, scope="repo_id"))
+
+
+def component_contexts(spark, d):
+    """What the questions about a component found, as parts of a prompt, with the checksum of every part."""
+    chunks = code_chunks(spark, d)
+    found = V.knn(asked_vectors(spark, d), chunks.drop("content"), 5, scope="repo_id").select(
+        F.floor(F.col("query_id") / QUESTION_STRIDE).alias("component"), (F.col("query_id") % QUESTION_STRIDE).alias("pos"), "rank", "id"
+    )
+    parts = V.component_contexts(found, chunks, CONTEXT_TOKENS)
+    return parts.select("component", "part", "contexts", "tokens", F.md5("text").alias("text_md5"))
 
 
 def knn_lsh(spark, d):
@@ -132,6 +146,7 @@ QUERIES = {
     "context_retrieval": context_retrieval,
     "path_context": path_context,
     "question_retrieval": question_retrieval,
+    "component_contexts": component_contexts,
 }
 
 
@@ -160,6 +175,15 @@ def _distance(a: str, b: str) -> str:
 
 _CODE_VECTORS = FILE_CHUNK_CTES + ", " + vectors_of("cv", f"(SELECT id * {CHUNK_STRIDE} + idx AS cid, content FROM chunk_texts) t", "cid", "content")
 
+_FOUND = (
+    vectors_of("qv", "(SELECT ord * 64 + pos AS qid, path || ' ' || question AS q FROM asked) t", "qid", "q")
+    + f""", found AS (SELECT query_id, id, distance, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
+          SELECT qv.id AS query_id, cv.id AS id, {_distance('qv.v', 'cv.v')} AS distance
+          FROM qv JOIN comps q ON q.ord = qv.id // {QUESTION_STRIDE} JOIN comps c ON c.repo_id = q.repo_id JOIN cv ON cv.id // {CHUNK_STRIDE} = c.ord))
+        WHERE rank <= 5)"""
+)
+
 ORACLE = {
     "hashed_vectors": f"""WITH {vectors_of('dv', 'documents', 'doc_id', 'text')}
       SELECT id AS ord, pos - 1 AS pos, round(x, 6) AS x FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM dv) WHERE x <> 0""",
@@ -200,12 +224,18 @@ ORACLE = {
         _CODE_VECTORS, f"chosen AS ({CHOSEN})", vectors_of("qv", "chosen", "ord", "path"),
     ),
     "question_retrieval": over_symbols(
-        f"""SELECT query_id, id, distance, rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
-          SELECT qv.id AS query_id, cv.id AS id, {_distance('qv.v', 'cv.v')} AS distance
-          FROM qv JOIN comps q ON q.ord = qv.id // {QUESTION_STRIDE} JOIN comps c ON c.repo_id = q.repo_id JOIN cv ON cv.id // {CHUNK_STRIDE} = c.ord))
-        WHERE rank <= 5""",
-        _CODE_VECTORS, question_ctes(),
-        vectors_of("qv", "(SELECT ord * 64 + pos AS qid, path || ' ' || question AS q FROM asked) t", "qid", "q"),
+        "SELECT query_id, id, distance, rank FROM found", _CODE_VECTORS, question_ctes(), _FOUND
+    ),
+    "component_contexts": over_symbols(
+        f"""SELECT component, row_number() OVER (PARTITION BY component ORDER BY cut) AS part, count(*) AS contexts, CAST(sum(tokens) AS BIGINT) AS tokens,
+          md5(string_agg(ctx, chr(10) || chr(10) ORDER BY pos, rank, id)) AS text_md5
+        FROM (SELECT *, CAST(floor(coalesce(sum(tokens) OVER (PARTITION BY component ORDER BY pos, rank, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            / {CONTEXT_TOKENS}) AS BIGINT) AS cut
+          FROM (SELECT * FROM (SELECT f.query_id // {QUESTION_STRIDE} AS component, f.query_id % {QUESTION_STRIDE} AS pos, rank, id, ctx, length(ctx) // 4 AS tokens,
+              row_number() OVER (PARTITION BY f.query_id // {QUESTION_STRIDE}, md5(content) ORDER BY f.query_id % {QUESTION_STRIDE}, rank, id) AS nth
+            FROM found f JOIN (SELECT t.id * {CHUNK_STRIDE} + t.idx AS id, content, 'File: ' || path || ' (Language: ' || type || ')' || chr(10) || chr(10) || t.content AS ctx
+              FROM (SELECT id, idx, content FROM chunk_texts) t JOIN (SELECT ord, path, type FROM comps) c ON c.ord = t.id) x USING (id)) WHERE nth = 1))
+        GROUP BY component, cut""",
+        _CODE_VECTORS, question_ctes(), _FOUND,
     ),
 }
