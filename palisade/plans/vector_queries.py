@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.nested import items
-from ..operators import chunks as C, select as S, vectors as V
+from ..operators import chunks as C, pivots, select as S, vectors as V
 from ..session import stage
 from .corpus_queries import CHOSEN, comps, flat_comps
 from .oracle_text import over_symbols
@@ -77,6 +77,13 @@ def knn_exact(spark, d):
     return neighbours(V.knn(label_queries(spark, d), embeddings(spark, d), K_NEAREST))
 
 
+def knn_pivots(spark, d):
+    """Every row whose id is divisible by 100 against all rows."""
+    rows = embeddings(spark, d).select("id", "embedding")
+    asked_rows = rows.filter(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id")
+    return neighbours(pivots.knn_pivots(asked_rows, rows, K_NEAREST))
+
+
 def knn_filtered(spark, d):
     return neighbours(
         V.knn_filtered(label_queries(spark, d), embeddings(spark, d), K_NEAREST, match={"query_id": "label"})
@@ -140,6 +147,7 @@ QUERIES = {
     "hashed_vectors": hashed_vectors,
     "vector_repair": vector_repair,
     "knn_exact": knn_exact,
+    "knn_pivots": knn_pivots,
     "knn_filtered": knn_filtered,
     "knn_prefiltered": knn_prefiltered,
     "knn_lsh": knn_lsh,
@@ -191,6 +199,9 @@ ORACLE = {
       fixed AS (SELECT id, pos, CASE WHEN raw = low THEN 0.0::DOUBLE ELSE raw::DOUBLE END AS x FROM elems)
       SELECT id, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM fixed""",
     "knn_exact": f"WITH {_CENTROIDS} SELECT query_id, id, distance, rank FROM r WHERE rank <= {K_NEAREST}",
+    "knn_pivots": f"""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+      r AS (SELECT q.id AS query_id, c.id, {_distance('q.v', 'c.v')} AS distance FROM v q, v c WHERE q.id % 100 = 0)
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM r) WHERE rank <= {K_NEAREST}""",
     "knn_filtered": f"""WITH {_CENTROIDS} SELECT query_id, id, distance, again AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS again FROM r WHERE label = query_id)
       WHERE again <= {K_NEAREST}""",
