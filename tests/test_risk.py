@@ -134,3 +134,33 @@ def test_threat_numbers_restart_per_owner(rows):
     cross = rows("repo_id string, source string, destination string, source_boundary string, destination_boundary string, ord long", [])
     got = {(e.src, e.dst) for e in G.threat_graph_edges(flows, cross, df).collect()}
     assert got == {("a_b", "a_b_threat_1"), ("a_b", "a_b_threat_0"), ("f", "flow_f_threat_0")}
+
+
+def test_repeated_relations_count_once(rows):
+    flows, edges, members = setup(rows)
+    twice = edges.unionByName(edges)
+    once = sorted(map(str, Rk.crossing_sources(flows, edges, members).collect()))
+    assert sorted(map(str, Rk.crossing_sources(flows, twice, members, repeated=True).collect())) == once
+    marks = [(r.repo_id, r.source) for r in Rk.crossing_marks(flows, twice, members).collect()]
+    assert sorted(marks) == [("r", "A.x"), ("r", "B")]
+    assert sorted(map(str, Rk.flow_flags(flows, twice, members).collect())) == sorted(map(str, Rk.flow_flags(flows, edges, members).collect()))
+
+
+def test_first_crossing_flows_hold_the_first_pairs(rows, monkeypatch):
+    flows = rows(FLOWS, [("r", f"A{n % 3}", f"f{n}", [], n // 2) for n in range(40)] + [("r", "A0", "", [], 0), ("q", "A1", "f", [], 1)])
+    edges = rows("repo_id string, src string, dst string", [(r, f"A{n}", f"B{m}") for r in "rq" for n in range(2) for m in range(9)])
+    members = rows("boundary string, member string, ord long", [("in", f"A{n}", 1) for n in range(3)] + [("out", f"B{m}", 1) for m in range(8)])
+    crossing = Rk.crossing_sources(flows, edges, members)
+    few = Q.first_crossing_flows(flows, crossing)
+    assert few.count() == 5 * 8 + 8  # five flows of one repository, the only one of the other, eight destinations each
+    every = Rk.cross_boundary_flows(flows, edges, members)
+    assert sorted(map(str, Q.cross_flow_samples(few).collect())) == sorted(map(str, Q.cross_flow_samples(every).collect()))
+
+
+def test_context_goes_to_crossing_sources_only(rows):
+    flows, edges, members = setup(rows)
+    zones = rows("repo_id string, boundary string, description string", [("r", "in", "i"), ("r", "out", None)])
+    flagged = Rk.flow_flags(flows, edges, members)
+    marks = Rk.crossing_marks(flows, edges, members)
+    given = sorted(map(str, Q.flow_boundary_context(flagged, members, zones, marks).collect()))
+    assert given == sorted(map(str, Q.flow_boundary_context(flagged, members, zones).collect()))
