@@ -164,3 +164,14 @@ def test_context_goes_to_crossing_sources_only(rows):
     marks = Rk.crossing_marks(flows, edges, members)
     given = sorted(map(str, Q.flow_boundary_context(flagged, members, zones, marks).collect()))
     assert given == sorted(map(str, Q.flow_boundary_context(flagged, members, zones).collect()))
+
+
+def test_graph_edges_of_distinct_crossings_are_not_shuffled(rows, plan):
+    flows, edges, members = setup(rows)
+    flagged = Rk.flow_flags(flows, edges, members).localCheckpoint()
+    cross = Rk.crossing_sources(flows, edges, members).localCheckpoint()
+    threats = rows(THREATS, [threat("r", "flow", "A.x", 1, "High")])
+    once = G.threat_graph_edges(flagged, cross, threats, once=True)
+    assert sorted(map(str, once.collect())) == sorted(map(str, G.threat_graph_edges(flagged, cross, threats).collect()))
+    shuffles = lambda df: plan(df.filter("kind = 'crossing'")).count("Exchange")
+    assert shuffles(once) < shuffles(G.threat_graph_edges(flagged, cross, threats))
