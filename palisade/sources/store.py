@@ -28,7 +28,8 @@ class ChunkStore:
         batch = f"saved-{uuid.uuid4().hex}"
         self.append(df, batch)
         fresh = self.batches().filter(F.col("batch") == batch).select("repo_id").distinct()
-        old = self.batches().filter(F.col("batch") != batch).join(fresh, "repo_id", "left_semi").distinct()
+        # Only the names of partitions are asked for: no row of the table is read or passes the driver.
+        old = self.batches().select("repo_id", "batch").filter(F.col("batch") != batch).join(fresh, "repo_id", "left_semi").distinct()
         for row in old.toLocalIterator():
             self._drop(row["repo_id"], row["batch"])
 

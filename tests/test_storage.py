@@ -25,6 +25,17 @@ def test_store_replaces_appends_and_clears(spark, rows, tmp_path):
     assert store.load().count() == 0
 
 
+def test_a_replaced_batch_is_dropped_once(spark, rows, tmp_path, monkeypatch):
+    store = ingest.open_store(spark, str(tmp_path / "store"))
+    store.save(ingest.chunk_vectors(files(rows, "a/x.py", "a/y.py", "b/y.py")))
+    store.append(ingest.chunk_vectors(files(rows, "a/w.py")), "more")
+    dropped, drop = [], store._drop
+    monkeypatch.setattr(store, "_drop", lambda *names: (dropped.append(names), drop(*names)))
+    store.save(ingest.chunk_vectors(files(rows, "a/u.py", "a/v.py")))
+    assert len(dropped) == 2 and {repo for repo, _ in dropped} == {"a"}
+    assert sorted(r.path for r in store.load().collect()) == ["a/u.py", "a/v.py", "b/y.py"]
+
+
 def test_ingest_twice_adds_nothing(spark, rows, tmp_path):
     store = ingest.open_store(spark, str(tmp_path / "store"))
     batch = files(rows, "a/x.py", "a/x.py", "a/test.py", "a\\x.py")
