@@ -2,6 +2,9 @@ from pyspark.sql import functions as F
 
 from palisade.functions import constants as K
 from palisade.operators import graph as G, prompts as Q, report as Rp, risk as Rk
+from palisade.plans import model_queries
+
+from .conftest import SF
 
 FLOWS = "repo_id string, source string, function string, parameters array<string>, ord long"
 THREATS = (
@@ -175,3 +178,8 @@ def test_graph_edges_of_distinct_crossings_are_not_shuffled(rows, plan):
     assert sorted(map(str, once.collect())) == sorted(map(str, G.threat_graph_edges(flagged, cross, threats).collect()))
     shuffles = lambda df: plan(df.filter("kind = 'crossing'")).count("Exchange")
     assert shuffles(once) < shuffles(G.threat_graph_edges(flagged, cross, threats))
+
+
+def test_crossing_flows_read_their_links_once(spark, plan):
+    found = model_queries.cross_boundary_flows(spark, SF)
+    assert "lineitem.parquet" not in plan(found) and "links-" in plan(found)
