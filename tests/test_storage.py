@@ -155,3 +155,10 @@ def test_report_of_a_saved_model(spark, rows, tmp_path):
     lifecycle.report_from_saved(spark, str(tmp_path / "nothing"), str(tmp_path / "empty"), stacks)
     empty = [x.line for x in results.load_lines(spark, str(tmp_path / "empty")).collect()]
     assert any("Unknown" in x for x in empty)
+
+
+def test_tables_are_saved_where_their_rows_lie(spark, rows, tmp_path):
+    table = rows("a long, b string", [(i, f"t{i}") for i in range(30)]).repartition(3, "a")
+    results.save_tables(spark, {"t": table}, str(tmp_path))
+    assert len(glob.glob(str(tmp_path / "t/rows/*.json"))) == sum(n > 0 for n in [len(p) for p in table.rdd.glom().collect()]) > 1
+    assert sorted(results.load_tables(spark, str(tmp_path), ["t"])["t"].collect()) == sorted(table.collect())
