@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import constants as K
 from palisade.operators import graph as G, prompts as Q, report as Rp, risk as Rk
-from palisade.plans import model_queries
+from palisade.plans import model_queries, views
 
 from .conftest import SF
 
@@ -183,3 +183,14 @@ def test_graph_edges_of_distinct_crossings_are_not_shuffled(rows, plan):
 def test_crossing_flows_read_their_links_once(spark, plan):
     found = model_queries.cross_boundary_flows(spark, SF)
     assert "lineitem.parquet" not in plan(found) and "links-" in plan(found)
+
+
+def test_findings_are_dealt_by_their_number(spark, plan, monkeypatch):
+    monkeypatch.setattr(model_queries, "dealt", lambda df, keys: views.dealt(df, keys, rows=50))
+    count = spark.read.parquet(f"{SF}/events.parquet").count()
+    for query in (model_queries.findings_report, model_queries.report_text):
+        assert f"{-(-count // 50)}), REPARTITION_BY_NUM" in plan(query(spark, SF))
+    few, cores = spark.range(40), spark.sparkContext.defaultParallelism
+    assert views.dealt(few, ["id"], -(-40 // cores)) is few
+    assert views.dealt(few, ["id"], 2).rdd.getNumPartitions() == 20
+    assert views.dealt(few, ["id"], 39 // cores).rdd.getNumPartitions() == max(4, -(-40 // (39 // cores)))
