@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from palisade.functions import constants as K
 from palisade.operators import drawing as D
+from palisade.plans import drawing_queries
 from palisade.sources import results
 
+from .conftest import SF
+
 MEMBERS = "repo_id string, boundary string, member string, ord long"
 COMPS = "repo_id string, name string, is_priority boolean, ord long"
 FLOWS = "repo_id string, source string, function string, parameters array<string>, crosses_boundary boolean, ord long, seq long"
@@ -80,3 +83,17 @@ def test_files_keep_the_order_of_lines(spark, rows, tmp_path):
         mine = [x for x in got if x.repo_id == repo]
         assert [x.line_no for x in mine] == list(range(1, len(wanted) + 1))
         assert [x.line for x in mine] == [f"line {5000 - i}" for i in wanted]
+
+
+def test_lines_are_made_of_tables_that_are_derived_once(spark, plan):
+    text = plan(drawing_queries.drawing(spark, SF))
+    assert all(name in text for name in ("/flagged-", "/inside-", "/ends-")) and "/links-" not in text
+
+
+def test_the_first_flow_of_a_source_places_it(rows):
+    flows = rows(FLOWS, [("r", "a", "f", [], False, 9, 0), ("r", "a", "g", [], False, 4, 0), ("r", "b", "f", [], False, 6, 0)])
+    none = {n: rows(s, []) for n, s in (("m", MEMBERS), ("c", COMPS), ("x", CROSS), ("t", THREATS), ("v", VULNS))}
+    for f in (flows, flows.drop("seq")):
+        for t in (none["t"], none["t"].drop("function")):
+            got = body(D.threat_drawing(none["m"], none["m"], none["c"], f, none["x"], t, none["v"], f))
+            assert [x for x in got if "class" not in x] == ["a[a]", "g(g)", "a --> g", "b[b]", "f(f)", "b --> f", "a --> f"]
