@@ -1,7 +1,11 @@
 """The threat diagram as one ordered document, and files of lines read back in order."""
 
+import os
+import time
+
 from pyspark.sql import functions as F
 
+from palisade import session
 from palisade.functions import constants as K
 from palisade.operators import drawing as D
 from palisade.plans import drawing_queries
@@ -24,11 +28,11 @@ def body(df, repo="r"):
     return [x.strip() for x in got[head:-legend]]
 
 
-def draw(rows, members=(), comps=(), flows=(), cross=(), threats=(), vulns=(), repos=()):
+def draw(rows, members=(), comps=(), flows=(), cross=(), threats=(), vulns=(), repos=(), **how):
     m = rows(MEMBERS, list(members))
     return D.threat_drawing(
         m, m, rows(COMPS, list(comps)), rows(FLOWS, list(flows)), rows(CROSS, list(cross)), rows(THREATS, list(threats)),
-        rows(VULNS, list(vulns)), rows("repo_id string", [(r,) for r in repos]),
+        rows(VULNS, list(vulns)), rows("repo_id string", [(r,) for r in repos]), **how,
     )
 
 
@@ -97,3 +101,55 @@ def test_the_first_flow_of_a_source_places_it(rows):
         for t in (none["t"], none["t"].drop("function")):
             got = body(D.threat_drawing(none["m"], none["m"], none["c"], f, none["x"], t, none["v"], f))
             assert [x for x in got if "class" not in x] == ["a[a]", "g(g)", "a --> g", "b[b]", "f(f)", "b --> f", "a --> f"]
+
+
+def test_folded_lines_are_numbered_in_rounds_as_single_lines_are(rows, monkeypatch):
+    model = dict(
+        members=[("r", "Web", "a.py", 2), ("r", "Db", "d e", 1), ("s", "Web", "a_py", 4), ("r", None, "x", 1), ("r", "Db", None, 1)],
+        comps=[("r", "z.py", True, 70_000), ("r", "a.py", True, 1), ("s", "b", False, 2), ("r", "no place", True, None), (None, "n", False, 3)],
+        # Flows of one place, some of them alike: their nodes and arrows are told apart by their texts.
+        flows=[("r", f"s{i % 3}", f"f{i % 4}", ["x"], i % 2 == 0, 65_536 * (i % 3), 0) for i in range(12)] + [("s", "b", "go", [], None, None, 0), ("r", None, "go", None, True, 5, 1)],
+        cross=[("r", "a.py", d, "Web", "Db", 4) for d in ("d e", "q", "q", "d.e", None)],
+        threats=[("r", "component", "a.py", i * 50_000, "late", "High", None) for i in range(3)] + [("t", "flow", "gone.x", 1, "spoof", None, "go")],
+        vulns=[("r", 0, "leak", "High", ["b", "new one", ""]), ("s", 1, None, "Low", None)],
+        repos=["r", "empty", None],
+    )
+    found = lambda df: sorted((x.repo_id, x.line_no, x.line or "") for x in df.collect())
+    wanted = found(D.numbered_lines(draw(rows, **model)))
+    asked = []
+    monkeypatch.setattr(session, "ROUND_ROWS", 9)
+    monkeypatch.setattr(D, "rounds", lambda *n: asked.append(session.rounds(*n)) or asked[-1])
+    got = D.numbered_lines(draw(rows, **model, folded=True))
+    assert found(got) == wanted and len(wanted) > 100 and asked[0] > 1
+
+
+def _staged(spark):
+    return set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+
+
+def test_the_diagram_keeps_little_on_disk(spark, plan):
+    """Neither unnumbered lines nor tables that nothing reads any more stay, and no round leaves its shuffled files."""
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        found = [files.apply(i) for i in range(files.size())]
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_")}
+
+    before, tables = shuffled(), _staged(spark)
+    numbered = drawing_queries.threat_drawing(spark, SF)
+    left = {name.rsplit("-", 1)[0] for name in _staged(spark) - tables}
+    assert "numbered" in left and not left & {"links", "crossings", "inside", "lines", "starts"}
+    until = time.time() + 20  # files are removed behind the job's back
+    while (more := sum(n for name, n in shuffled().items() if name not in before)) > 10_000 and time.time() < until:
+        time.sleep(0.2)
+    assert "Exchange" not in plan(numbered) and more <= 10_000  # sums of counts
+
+
+def test_rounds_hold_every_key_once(spark):
+    keys = spark.range(50).select(F.when(F.col("id") % 5 > 0, F.col("id")).alias("k"))
+    parts = [keys.filter(session.in_round(r, 3, "k")) for r in range(3)]
+    assert all(p.count() for p in parts) and sum(p.count() for p in parts) == 50
+    assert session.rounds(0, 4) == 1 and session.rounds(session.ROUND_ROWS + 1, 4) == 2 and session.rounds(1 << 60, 4) == 4
+    table = session.stage_parts(parts, "parts")
+    assert sorted(table.collect(), key=str) == sorted(keys.collect(), key=str)
+    session.unstage(table, keys)
+    assert not any(name.startswith("parts-") for name in _staged(spark))
